@@ -61,24 +61,38 @@ def exact_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, out_col: s
     Works for skewed groups: no task ever holds more than one bucket of one
     group.  ``with_group_size`` optionally adds the group's row count.
     """
+    return exact_sequence(df, part_cols, [F.col(key_col)] + [F.col(c) for c in tie_cols],
+                          F.substring(F.col(key_col), 1, prefix_chars), out_col, with_group_size)
+
+
+def exact_sequence(df: DataFrame, part_cols: Sequence[str], order: Sequence[Column], bucket: Column,
+                   out_col: str = "seq", with_group_size: str | None = None) -> DataFrame:
+    """Exact row_number() over (partition by part_cols order by ``order``).
+
+    ``bucket`` must be non-decreasing along ``order`` (a digest prefix for a
+    digest order, a truncated timestamp for a time order).  Each group is
+    split into its buckets; a window over the small (group, bucket) count
+    table gives each bucket's offset and a window per (group, bucket) the
+    rank inside it.
+    """
     part_cols = list(part_cols)
-    buckets = bucket_counts(df, part_cols, key_col, prefix_chars)
-    keep = part_cols + ["__bucket", "__before"] + (["__group_n"] if with_group_size else [])
-    buckets = buckets.select(*keep)
-    left = df.withColumn("__bucket", F.substring(F.col(key_col), 1, prefix_chars))
+    left = df.withColumn("__bucket", bucket)
+    counts = left.groupBy(*part_cols, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    wb = Window.partitionBy(*part_cols).orderBy("__bucket") if part_cols else Window.orderBy("__bucket")
+    offs = counts.select(
+        *[F.col(c).alias(f"__r_{c}") for c in part_cols + ["__bucket"]],
+        F.coalesce(F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        *([F.sum("__n").over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+           .alias(with_group_size)] if with_group_size else []))
     join_cols = part_cols + ["__bucket"]
-    b = buckets.select(*[F.col(c).alias(f"__r_{c}") for c in join_cols],
-                       *[c for c in keep if c not in join_cols])
     cond = None
     for c in join_cols:
-        e = left[c].eqNullSafe(b[f"__r_{c}"])
+        e = left[c].eqNullSafe(offs[f"__r_{c}"])
         cond = e if cond is None else cond & e
-    joined = left.join(b, cond, "inner").drop(*[f"__r_{c}" for c in join_cols])
-    w = Window.partitionBy(*join_cols).orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
-    out = joined.withColumn(out_col, F.col("__before") + F.row_number().over(w))
-    if with_group_size:
-        out = out.withColumnRenamed("__group_n", with_group_size)
-    return out.drop("__bucket", "__before")
+    joined = left.join(offs, cond, "inner").drop(*[f"__r_{c}" for c in join_cols])
+    w = Window.partitionBy(*join_cols).orderBy(*order)
+    return (joined.withColumn(out_col, F.col("__before") + F.row_number().over(w))
+                  .drop("__bucket", "__before"))
 
 
 def exact_top_k_per_group(df: DataFrame, part_cols: Sequence[str], key_col: str,
