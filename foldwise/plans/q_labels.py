@@ -16,7 +16,7 @@ def clean_events(spark, sf_dir):
     return L.clean_and_generalise(ev, "activity", EVENTS_GENERAL_MAP, EVENTS_CATCH_ALL, "activity_general")
 
 
-@query("logo_majority_eval", with_(EV_CLEAN, r"""
+LOGO_CTES = r"""
 gl AS (SELECT home_id, activity_general AS label, count(*) AS n FROM ev_clean GROUP BY 1, 2),
 tot AS (SELECT label, sum(n) AS total FROM gl GROUP BY 1),
 homes AS (SELECT home_id, sum(n) AS n_rows, count(*) AS n_present FROM gl GROUP BY 1),
@@ -33,14 +33,18 @@ j AS (
          CAST(coalesce(g.n, 0) AS DOUBLE) AS c, CAST(h.n_rows AS DOUBLE) AS nn,
          h.n_present + CASE WHEN coalesce(g.n, 0) = 0 THEN 1 ELSE 0 END AS k
   FROM homes h JOIN pick p USING (home_id)
-  LEFT JOIN gl g ON g.home_id = h.home_id AND g.label = p.predicted)
+  LEFT JOIN gl g ON g.home_id = h.home_id AND g.label = p.predicted),
+logo AS (
 SELECT home_id, CAST(n_rows AS BIGINT) AS n_rows, predicted,
        round(c / nn, 6) AS accuracy,
        round(2 * c / (c + nn) / k, 6) AS macro_f1,
        round(c * (2 * c / (c + nn)) / nn, 6) AS weighted_f1,
        round((c / nn) / k, 6) AS macro_precision,
        round(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END / k, 6) AS macro_recall
-FROM j"""))
+FROM j)"""
+
+
+@query("logo_majority_eval", with_(EV_CLEAN, LOGO_CTES) + "\nSELECT * FROM logo")
 def q_logo_majority_eval(spark, sf_dir):
     """Flagship: clean + generalise labels, leave-one-group-out majority
     baseline, per-group accuracy / macro-F1 / weighted-F1 / macro P and R."""
