@@ -1 +1,132 @@
-"""Registered queries (q_train)."""
+"""Training queries (Spark ML).  Rows-only checks: tree learners differ from
+the reference's, so scores are not comparable to an oracle.
+
+Training rows: cleaned events; features value, props.k, hour, day of week
+and their cyclic encodings; label = raw activity (4 classes) or general
+activity (2 classes); groups = home (user) for grouped folds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foldwise.functions import features as FE
+from foldwise.operators import registry as R
+from foldwise.operators import splits
+from foldwise.operators import train as T
+from foldwise.operators.metrics import confusion_long, summary_metrics
+from foldwise.plans.catalog import query
+from foldwise.plans.q_labels import clean_events
+
+FEATURES = ["value", "k", "hour", "dow", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
+N_FOLDS = 3
+# query-size settings: few shallow trees keep the checks quick at small scale
+SMALL_GBT = {"n_estimators": 5, "max_depth": 3}
+SMALL_RF_SPACE = dict(T.SEARCH_SPACE, n_estimators=[20, 30, 40])
+
+
+def training_rows(spark, sf_dir, label="activity"):
+    ev = clean_events(spark, sf_dir)
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    ev = FE.add_cyclic_time_features(ev, "hour", "dow")
+    folds = splits.snake_group_kfold(ev, "home_id", N_FOLDS)
+    ev = splits.assign_folds(ev, folds, "home_id")
+    data, fp = T.prepare(ev, FEATURES, label, keep=["event_id", "home_id", "fold"])
+    return T.persist(data), fp
+
+
+@query("train_ovr_gbt_group_cv")
+def q_train_ovr_gbt_group_cv(spark, sf_dir):
+    """One-vs-rest boosted trees, 2 learning rates x 3 grouped folds, macro-F1."""
+    data, _ = training_rows(spark, sf_dir)
+    est = T.make_classifier("ovr_gbt", SMALL_GBT)
+    cands = [dict(SMALL_GBT, learning_rate=lr) for lr in (0.05, 0.1)]
+    cvm = T.group_cv(data, est, T.grid_for(est, cands, "gbt"), "fold", N_FOLDS)
+    rows = [(i, c["learning_rate"], c["max_depth"], c["n_estimators"], float(m))
+            for i, (c, m) in enumerate(zip(cands, cvm.avgMetrics))]
+    data.unpersist()
+    return spark.createDataFrame(rows, "candidate int, learning_rate double, max_depth int, n_estimators int, "
+                                       "cv_macro_f1 double")
+
+
+@query("train_rf_random_search")
+def q_train_rf_random_search(spark, sf_dir):
+    """Random search (2 candidates drawn without replacement) x grouped folds,
+    best candidate refit on all rows; reports trials and in-sample metrics."""
+    data, _ = training_rows(spark, sf_dir)
+    est = T.make_classifier("rf", {"n_estimators": 20, "max_depth": 4})
+    cands = T.sample_params(spark, SMALL_RF_SPACE, n_trials=2, seed=42)
+    cvm = T.group_cv(data, est, T.grid_for(est, cands, "rf"), "fold", N_FOLDS)
+    train = summary_metrics(confusion_long(cvm.bestModel.transform(data), "label", "prediction"), digits=None).first()
+    best = max(range(len(cands)), key=lambda i: (cvm.avgMetrics[i], -i))
+    rows = [(i + 1, int(c["max_depth"]), int(c["n_estimators"]), float(c["subsample"]), float(m), i == best,
+             float(train["macro_f1"]), float(train["accuracy"]))
+            for i, (c, m) in enumerate(zip(cands, cvm.avgMetrics))]
+    data.unpersist()
+    return spark.createDataFrame(rows, "trial int, max_depth int, n_estimators int, subsample double, "
+                                       "cv_macro_f1 double, is_best boolean, train_macro_f1 double, "
+                                       "train_accuracy double")
+
+
+@query("group_cv_train")
+def q_group_cv_train(spark, sf_dir):
+    """Per-fold fit and hold-out metrics over grouped folds (random forest)."""
+    data, _ = training_rows(spark, sf_dir)
+    res = T.cross_validate_folds(data, lambda: T.make_classifier("rf", {"n_estimators": 20, "max_depth": 5}),
+                                 "fold", range(N_FOLDS))
+    data.unpersist()
+    rows = [(r["fold"], r["accuracy"], r["macro_f1"], r["weighted_f1"], r["macro_precision"], r["macro_recall"],
+             int(r["n"])) for r in res]
+    return spark.createDataFrame(rows, "fold int, accuracy double, f1_macro double, f1_weighted double, "
+                                       "precision_macro double, recall_macro double, n_test bigint")
+
+
+@query("predict_proba")
+def q_predict_proba(spark, sf_dir):
+    """Fit one-vs-rest boosted trees on folds 1..k-1, score fold 0: label,
+    prediction and per-class probability columns."""
+    data, fp = training_rows(spark, sf_dir)
+    labels = fp.stages[-1].labelsArray[0]
+    model = T.make_classifier("ovr_gbt", SMALL_GBT).fit(data.filter(F.col("fold") != 0))
+    scored = model.transform(data.filter(F.col("fold") == 0))
+    scored = T.index_to_label(labels).transform(scored)
+    prob = T.probability_column(scored)
+    return scored.select("event_id", "home_id", F.col("activity").alias("y_true"), "y_pred",
+                         (F.col("activity") == F.col("y_pred")).alias("correct"),
+                         *[F.element_at(prob, i + 1).alias(f"prob_{c}") for i, c in enumerate(labels)])
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """Random-forest importances per grouped fold, summarised (mean, std, min,
+    max) and ranked; top 20."""
+    data, _ = training_rows(spark, sf_dir)
+    rows = []
+    for k in range(N_FOLDS):
+        m = T.make_classifier("rf", {"n_estimators": 20, "max_depth": 5}).fit(data.filter(F.col("fold") != k))
+        rows += [(k, f, v) for f, v in T.ovr_feature_importance(m, FEATURES)]
+    data.unpersist()
+    imp = spark.createDataFrame(rows, "fold int, feature string, importance double")
+    return R.importance_summary(imp, top=20)
+
+
+@query("target_comparison")
+def q_target_comparison(spark, sf_dir):
+    """Raw vs general target: 3-fold stratified CV, mean / std macro-F1,
+    weighted-F1, accuracy."""
+    out = []
+    for target in ("activity", "activity_general"):
+        ev = clean_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+        ev = FE.add_cyclic_time_features(ev, "hour", "dow")
+        ev = splits.stratified_folds(ev, target, "event_id", N_FOLDS, seed=42)
+        data, _ = T.prepare(ev, FEATURES, target, keep=["event_id", "fold"])
+        data = T.persist(data)
+        res = T.cross_validate_folds(data, lambda: T.make_classifier("rf", {"n_estimators": 20, "max_depth": 5}),
+                                     "fold", range(N_FOLDS))
+        data.unpersist()
+        import statistics
+        f1s = [r["macro_f1"] for r in res]
+        out.append((target, statistics.fmean(f1s), statistics.pstdev(f1s),
+                    statistics.fmean(r["weighted_f1"] for r in res), statistics.fmean(r["accuracy"] for r in res)))
+    return spark.createDataFrame(out, "target string, f1_macro_mean double, f1_macro_std double, "
+                                      "f1_weighted double, accuracy double")
