@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.ranking import exact_rank, hash_key
+from foldwise.operators.ranking import exact_rank, exact_sequence, hash_key
 
 # Above this many groups the greedy assignment (sequential by nature) is
 # replaced by the distributed snake order.
@@ -21,14 +21,25 @@ def group_sizes(df: DataFrame, group_col: str) -> DataFrame:
     return df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def group_bucket(col: str, dtype) -> F.Column:
+    """A coarse key that is non-decreasing in the group id's sort order, so
+    ranking groups never needs one task to hold every group."""
+    from pyspark.sql.types import NumericType
+    if isinstance(dtype, NumericType):
+        return F.floor(F.col(col) / 1024)
+    return F.substring(F.col(col).cast("string"), 1, 6)
+
+
 def logo_folds(df: DataFrame, group_col: str) -> DataFrame:
     """Leave-one-group-out: (group, fold, n_test, n_train); fold = index of the
-    group in sorted order.  The window runs over one row per group."""
+    group in sorted order (exact rank over the per-group table, bucketed)."""
     sizes = group_sizes(df, group_col)
     total = sizes.agg(F.sum("n")).scalar()
-    return sizes.select(
+    ranked = exact_sequence(sizes, [], [F.col(group_col)], group_bucket(group_col, df.schema[group_col].dataType),
+                            "__seq")
+    return ranked.select(
         group_col,
-        (F.row_number().over(Window.orderBy(group_col)) - 1).cast("int").alias("fold"),
+        (F.col("__seq") - 1).cast("int").alias("fold"),
         F.col("n").alias("n_test"),
         (total - F.col("n")).cast("bigint").alias("n_train"))
 
@@ -38,9 +49,10 @@ def snake_group_kfold(df: DataFrame, group_col: str, n_splits: int) -> DataFrame
     0,1,..,k-1,k-1,..,0,...  Returns (group, fold, n)."""
     _check_splits(df, group_col, n_splits)
     sizes = group_sizes(df, group_col)
-    r = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(group_col))) - 1
+    bucket = F.struct((-F.col("n")).alias("a"), group_bucket(group_col, df.schema[group_col].dataType).alias("b"))
     k = F.lit(n_splits)
-    ranked = sizes.withColumn("__r", r)
+    ranked = exact_sequence(sizes, [], [F.col("n").desc(), F.col(group_col)], bucket, "__seq") \
+        .withColumn("__r", F.col("__seq") - 1)
     pos, block = F.col("__r") % k, F.floor(F.col("__r") / k)
     return ranked.select(group_col, F.when(block % 2 == 0, pos).otherwise(k - 1 - pos).cast("int").alias("fold"),
                          "n")
