@@ -156,3 +156,9 @@ def clean_and_generalise(df: DataFrame, label_col: str = "activity",
     if catch_all is not None:
         out = out.filter(F.col(label_col) != F.lit(catch_all))
     return out.withColumn(out_col, map_labels(label_col, mapping))
+
+
+def filter_labels_regex(df: DataFrame, label_col: str, pattern: str, keep: bool = True) -> DataFrame:
+    """Keep (or drop) rows whose label contains a match of ``pattern``."""
+    cond = F.col(label_col).rlike(pattern)
+    return df.filter(cond if keep else ~cond)

@@ -210,3 +210,60 @@ class MacroF1Evaluator(Evaluator):
 
     def isLargerBetter(self) -> bool:
         return True
+
+
+def agreement_metrics(conf: DataFrame, group_cols: Sequence[str] = (), cost: DataFrame | None = None,
+                      digits: int = 6) -> DataFrame:
+    """Micro-F1, multiclass MCC, Cohen's kappa and mean misclassification cost.
+
+    All four are functions of the per-class marginals of the confusion table:
+    with c = correct, s = total, t_k = true count, p_k = predicted count,
+    MCC = (c s - sum t_k p_k) / sqrt((s^2 - sum p_k^2)(s^2 - sum t_k^2)),
+    kappa = (p_o - p_e) / (1 - p_e), p_o = c / s, p_e = sum t_k p_k / s^2.
+    ``cost`` is an optional (actual, predicted, cost) table; default 0/1 cost.
+    """
+    cc = class_counts(conf, group_cols)
+    marg = cc.groupBy(*group_cols).agg(
+        F.sum("tp").cast("double").alias("c"), F.sum("support").cast("double").alias("s"),
+        F.sum(F.col("support").cast("double") * F.col("predicted")).alias("tp_sum"),
+        F.sum(F.col("predicted").cast("double") * F.col("predicted")).alias("pp"),
+        F.sum(F.col("support").cast("double") * F.col("support")).alias("tt"))
+    if cost is None:
+        costs = conf.groupBy(*group_cols).agg(
+            (F.sum(F.when(F.col("actual") != F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n"))
+            .alias("mean_cost"))
+    else:
+        cst = cost.select(F.col("actual").alias("__a"), F.col("predicted").alias("__p"), F.col("cost"))
+        j = conf.join(cst, (conf["actual"] == cst["__a"]) & (conf["predicted"] == cst["__p"]), "left")
+        costs = j.groupBy(*group_cols).agg(
+            (F.sum(F.coalesce(F.col("cost"), F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("mean_cost"))
+    c, s = F.col("c"), F.col("s")
+    den = F.sqrt((s * s - F.col("pp")) * (s * s - F.col("tt")))
+    mcc = F.when(den > 0, (c * s - F.col("tp_sum")) / den).otherwise(0.0)
+    pe = F.col("tp_sum") / (s * s)
+    kappa = F.when(pe < 1, (c / s - pe) / (1 - pe)).otherwise(0.0)
+    if group_cols:
+        out = marg.join(costs, list(group_cols), "inner")
+    else:
+        out = marg.withColumn("mean_cost", costs.select("mean_cost").scalar())
+    return out.select(*group_cols, F.round(c / s, digits).alias("micro_f1"), F.round(mcc, digits).alias("mcc"),
+                      F.round(kappa, digits).alias("kappa"), F.round("mean_cost", digits).alias("mean_cost"))
+
+
+def calibration(df: DataFrame, conf_col: str, correct_col: str, n_bins: int = 10,
+                group_cols: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """Expected (ECE), root-mean-square (RMSCE) and maximum (MCE) calibration
+    error over equal-width confidence bins (bin = floor(conf * n_bins), the top
+    edge joins the last bin)."""
+    b = F.least(F.floor(F.col(conf_col) * n_bins), F.lit(n_bins - 1)).cast("int")
+    bins = df.groupBy(*group_cols, b.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col(correct_col).cast("double")).alias("acc"),
+        F.avg(F.col(conf_col).cast("double")).alias("conf"))
+    gap = F.abs(F.col("acc") - F.col("conf"))
+    agg = bins.groupBy(*group_cols).agg(
+        F.sum(F.col("n") * gap).alias("w"), F.sum(F.col("n") * gap * gap).alias("w2"),
+        F.max(gap).alias("mce"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_bins"))
+    return agg.select(*group_cols, F.round(F.col("w") / F.col("n"), digits).alias("ece"),
+                      F.round(F.sqrt(F.col("w2") / F.col("n")), digits).alias("rmsce"),
+                      F.round("mce", digits).alias("mce"), F.col("n").cast("bigint").alias("n"),
+                      F.col("n_bins").cast("bigint").alias("n_bins"))

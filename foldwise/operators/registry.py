@@ -209,3 +209,27 @@ def hardest_easiest(per_group: DataFrame, group_col: str, score: str = "accuracy
 def per_group_table(folds: DataFrame, group_col: str, score: str = "accuracy") -> DataFrame:
     """Per-group results sorted by score, best first (RPT-3)."""
     return folds.orderBy(F.col(score).desc(), F.col(group_col))
+
+
+def make_run_record(spark: SparkSession, **fields) -> DataFrame:
+    """One run-record row in the registry schema (missing fields are NULL)."""
+    names = [f.name for f in RUN_RECORD_SCHEMA.fields]
+    unknown = set(fields) - set(names)
+    if unknown:
+        raise ValueError(f"unknown run-record fields: {sorted(unknown)}")
+    return spark.createDataFrame([tuple(fields.get(n) for n in names)], RUN_RECORD_SCHEMA)
+
+
+def list_models(runs: DataFrame, model_dir_col: str = "source_file") -> DataFrame:
+    """Saved models = rows of the runs table, newest first."""
+    return runs.select(model_dir_col, "timestamp", "api", "target", "cv_primary").orderBy(F.col("timestamp").desc())
+
+
+def cv_simple_view(folds: DataFrame, group_col: str = "home_id") -> DataFrame:
+    """Legacy CV view: per group accuracy / n_train / n_test / n_classes, plus
+    an ``overall`` row (mean and population std of accuracy)."""
+    per = folds.select(F.col(group_col).cast("string").alias("group"), "accuracy", "n_train", "n_test", "n_classes")
+    overall = folds.agg(F.lit("overall").alias("group"), F.avg("accuracy").alias("accuracy"),
+                        F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"),
+                        F.max("n_classes").alias("n_classes"))
+    return per.unionByName(overall.select(*per.columns))

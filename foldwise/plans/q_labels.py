@@ -98,3 +98,12 @@ SELECT activity, activity_general,
 FROM x GROUP BY GROUPING SETS ((activity), (activity_general), ())"""))
 def q_label_grouping_sets(spark, sf_dir):
     return profile.label_grouping_sets(clean_events(spark, sf_dir), "activity", "activity_general")
+
+
+@query("label_regex_filter", with_(EV_CLEAN, r"""
+z AS (SELECT 1)
+SELECT event_id, home_id, activity FROM ev_clean WHERE NOT regexp_matches(activity, 'ur|gn')"""))
+def q_label_regex_filter(spark, sf_dir):
+    """Drop labels matching a regex alternation (``ur|gn``: purchase, signup)."""
+    ev = clean_events(spark, sf_dir).select("event_id", "home_id", "activity")
+    return L.filter_labels_regex(ev, "activity", "ur|gn", keep=False)

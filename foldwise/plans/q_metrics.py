@@ -191,3 +191,35 @@ SELECT lang, round(sum(pos * (cneg + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS
        CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM rs GROUP BY lang"""))
 def q_roc_auc_binary(spark, sf_dir):
     return M.roc_auc(_doc_scores(spark, sf_dir), "quality", "n_chars", ["lang"])
+
+
+@query("agreement_metrics", with_(EV_CLEAN, _PRED_SQL, _CLASS_COUNTS_SQL.format(g="home_id,"), r"""
+marg AS (SELECT home_id, CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(support) AS DOUBLE) AS s,
+                sum(CAST(support AS DOUBLE) * predicted) AS tp_sum, sum(CAST(predicted AS DOUBLE) * predicted) AS pp,
+                sum(CAST(support AS DOUBLE) * support) AS tt
+         FROM cc GROUP BY home_id),
+costs AS (SELECT home_id, sum(CASE WHEN actual <> predicted THEN n ELSE 0 END) / sum(n) AS mean_cost
+          FROM conf GROUP BY home_id),
+m AS (SELECT *, sqrt((s * s - pp) * (s * s - tt)) AS den, tp_sum / (s * s) AS pe FROM marg JOIN costs USING (home_id))
+SELECT home_id, round(c / s, 6) AS micro_f1,
+       round(CASE WHEN den > 0 THEN (c * s - tp_sum) / den ELSE 0.0 END, 6) AS mcc,
+       round(CASE WHEN pe < 1 THEN (c / s - pe) / (1 - pe) ELSE 0.0 END, 6) AS kappa,
+       round(mean_cost, 6) AS mean_cost
+FROM m"""))
+def q_agreement_metrics(spark, sf_dir):
+    """Micro-F1, MCC, Cohen's kappa and mean 0/1 misclassification cost per group."""
+    conf = M.confusion_long(rule_predictions(spark, sf_dir), "y_true", "y_pred", ["home_id"])
+    return M.agreement_metrics(conf, ["home_id"])
+
+
+@query("calibration", with_(_EMB_SQL, r"""
+c AS (SELECT list_max(prob) AS conf, (list_position(prob, list_max(prob)) - 1) = label AS correct FROM pe),
+b AS (SELECT CAST(least(floor(conf * 10), 9) AS INTEGER) AS bin, count(*) AS n,
+             avg(CAST(correct AS DOUBLE)) AS acc, avg(conf) AS conf FROM c GROUP BY 1)
+SELECT round(sum(n * abs(acc - conf)) / sum(n), 6) AS ece, round(sqrt(sum(n * abs(acc - conf) * abs(acc - conf)) / sum(n)), 6) AS rmsce,
+       round(max(abs(acc - conf)), 6) AS mce, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_bins FROM b"""))
+def q_calibration(spark, sf_dir):
+    """Confidence calibration (ECE, RMSCE, MCE) of the argmax class, 10 bins."""
+    p = _emb_probs(spark, sf_dir)
+    scored = p.select(F.array_max("prob").alias("conf"), (M.argmax_index("prob") == F.col("label")).alias("correct"))
+    return M.calibration(scored, "conf", "correct", 10)

@@ -130,3 +130,19 @@ def q_target_comparison(spark, sf_dir):
                     statistics.fmean(r["weighted_f1"] for r in res), statistics.fmean(r["accuracy"] for r in res)))
     return spark.createDataFrame(out, "target string, f1_macro_mean double, f1_macro_std double, "
                                       "f1_weighted double, accuracy double")
+
+
+@query("per_round_scores")
+def q_per_round_scores(spark, sf_dir):
+    """Native-style search step: macro-F1 of the held-out fold after each
+    boosting round (tree prefixes), with the best round and the patience stop."""
+    from foldwise.operators import history as H
+    data, _ = training_rows(spark, sf_dir)
+    n = 8
+    model = T.make_classifier("ovr_gbt", {"n_estimators": n, "max_depth": 3}).fit(data.filter(F.col("fold") != 0))
+    preds = T.ovr_round_predictions(model, data.filter(F.col("fold") == 0), range(1, n + 1))
+    scores = T.round_scores(preds).withColumn("trial", F.lit(1))
+    best = H.best_round(scores, "trial", "round", "macro_f1")
+    stop = H.early_stop_round(scores, 3, "trial", "round", "macro_f1")
+    return (scores.join(best, "trial").join(stop, "trial")
+                  .select("round", "macro_f1", "accuracy", "best_round", "stop_round"))

@@ -149,3 +149,17 @@ def load_model(path: str):
         except Exception:  # noqa: BLE001 - try the next model type
             continue
     raise ValueError(f"no loadable model at {path}")
+
+
+def load_sampled_dataset(spark: SparkSession, data_dir: str, sample_fraction: float, seed: int = 42,
+                         mapping: dict[str, str] | None = None) -> DataFrame:
+    """One lazy plan: scan every group's file, strip resident prefixes, drop
+    the catch-all label, add the general label, then draw an exact per-group
+    sample (nothing is collected; the reference collected each home first)."""
+    from foldwise.functions.labels import clean_and_generalise
+    df = clean_and_generalise(load_groups(spark, data_dir), mapping=mapping)
+    if sample_fraction and sample_fraction < 1:
+        from foldwise.operators.sampling import exact_group_sample
+        df = df.withColumn("__row", F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
+        df = exact_group_sample(df, GROUP_COLUMN, "__row", sample_fraction, seed).drop("__row")
+    return df

@@ -63,3 +63,14 @@ def test_resume_anti_join(spark):
     units = spark.createDataFrame([(1,), (2,), (3,)], "fold int")
     done = spark.createDataFrame([(2, 0.5)], "fold int, acc double")
     assert sorted(r.fold for r in R.unfinished(units, done, ["fold"]).collect()) == [1, 3]
+
+
+def test_run_record_round_trip(spark, tmpdir_path):
+    rec = R.make_run_record(spark, timestamp="20260101_000000", api="native", target_column="activity_general",
+                            metric_primary_cv=0.5, classes=[f"c{i}" for i in range(11)])
+    R.append_run(rec, f"{tmpdir_path}/runs")
+    R.append_run(rec, f"{tmpdir_path}/runs")
+    back = spark.read.schema(R.RUN_RECORD_SCHEMA).json(f"{tmpdir_path}/runs")
+    assert back.count() == 2
+    runs = R.runs_table(back.withColumn("source_file", back["timestamp"]))
+    assert R.comparable_runs(runs).count() == 2
