@@ -2,16 +2,15 @@
 
 CSV traps handled here:
 * Spark binds a user schema and even a header **by position**; files with
-  different headers read together would silently shift columns.  Files are
-  therefore grouped by header, each group is read as all-string columns, and
-  columns are cast **by name**, then unioned by name.
+  different headers read together would silently shift columns.  Each line
+  is therefore bound to its own file's header by name (see
+  :func:`read_group_csvs`), then cast by name.
 * ``cast('3.0' as int)`` raises under ANSI mode: integers go through double.
 * A non-numeric cell raises (ANSI cast), as the reference's strict cast does.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +44,6 @@ def group_path(data_dir: str, group: str, suffix: str = FEATURE_FILE_SUFFIX) ->
     return f"{data_dir.rstrip('/')}/{group}/{group}{suffix}"
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    return tuple(spark.read.option("header", True).option("enforceSchema", False).csv(path).columns)
-
-
 def cast_by_name(df: DataFrame, types: dict[str, DataType]) -> DataFrame:
     """Cast every known column by name; integers via double ("3.0" -> 3).
     Unknown columns are kept as they are."""
@@ -66,25 +61,34 @@ def cast_by_name(df: DataFrame, types: dict[str, DataType]) -> DataFrame:
 
 
 def read_group_csvs(spark: SparkSession, paths: Sequence[str], types: dict[str, DataType] | None = None,
-                    group_from_path: bool = True) -> DataFrame:
-    """Read feature CSVs that may have different headers; cast by name;
-    union by name (missing columns become NULL)."""
+                    group_from_path: bool = True, label_col: str = "activity") -> DataFrame:
+    """Read feature CSVs that may have different headers in ONE distributed
+    scan, binding every value to its own file's header by name.
+
+    Lines are split into fields; a file's header is its line that names the
+    label column.  A one-row-per-file header table is joined back and each
+    data line becomes ``map(header -> value)``, from which every column is
+    taken by name and cast.  Files without some column give NULL there (the
+    diagonal union); a line whose field count differs from its header, or a
+    duplicated header name, fails the job.
+    """
     if not paths:
         raise FileNotFoundError("no feature files to read")
     types = feature_types() if types is None else types
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for p in paths:
-        by_header[_header(spark, p)].append(p)
-    frames = []
-    for _, group_paths in sorted(by_header.items()):
-        raw = spark.read.option("header", True).option("enforceSchema", False).csv(list(group_paths))
-        if group_from_path:
-            raw = raw.withColumn(GROUP_COLUMN, F.regexp_extract(F.col("_metadata.file_path"), GROUP_FROM_PATH, 1))
-        frames.append(cast_by_name(raw, types))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    lines = (spark.read.text(list(paths))
+             .select(F.col("_metadata.file_path").alias("__file"), F.split("value", ",").alias("__f"))
+             .filter(F.size("__f") > 1))
+    is_header = F.array_contains("__f", label_col)
+    headers = lines.filter(is_header).groupBy("__file").agg(F.first("__f").alias("__names"))
+    # every column name of every header: a tiny list (schema metadata)
+    names = [r[0] for r in headers.select(F.explode("__names")).distinct().collect()]
+    order = [c for c in types if c in names] + sorted(c for c in names if c not in types)
+    data = lines.filter(~is_header).join(headers, "__file", "inner")
+    m = F.map_from_arrays("__names", "__f")
+    raw = data.select(*[F.element_at(m, F.lit(c)).alias(c) for c in order],
+                      *([F.regexp_extract("__file", GROUP_FROM_PATH, 1).alias(GROUP_COLUMN)]
+                        if group_from_path else []))
+    return cast_by_name(raw, types)
 
 
 def load_group(spark: SparkSession, group: str, data_dir: str) -> DataFrame:
