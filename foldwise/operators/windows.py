@@ -3,13 +3,12 @@ feature files were made from: one row per event, describing the last
 ``window_rows`` events of its group).
 
 Skew: a window partitioned by group alone would put a hot group (say a third
-of all events) in one task.  Instead each group's events get an exact
-sequence number (bucketed by minute, see :func:`exact_sequence`), are cut
-into chunks of ``chunk_rows`` and every chunk is given the last
-``window_rows - 1`` rows of the previous chunk as read-only context (a
-halo).  Row frames inside a (group, chunk) partition then see exactly the
-rows a whole-group window would.  "Time since type t" reaches back past the
-halo through a per-chunk carry table (one row per chunk).
+of all events) in one task.  Instead each group's time buckets (minutes) are
+cut into chunks of about ``chunk_rows`` rows, and every chunk also receives
+the buckets holding the ``window_rows - 1`` rows before it as read-only
+context (a halo), even when those span several earlier chunks.  Row frames inside a (group, chunk) partition
+then see exactly the rows a whole-group window would.  "Time since type t"
+reaches back past the halo through the per-bucket table.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.ranking import exact_sequence
 
 DEFAULT_WINDOW = 30
 DEFAULT_CHUNK = 4096
@@ -38,43 +36,67 @@ def event_window_features(df: DataFrame, group_col: str, ts_col: str, id_col: st
                           types: Sequence[str], window_rows: int = DEFAULT_WINDOW,
                           chunk_rows: int = DEFAULT_CHUNK, cap_seconds: float = ELAPSED_CAP,
                           motion_type: str | None = None, count_prefix: str = "sensorCount-",
-                          eltime_prefix: str = "sensorElTime-") -> DataFrame:
+                          eltime_prefix: str = "sensorElTime-",
+                          bucket_format: str = "yyyyMMddHHmm") -> DataFrame:
+    """Per event: the last ``window_rows`` events of its group (ordered by
+    time, then id) summarised as counts per type, span, gap, entropy and type
+    changes, plus seconds since each type was last seen (capped).
+
+    Plan: one scan aggregates per (group, time bucket) row counts and the
+    latest time of each type.  On that small table, windows per group give
+    each bucket its starting row offset, its chunk (``offset // chunk_rows``),
+    the later chunks it is context for (those starting within the next
+    ``window_rows - 1`` rows; its rows are copied there) and the latest time
+    of each type in all earlier buckets.  A second scan joins that table,
+    and one shuffle by (group, chunk) evaluates the row frames.  No task
+    holds more than one chunk (plus context) of a group.
+    """
     if chunk_rows < window_rows:
         raise ValueError("chunk_rows must be at least window_rows")
     types = list(types)
     W, C = window_rows, chunk_rows
-    base = df.select(group_col, id_col, ts_col, type_col)
-    seq = exact_sequence(base, [group_col], [F.col(ts_col), F.col(id_col)],
-                         F.date_format(F.col(ts_col), "yyyyMMddHHmm"), "__seq")
-    seq = seq.withColumns({"__chunk": F.floor((F.col("__seq") - 1) / C),
-                           "__halo": ((F.col("__seq") - 1) % C) >= (C - (W - 1))})
-    rows = seq.withColumn("__part", F.explode(
-        F.when(F.col("__halo"), F.array(F.col("__chunk"), F.col("__chunk") + 1)).otherwise(F.array(F.col("__chunk")))))
-
-    w = Window.partitionBy(group_col, "__part").orderBy("__seq")
+    t, ts = F.col(type_col), F.col(ts_col)
+    bucket = F.date_format(ts, bucket_format)
+    base = df.select(group_col, id_col, ts_col, type_col).withColumn("__b", bucket)
+
+    # ---- small table: one row per (group, bucket) ----
+    per_b = base.groupBy(group_col, "__b").agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.max(F.when(t == x, ts)).alias(f"__m_{i}") for i, x in enumerate(types)])
+    wg = Window.partitionBy(group_col).orderBy("__b")
+    before = wg.rowsBetween(Window.unboundedPreceding, -1)
+    per_b = per_b.select(
+        group_col, "__b", "__n",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
+        *[F.max(f"__m_{i}").over(before).alias(f"__k_{i}") for i in range(len(types))])
+    per_b = per_b.withColumn("__chunk", F.floor(F.col("__start") / C))
+    # A bucket is context for every later chunk starting within the W-1 rows
+    # after it.  Each bucket holds >= 1 row, so those chunk starts are among the
+    # next W-1 buckets: a bounded look-ahead frame on the small table.
+    ahead = F.collect_list(F.struct(F.col("__start").alias("s"), F.col("__chunk").alias("c"))).over(
+        wg.rowsBetween(1, W - 1))
+    end = F.col("__start") + F.col("__n")
+    targets = F.array_distinct(F.transform(
+        F.filter(ahead, lambda x: (x["s"] < end + (W - 1)) & (x["c"] != F.col("__chunk"))), lambda x: x["c"]))
+    per_b = per_b.withColumn("__parts", F.array_union(F.array(F.col("__chunk")), targets))
+
+    # ---- rows: join the bucket table, add context copies, one shuffle ----
+    rows = base.join(per_b.drop("__n", "__start"), [group_col, "__b"], "inner")
+    rows = rows.withColumn("__part", F.explode("__parts")).drop("__parts")
+    w = Window.partitionBy(group_col, "__part").orderBy(ts_col, id_col)
     frame = w.rowsBetween(-(W - 1), 0)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = F.col(type_col)
     prev_type = F.lag(t, 1).over(w)
     stage1 = rows.withColumns({
         "__changed": F.when(prev_type.isNotNull() & (prev_type != t), 1).otherwise(0),
         "__first_ts": F.min(ts_col).over(frame),
         "__prev_ts": F.lag(ts_col, 1).over(w),
         **{f"__c_{i}": F.sum(F.when(t == x, 1).otherwise(0)).over(frame) for i, x in enumerate(types)},
-        **{f"__l_{i}": F.max(F.when(t == x, F.col(ts_col))).over(upto) for i, x in enumerate(types)},
+        **{f"__l_{i}": F.max(F.when(t == x, ts)).over(upto) for i, x in enumerate(types)},
     })
     stage2 = stage1.withColumn("__transitions", F.sum("__changed").over(w.rowsBetween(-(W - 2), 0)))
     own = stage2.filter(F.col("__part") == F.col("__chunk"))
 
-    # carry-in: latest time of each type in all earlier chunks of the group (one row per chunk)
-    per_chunk = seq.groupBy(group_col, "__chunk").agg(
-        *[F.max(F.when(t == x, F.col(ts_col))).alias(f"__m_{i}") for i, x in enumerate(types)])
-    wc = Window.partitionBy(group_col).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select(group_col, "__chunk", *[F.max(f"__m_{i}").over(wc).alias(f"__k_{i}")
-                                                     for i in range(len(types))])
-    j = own.join(carry, [group_col, "__chunk"], "left")
-
-    ts = F.col(ts_col)
     n_frame = None
     for i in range(len(types)):
         n_frame = F.col(f"__c_{i}") if n_frame is None else n_frame + F.col(f"__c_{i}")
@@ -101,5 +123,4 @@ def event_window_features(df: DataFrame, group_col: str, ts_col: str, id_col: st
         last = F.greatest(F.col(f"__l_{i}"), F.col(f"__k_{i}"))
         cols[f"{eltime_prefix}{x}"] = F.coalesce(F.least(_seconds_between(ts, last), F.lit(cap_seconds)),
                                                  F.lit(cap_seconds))
-    out = j.select(group_col, id_col, ts_col, type_col, *[v.alias(k) for k, v in cols.items()])
-    return out
+    return own.select(group_col, id_col, ts_col, type_col, *[v.alias(k) for k, v in cols.items()])

@@ -56,3 +56,23 @@ def test_stream_matches_batch(spark, tmpdir_path):
     b = batch.select(*cols)
     assert g.count() == b.count()
     assert g.exceptAll(b).count() == 0
+
+
+def test_huge_bucket_makes_tiny_chunks(spark):
+    # one hour-sized bucket holds many rows, so chunks right after it are tiny
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    eid = 0
+    for m in range(40):
+        n = 25 if m == 3 else 1
+        for j in range(n):
+            rows.append((eid, base + dt.timedelta(minutes=m, seconds=j), 1, ["a", "b", "c"][eid % 3]))
+            eid += 1
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, home_id bigint, event_type string")
+    a = event_window_features(df, "home_id", "ts", "event_id", "event_type", ["a", "b", "c"], window_rows=6,
+                              chunk_rows=6)
+    b = event_window_features(df, "home_id", "ts", "event_id", "event_type", ["a", "b", "c"], window_rows=6,
+                              chunk_rows=100000)
+    assert a.count() == b.count() == len(rows)
+    assert a.exceptAll(b).count() == 0
