@@ -58,9 +58,17 @@ def logo_majority_predictions(gl: DataFrame, group_col: str, label_col: str) ->
         "n_present")
 
 
-def logo_majority_eval(df: DataFrame, group_col: str, label_col: str, digits: int = 6) -> DataFrame:
-    """Per held-out group: predicted majority label and accuracy / F1 / P / R."""
+def logo_majority_eval(df: DataFrame, group_col: str, label_col: str, digits: int = 6,
+                       materialise: bool = True) -> DataFrame:
+    """Per held-out group: predicted majority label and accuracy / F1 / P / R.
+
+    The (group, label) count table feeds six branches of the plan; it is
+    written once to the shared checkpoint folder (it has groups x labels
+    rows) so the source is scanned once, not once per branch."""
     gl = group_label_counts(df, group_col, label_col)
+    if materialise:
+        from foldwise.session import cut_lineage
+        gl = cut_lineage(gl)
     preds = logo_majority_predictions(gl, group_col, label_col)
     sizes = gl.groupBy(group_col).agg(F.sum("n").alias("n_rows"))
     own = gl.select(group_col, F.col(label_col).alias("predicted"), F.col("n").alias("correct"))

@@ -22,10 +22,13 @@ def label_counts(df: DataFrame, label_col: str, out_label: str = "label") -> Dat
 
 
 def label_counts_both(df: DataFrame, raw_col: str, general_col: str) -> DataFrame:
-    """Counts in both label spaces, long format (label_space, label, n)."""
-    raw = label_counts(df, raw_col).select(F.lit("raw").alias("label_space"), "label", "n")
-    gen = label_counts(df, general_col).select(F.lit("general").alias("label_space"), "label", "n")
-    return raw.unionByName(gen)
+    """Counts in both label spaces, long format (label_space, label, n), from
+    one scan (grouping sets)."""
+    gs = (df.groupingSets([[raw_col], [general_col]], raw_col, general_col)
+            .agg(F.grouping_id(raw_col, general_col).alias("__g"), F.count(F.lit(1)).alias("n")))
+    raw = F.col("__g") == 1
+    return gs.select(F.when(raw, F.lit("raw")).otherwise(F.lit("general")).alias("label_space"),
+                     F.when(raw, F.col(raw_col)).otherwise(F.col(general_col)).alias("label"), "n")
 
 
 def pair_counts(df: DataFrame, parent_col: str, child_col: str) -> DataFrame:
