@@ -89,3 +89,22 @@ def logo_majority_eval(df: DataFrame, group_col: str, label_col: str, digits: in
         F.round((c / n) / k, digits).alias("macro_precision"),
         F.round(F.when(F.col("correct") > 0, 1.0).otherwise(0.0) / k, digits).alias("macro_recall"),
     )
+
+
+def null_baselines(df: DataFrame, group_col: str, label_col: str, digits: int = 6) -> DataFrame:
+    """Per group: accuracy of the held-out majority label (trained on the
+    other groups), of the group's own majority label (in-sample), and the
+    uniform-guess expectation 1/k over the k classes seen anywhere."""
+    from foldwise.session import cut_lineage
+    gl = cut_lineage(group_label_counts(df, group_col, label_col))
+    preds = logo_majority_predictions(gl, group_col, label_col)
+    per = gl.groupBy(group_col).agg(F.sum("n").alias("n_rows"), F.max("n").alias("own_top"))
+    own = gl.select(group_col, F.col(label_col).alias("predicted"), F.col("n").alias("correct"))
+    k = gl.select(label_col).distinct().agg(F.count(F.lit(1))).scalar()
+    j = (preds.join(per, group_col).join(own, [group_col, "predicted"], "left")
+              .withColumn("correct", F.coalesce("correct", F.lit(0))))
+    n = F.col("n_rows").cast("double")
+    return j.select(group_col, F.col("n_rows").cast("bigint").alias("n_rows"),
+                    F.round(F.col("correct") / n, digits).alias("logo_majority_accuracy"),
+                    F.round(F.col("own_top") / n, digits).alias("in_group_majority_accuracy"),
+                    F.round(F.lit(1.0) / k, digits).alias("uniform_accuracy"))

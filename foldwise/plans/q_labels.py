@@ -107,3 +107,15 @@ def q_label_regex_filter(spark, sf_dir):
     """Drop labels matching a regex alternation (``ur|gn``: purchase, signup)."""
     ev = clean_events(spark, sf_dir).select("event_id", "home_id", "activity")
     return L.filter_labels_regex(ev, "activity", "ur|gn", keep=False)
+
+
+@query("null_baselines", with_(EV_CLEAN, LOGO_CTES) + r""",
+own AS (SELECT home_id, max(n) AS own_top FROM gl GROUP BY home_id),
+k AS (SELECT count(DISTINCT label) AS k FROM gl)
+SELECT logo.home_id, logo.n_rows, logo.accuracy AS logo_majority_accuracy,
+       round(own.own_top / logo.n_rows, 6) AS in_group_majority_accuracy,
+       round(1.0 / k.k, 6) AS uniform_accuracy
+FROM logo JOIN own USING (home_id), k""")
+def q_null_baselines(spark, sf_dir):
+    """Null-model baselines per group: held-out majority, in-group majority, 1/k."""
+    return baseline.null_baselines(clean_events(spark, sf_dir), "home_id", "activity_general")

@@ -127,3 +127,25 @@ def q_fold_assign_rows(spark, sf_dir):
     fm = splits.snake_group_kfold(ev, "home_id", 5)
     return (splits.assign_folds(ev, fm, "home_id").groupBy("fold")
                   .agg(F.count(F.lit(1)).alias("n_val"), F.countDistinct("home_id").alias("n_groups")))
+
+
+@query("fold_progress", with_(EV_CLEAN, r"""
+s AS (SELECT home_id, count(*) AS n FROM ev_clean GROUP BY 1),
+r AS (SELECT home_id, n, row_number() OVER (ORDER BY n DESC, home_id) - 1 AS r FROM s),
+f AS (SELECT CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 5 - 1 - r % 5 END AS INTEGER) AS fold, n FROM r),
+c AS (SELECT fold, CAST(sum(n) AS DOUBLE) / 1000 AS seconds FROM f GROUP BY fold)
+SELECT fold, seconds, CAST(row_number() OVER (ORDER BY fold) AS INTEGER) AS done, 5 AS total,
+       round(avg(seconds) OVER (ORDER BY fold ROWS UNBOUNDED PRECEDING), 6) AS avg_seconds,
+       round(avg(seconds) OVER (ORDER BY fold ROWS UNBOUNDED PRECEDING) * (5 - row_number() OVER (ORDER BY fold)), 6)
+         AS eta_seconds
+FROM c"""))
+def q_fold_progress(spark, sf_dir):
+    """Progress / remaining-time estimate over the folds of a grouped split,
+    with a fold's cost taken as its validation rows / 1000."""
+    from foldwise.operators.history import fold_progress
+    ev = _ev(spark, sf_dir)
+    fm = splits.snake_group_kfold(ev, "home_id", 5)
+    cost = fm.groupBy("fold").agg((F.sum("n").cast("double") / 1000).alias("seconds"))
+    out = fold_progress(cost, "fold", "seconds", total_folds=5)
+    return out.select("fold", "seconds", F.col("done").cast("int").alias("done"), F.col("total").cast("int").alias("total"),
+                      F.round("avg_seconds", 6).alias("avg_seconds"), F.round("eta_seconds", 6).alias("eta_seconds"))
