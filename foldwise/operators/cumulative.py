@@ -54,3 +54,49 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_col: str, sum_co
     out = joined.withColumns({f"cum_{c}": F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))
                               for c in sum_cols})
     return out.drop("__rb", *[f"__o_{c}" for c in sum_cols])
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    n_buckets: int = 1024, relative_error: float = 1e-4) -> DataFrame:
+    """Exact linear-interpolation quantiles (``quantile_cont``) of several
+    columns: one row per (column, prob) with ``value``.
+
+    Plan: approximate quantiles cut each column into ``n_buckets`` ranges (a
+    distributed sketch); counts per (column, bucket) give each bucket's first
+    rank; only the buckets holding the two order statistics around each
+    requested rank are ranked row by row (a window per (column, bucket)).
+    NULLs are ignored, like SQL aggregates.
+    """
+    from pyspark.ml.feature import QuantileDiscretizer
+    cols = list(cols)
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    qd = QuantileDiscretizer(numBuckets=n_buckets, inputCols=cols, outputCols=[f"__b_{c}" for c in cols],
+                             relativeError=relative_error, handleInvalid="keep")
+    b = qd.fit(src).transform(src)
+    long = b.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v"),
+                                                F.col(f"__b_{c}").alias("b")) for c in cols]))) \
+        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = long.groupBy("column", "b").agg(F.count(F.lit(1)).alias("n"))
+    wb = Window.partitionBy("column").orderBy("b")
+    offs = counts.select("column", "b", "n",
+                         F.coalesce(F.sum("n").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                    F.lit(0)).alias("start"),
+                         F.sum("n").over(wb.rowsBetween(Window.unboundedPreceding,
+                                                        Window.unboundedFollowing)).alias("total"))
+    # the two ranks (0-based) bracketing each requested quantile
+    p_arr = F.array(*[F.lit(float(p)) for p in probs])
+    targets = offs.select("column", "b", "start", "n", F.explode(F.transform(p_arr, lambda p: F.struct(
+        p.alias("p"), (p * (F.col("total") - 1)).alias("pos")))).alias("t"))
+    targets = targets.select("column", "b", "start", "n", F.col("t.p").alias("p"), F.col("t.pos").alias("pos"),
+                             F.explode(F.array(F.floor("t.pos"), F.ceil("t.pos"))).alias("r"))
+    need = targets.filter((F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("n")))
+    wanted = need.select("column", "b").distinct()
+    picked = (long.join(wanted, ["column", "b"], "left_semi")
+                  .withColumn("rn", F.row_number().over(Window.partitionBy("column", "b").orderBy("v")) - 1))
+    stats = need.join(picked, ["column", "b"]).filter(F.col("rn") == F.col("r") - F.col("start")) \
+        .select("column", "p", "pos", "r", "v").distinct()
+    lo = stats.filter(F.col("r") == F.floor("pos")).select("column", "p", "pos", F.col("v").alias("lo"))
+    hi = stats.filter(F.col("r") == F.ceil("pos")).select("column", "p", F.col("v").alias("hi"))
+    j = lo.join(hi, ["column", "p"])
+    frac = F.col("pos") - F.floor("pos")
+    return j.select("column", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("value"))

@@ -106,11 +106,13 @@ def bucket_coherence(df: DataFrame, parent_col: str, child_col: str, digits: int
                       F.round(F.col("top_n") / F.col("total"), digits).alias("top_share"))
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
-    """count / nulls / mean / std / min / max for each numeric column, one pass.
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6,
+                     quartiles: bool = True) -> DataFrame:
+    """count / nulls / mean / std / min / 25% / 50% / 75% / max per numeric column.
 
-    All statistics are mergeable aggregates, so this is a single partial +
-    final aggregation however many rows and columns there are.
+    The moments are mergeable aggregates (one partial + final aggregation);
+    the quartiles are exact (linear interpolation) via bucketed selection,
+    never by gathering a column into one task.
     """
     from pyspark.sql.types import NumericType
     cols = list(cols) if cols is not None else [f.name for f in df.schema.fields
@@ -127,6 +129,13 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: i
     rows = F.array(*[F.struct(F.lit(c).alias("column"),
                               *[F.col(f"{c}__{s}").alias(s) for s in stats]) for c in cols])
     out = wide.select(F.inline(rows))
-    return out.select("column", F.col("count").cast("bigint").alias("count"),
-                      F.col("nulls").cast("bigint").alias("null_count"),
-                      *[F.round(s, digits).alias(s) for s in ["mean", "std", "min", "max"]])
+    out = out.select("column", F.col("count").cast("bigint").alias("count"),
+                     F.col("nulls").cast("bigint").alias("null_count"),
+                     *[F.round(s, digits).alias(s) for s in ["mean", "std", "min", "max"]])
+    if not quartiles:
+        return out
+    from foldwise.operators.cumulative import exact_quantiles
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    qw = q.groupBy("column").agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("value"))), digits).alias(name)
+                                   for p, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
+    return out.join(qw, "column", "left")

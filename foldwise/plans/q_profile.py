@@ -102,7 +102,8 @@ def _describe_sql(table, cols):
         parts.append(
             f"SELECT '{c}' AS \"column\", count({x}) AS count, CAST(count(*) - count({x}) AS BIGINT) AS null_count, "
             f"round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, "
-            f"round(max({x}), 6) AS max FROM {table}")
+            f"round(max({x}), 6) AS max, round(quantile_cont({x}, 0.25), 6) AS q25, "
+            f"round(quantile_cont({x}, 0.5), 6) AS median, round(quantile_cont({x}, 0.75), 6) AS q75 FROM {table}")
     return "\nUNION ALL\n".join(parts)
 
 

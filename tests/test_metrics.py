@@ -56,3 +56,16 @@ def test_log_loss(spark):
     df = spark.createDataFrame([([0.2, 0.8], 1), ([0.5, 0.5], 0), ([1.0, 0.0], 1)], "p array<double>, y int")
     exp = (-math.log(0.8) - math.log(0.5) - math.log(1e-15)) / 3
     assert M.log_loss(df, "p", "y").first().log_loss == pytest.approx(exp, abs=1e-6)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from foldwise.operators.cumulative import exact_quantiles
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=5000).round(3)
+    b = rng.integers(0, 50, size=5000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = {(r.column, r.p): r.value for r in exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75], n_buckets=16).collect()}
+    for c, arr in (("a", a), ("b", b)):
+        for p in (0.25, 0.5, 0.75):
+            assert got[(c, p)] == pytest.approx(float(np.quantile(arr, p)), abs=1e-9)
