@@ -7,7 +7,8 @@ its first ``prefix_chars`` characters split every group into up to
 ``16 ** prefix_chars`` near-equal buckets.  Counts per (group, bucket) are a
 partial aggregate; cumulative counts over the buckets of a group are a window
 over that small table; the exact rank is then ``rows in earlier buckets +
-row_number inside the bucket``.  The ordering is the same total order as
+row_number inside the bucket``, and rows meet the count table on the
+balanced (group, bucket) key.  The ordering is the same total order as
 sorting by the full digest, so results equal the single-window formulation
 (and the DuckDB oracle) exactly.
 """
@@ -101,32 +102,26 @@ def exact_top_k_per_group(df: DataFrame, part_cols: Sequence[str], key_col: str,
     """Keep, per group, the first ``k`` rows by ``key_col`` where ``k`` may depend
     on the group size (``k_expr`` may use column ``__group_n``).
 
-    Only the single boundary bucket of each group is sorted; rows in earlier
-    buckets pass straight through and later buckets are pruned.
+    The (group, bucket) count table marks each bucket as wholly kept, cut
+    (the bucket holding the k-th row) or dropped.  Rows join it on
+    (group, bucket) -- a key that spreads a hot group over many tasks --
+    and are ranked inside their (group, bucket) only; the window reuses the
+    join's partitioning, so there is a single shuffle of the data.
     """
     part_cols = list(part_cols)
     buckets = bucket_counts(df, part_cols, key_col, prefix_chars).withColumn("__k", k_expr)
-    # one row per group: the bucket holding the k-th row and how many rows of it to keep
-    thr = (buckets.filter((F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__n") >= F.col("__k")))
-                  .select(*[F.col(c).alias(f"__r_{c}") for c in part_cols],
-                          F.col("__bucket").alias("__thr"),
-                          (F.col("__k") - F.col("__before")).alias("__need")))
+    before, n, k = F.col("__before"), F.col("__n"), F.col("__k")
+    stat = (buckets.filter(before < k)
+                   .select(*[F.col(c).alias(f"__r_{c}") for c in part_cols + ["__bucket"]],
+                           F.when(before + n <= k, F.lit(None).cast("bigint")).otherwise(k - before).alias("__need")))
     left = df.withColumn("__bucket", F.substring(F.col(key_col), 1, prefix_chars))
-    if part_cols:
-        cond = None
-        for c in part_cols:
-            e = left[c].eqNullSafe(thr[f"__r_{c}"])
-            cond = e if cond is None else cond & e
-        joined = left.join(thr, cond, "inner").drop(*[f"__r_{c}" for c in part_cols])
-    else:
-        # one threshold row: attach it as two scalar subqueries (no join)
-        joined = left.withColumns({"__thr": thr.select("__thr").scalar(),
-                                   "__need": thr.select("__need").scalar()})
-    below = joined.filter(F.col("__bucket") < F.col("__thr"))
-    w = (Window.partitionBy(*part_cols) if part_cols else Window.partitionBy("__bucket")).orderBy(
-        F.col(key_col), *[F.col(c) for c in tie_cols])
-    edge = (joined.filter(F.col("__bucket") == F.col("__thr"))
-                  .withColumn("__rn", F.row_number().over(w))
-                  .filter(F.col("__rn") <= F.col("__need"))
-                  .drop("__rn"))
-    return below.unionByName(edge).drop("__bucket", "__thr", "__need")
+    join_cols = part_cols + ["__bucket"]
+    cond = None
+    for c in join_cols:
+        e = left[c].eqNullSafe(stat[f"__r_{c}"])
+        cond = e if cond is None else cond & e
+    joined = left.join(stat, cond, "inner").drop(*[f"__r_{c}" for c in join_cols])
+    w = Window.partitionBy(*join_cols).orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
+    ranked = joined.withColumn("__rn", F.row_number().over(w))
+    return (ranked.filter(F.col("__need").isNull() | (F.col("__rn") <= F.col("__need")))
+                  .drop("__bucket", "__need", "__rn"))

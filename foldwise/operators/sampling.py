@@ -50,8 +50,9 @@ def quick_subset(df: DataFrame, group_col: str, n_groups: int | None = None,
     if groups is not None:
         out = out.filter(F.col(group_col).isin(list(groups)))
     elif n_groups is not None:
+        # at most n_groups rows (the limit is the size proof)
         first = (df.select(group_col).distinct().orderBy(group_col).limit(int(n_groups)))
-        out = out.join(first, group_col, "left_semi")
+        out = out.join(F.broadcast(first), group_col, "left_semi")
     if fraction:
         if id_col is None:
             raise ValueError("id_col is needed to sample")

@@ -91,9 +91,11 @@ def _check_splits(df: DataFrame, group_col: str, n_splits: int) -> int:
 
 
 def assign_folds(df: DataFrame, fold_map: DataFrame, group_col: str) -> DataFrame:
-    """Row -> fold by group (JN-4).  The map has one row per group; adaptive
-    execution broadcasts it when its measured size is small."""
-    return df.join(fold_map.select(group_col, "fold"), group_col, "inner")
+    """Row -> fold by group (JN-4).  The map has one row per group: it is
+    broadcast when its counted size is small, so a hot group never meets a
+    shuffle on the group key."""
+    from foldwise.operators.joins import join_lookup
+    return join_lookup(df, fold_map.select(group_col, "fold"), group_col, "inner")
 
 
 def fold_frames(df: DataFrame, fold: int, fold_col: str = "fold") -> tuple[DataFrame, DataFrame]:
