@@ -80,7 +80,20 @@ def q_fold_group_kfold(spark, sf_dir):
     return splits.snake_group_kfold(_ev(spark, sf_dir), "home_id", 5)
 
 
-@query("fold_group_kfold_greedy")
+@query("fold_group_kfold_greedy", "WITH RECURSIVE " + EV_CLEAN.strip() + r""",
+s AS (
+  SELECT home_id, n, row_number() OVER (ORDER BY n DESC, home_id) AS i
+  FROM (SELECT home_id, count(*) AS n FROM ev_clean GROUP BY 1)),
+r AS (
+  SELECT 0 AS i, CAST(NULL AS BIGINT) AS home_id, CAST(NULL AS INTEGER) AS fold, CAST(NULL AS BIGINT) AS n,
+         [0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT q.i, q.home_id, q.f, q.n,
+         list_transform(range(5), lambda j: q.loads[j + 1] + CASE WHEN j = q.f THEN q.n ELSE 0 END)
+  FROM (SELECT s.i, s.home_id, s.n, r.loads,
+               CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER) AS f
+        FROM r JOIN s ON s.i = r.i + 1) q)
+SELECT home_id, fold, n FROM r WHERE i > 0""")
 def q_fold_group_kfold_greedy(spark, sf_dir):
     """GroupKFold greedy assignment (sequential over per-group sizes)."""
     return splits.greedy_group_kfold(_ev(spark, sf_dir), "home_id", 5)
