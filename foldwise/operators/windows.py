@@ -24,12 +24,10 @@ DEFAULT_CHUNK = 4096
 ELAPSED_CAP = 86400.0
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
-
-
 def _seconds_between(later: Column, earlier: Column) -> Column:
-    return (_micros(later) - _micros(earlier)) / F.lit(1e6)
+    # timestamp_diff on TIMESTAMP_NTZ ignores the session time zone, so a
+    # daylight-saving change never adds or removes an hour
+    return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(1e6)
 
 
 def event_window_features(df: DataFrame, group_col: str, ts_col: str, id_col: str, type_col: str,

@@ -134,7 +134,7 @@ def q_group_leaderboard(spark, sf_dir):
     ncls = ev.groupBy("home_id").agg(F.countDistinct("activity_general").alias("n_classes"))
     runs = (logo.join(last, "home_id").join(ncls, "home_id").select(
         F.col("home_id").cast("string").alias("source_file"), "timestamp",
-        F.to_timestamp("timestamp", "yyyyMMdd_HHmmss").alias("ts"),
+        F.to_timestamp_ntz("timestamp", F.lit("yyyyMMdd_HHmmss")).alias("ts"),
         F.lit("majority").alias("api"), F.lit("activity_general_events").alias("target"),
         F.lit(None).cast("double").alias("sample_fraction"),
         F.col("macro_f1").alias("cv_primary"), F.col("weighted_f1").alias("train_f1_macro"),
