@@ -57,46 +57,93 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_col: str, sum_co
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    n_buckets: int = 1024, relative_error: float = 1e-4) -> DataFrame:
+                    accuracy: int = 500, max_exact: int = 200_000, max_rounds: int = 8) -> DataFrame:
     """Exact linear-interpolation quantiles (``quantile_cont``) of several
-    columns: one row per (column, prob) with ``value``.
+    columns: one row per (column, p) with ``value``.  NULL / NaN are ignored.
 
-    Plan: approximate quantiles cut each column into ``n_buckets`` ranges (a
-    distributed sketch); counts per (column, bucket) give each bucket's first
-    rank; only the buckets holding the two order statistics around each
-    requested rank are ranked row by row (a window per (column, bucket)).
-    NULLs are ignored, like SQL aggregates.
+    The two order statistics around each quantile are first bracketed:
+    ``percentile_approx`` (a mergeable sketch, one aggregation for all
+    columns) gives values just below and above them, and one counting
+    aggregation proves the bracket and gives the rank of its lower end.
+    Brackets holding more than ``max_exact`` rows are narrowed again inside
+    themselves.  Finally only the rows inside the brackets are ranked, per
+    (column, quantile).  Only scalars reach the driver.
     """
-    from pyspark.ml.feature import QuantileDiscretizer
-    cols = list(cols)
+    import math
+    cols, probs = list(cols), list(probs)
+    spark = df.sparkSession
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    qd = QuantileDiscretizer(numBuckets=n_buckets, inputCols=cols, outputCols=[f"__b_{c}" for c in cols],
-                             relativeError=relative_error, handleInvalid="keep")
-    b = qd.fit(src).transform(src)
-    long = b.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v"),
-                                                F.col(f"__b_{c}").alias("b")) for c in cols]))) \
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = long.groupBy("column", "b").agg(F.count(F.lit(1)).alias("n"))
-    wb = Window.partitionBy("column").orderBy("b")
-    offs = counts.select("column", "b", "n",
-                         F.coalesce(F.sum("n").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                                    F.lit(0)).alias("start"),
-                         F.sum("n").over(wb.rowsBetween(Window.unboundedPreceding,
-                                                        Window.unboundedFollowing)).alias("total"))
-    # the two ranks (0-based) bracketing each requested quantile
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = offs.select("column", "b", "start", "n", F.explode(F.transform(p_arr, lambda p: F.struct(
-        p.alias("p"), (p * (F.col("total") - 1)).alias("pos")))).alias("t"))
-    targets = targets.select("column", "b", "start", "n", F.col("t.p").alias("p"), F.col("t.pos").alias("pos"),
-                             F.explode(F.array(F.floor("t.pos"), F.ceil("t.pos"))).alias("r"))
-    need = targets.filter((F.col("r") >= F.col("start")) & (F.col("r") < F.col("start") + F.col("n")))
-    wanted = need.select("column", "b").distinct()
-    picked = (long.join(wanted, ["column", "b"], "left_semi")
-                  .withColumn("rn", F.row_number().over(Window.partitionBy("column", "b").orderBy("v")) - 1))
-    stats = need.join(picked, ["column", "b"]).filter(F.col("rn") == F.col("r") - F.col("start")) \
-        .select("column", "p", "pos", "r", "v").distinct()
-    lo = stats.filter(F.col("r") == F.floor("pos")).select("column", "p", "pos", F.col("v").alias("lo"))
-    hi = stats.filter(F.col("r") == F.ceil("pos")).select("column", "p", F.col("v").alias("hi"))
-    j = lo.join(hi, ["column", "p"])
-    frac = F.col("pos") - F.floor("pos")
-    return j.select("column", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * frac).alias("value"))
+    valid = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in cols}
+    counts = src.agg(*[F.count(F.when(valid[c], 1)).alias(c) for c in cols]).first()
+    # per (column, p): [lo rank, hi rank, frac, bracket lo, bracket hi, rows below, rows inside, lo value, hi value]
+    need: dict[tuple[str, float], list] = {}
+    for c in cols:
+        n = counts[c]
+        for p in probs:
+            if n:
+                pos = p * (n - 1)
+                need[(c, p)] = [math.floor(pos), math.ceil(pos), pos - math.floor(pos),
+                                float("-inf"), float("inf"), 0, n, None, None]
+    margin = 2.0 / accuracy
+    for _ in range(max_rounds):
+        todo = [k for k, v in need.items() if v[7] is None and v[6] > max_exact]
+        if not todo:
+            break
+        # one sketch per (column, bracket): every quantile sharing it reads the same sketch
+        groups: dict[tuple, list] = {}
+        for k in todo:
+            groups.setdefault((k[0],) + tuple(need[k][3:7]), []).append(k)
+        aggs, where = [], {}
+        for gi, (gkey, keys) in enumerate(groups.items()):
+            c, lo, hi, below, n_in = gkey
+            pct = []
+            for k in keys:
+                q_lo = (need[k][0] - below) / max(n_in - 1, 1)
+                q_hi = (need[k][1] - below) / max(n_in - 1, 1)
+                where[k] = (gi, len(pct))
+                pct += [max(0.0, q_lo - margin), min(1.0, q_hi + margin)]
+            inside = valid[c] & (F.col(c) >= lo) & (F.col(c) <= hi)
+            aggs.append(F.percentile_approx(F.when(inside, F.col(c)), pct, accuracy))
+        sketch = src.agg(*aggs).first()
+        bounds = [(sketch[where[k][0]][where[k][1]], sketch[where[k][0]][where[k][1] + 1]) for k in todo]
+        checks = []
+        for i, k in enumerate(todo):
+            b_lo, b_hi = bounds[i]
+            checks += [F.count(F.when(valid[k[0]] & (F.col(k[0]) < b_lo), 1)),
+                       F.count(F.when(valid[k[0]] & (F.col(k[0]) <= b_hi), 1))]
+        got = src.agg(*checks).first()
+        for i, k in enumerate(todo):
+            b_lo, b_hi = bounds[i]
+            below, upto = got[2 * i], got[2 * i + 1]
+            if below <= need[k][0] and need[k][1] < upto:     # bracket proven
+                need[k][3:7] = [b_lo, b_hi, below, upto - below]
+                if b_lo == b_hi:
+                    need[k][7] = need[k][8] = b_lo
+        margin *= 2                                          # an unproven bracket retries wider
+    open_keys = [k for k, v in need.items() if v[7] is None]
+    if open_keys:
+        inside = {k: valid[k[0]] & (F.col(k[0]) >= need[k][3]) & (F.col(k[0]) <= need[k][4]) for k in open_keys}
+        any_inside = None
+        for cond in inside.values():
+            any_inside = cond if any_inside is None else any_inside | cond
+        cand = F.filter(F.array(*[
+            F.when(inside[k], F.struct(F.lit(k[0]).alias("c"), F.lit(float(k[1])).alias("p"),
+                                       F.col(k[0]).alias("v")))
+            for k in open_keys]), lambda x: x.isNotNull())
+        rows = src.filter(any_inside).select(F.inline(cand))
+        ranks = spark.createDataFrame([(k[0], float(k[1]), need[k][0] - need[k][5], need[k][1] - need[k][5])
+                                       for k in open_keys], "c string, p double, r_lo long, r_hi long")
+        ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("c", "p").orderBy("v")) - 1)
+        picked = (ranked.join(F.broadcast(ranks), ["c", "p"])
+                        .filter((F.col("rn") == F.col("r_lo")) | (F.col("rn") == F.col("r_hi"))))
+        for row in picked.select("c", "p", "rn", "r_lo", "r_hi", "v").collect():  # <= 2 values per quantile
+            if row.rn == row.r_lo:
+                need[(row.c, row.p)][7] = row.v
+            if row.rn == row.r_hi:
+                need[(row.c, row.p)][8] = row.v
+    out = []
+    for c in cols:
+        for p in probs:
+            v = need.get((c, p))
+            out.append((c, float(p), None if v is None else v[7] + (v[8] - v[7]) * v[2]))
+    return spark.createDataFrame(out, "column string, p double, value double")
