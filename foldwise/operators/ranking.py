@@ -4,7 +4,10 @@ A plain ``row_number().over(Window.partitionBy(g).orderBy(k))`` sends every
 row of a group to one task; when one group holds a third of the table that
 task holds a third of the table.  Here the ordering key is a hex digest, so
 its first ``prefix_chars`` characters split every group into up to
-``16 ** prefix_chars`` near-equal buckets.  Counts per (group, bucket) are a
+``16 ** prefix_chars`` near-equal buckets; by default the length is chosen so
+the largest group gets about 4096 rows per bucket (so the bucket table stays
+small enough to broadcast when no group is large, and a hot group is still
+cut into many buckets).  Counts per (group, bucket) are a
 partial aggregate; cumulative counts over the buckets of a group are a window
 over that small table; the exact rank is then ``rows in earlier buckets +
 row_number inside the bucket``, and rows meet the count table on the
@@ -20,20 +23,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_PREFIX_CHARS = 4  # 65,536 buckets per group
+DEFAULT_PREFIX_CHARS = None   # chosen from the largest group (see auto_prefix_chars)
+TARGET_BUCKET_ROWS = 4096
 
 
-def hash_key(seed: int | str, *cols: str | Column) -> Column:
-    """Deterministic pseudo-random order key: md5 of ``seed|c1|c2...``.
+HASH_FN = "md5"   # "xxhash64" is several times cheaper but has no DuckDB equal
 
-    DuckDB's ``md5(seed || '|' || c1 || ...)`` yields the same string, so
-    the oracle can reproduce every selection.
+
+def hash_key(seed: int | str, *cols: str | Column, fn: str | None = None) -> Column:
+    """Deterministic pseudo-random order key as a fixed-width hex string.
+
+    ``md5`` of ``seed|c1|c2...``: DuckDB's ``md5(seed || '|' || c1 || ...)``
+    yields the same string, so the oracle can reproduce every selection.
+    ``xxhash64``: the 64-bit hash as 16 hex digits (uniform, much cheaper).
     """
+    fn = fn or HASH_FN
+    if fn == "xxhash64":
+        h = F.xxhash64(F.lit(str(seed)), *[F.col(c) if isinstance(c, str) else c for c in cols])
+        return F.lpad(F.hex(h), 16, "0")
     parts = [F.lit(str(seed))] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
                                   for c in cols]
     return F.md5(F.concat_ws("|", *parts))
 
 
+def auto_prefix_chars(df: DataFrame, part_cols: Sequence[str], target_rows: int = TARGET_BUCKET_ROWS) -> int:
+    """Digest-prefix length giving the largest group about ``target_rows``
+    rows per bucket (1..8 hex digits).  One small aggregation: the group
+    counts, of which only the maximum reaches the driver."""
+    import math
+    if part_cols:
+        biggest = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0
+    else:
+        biggest = df.count()
+    if biggest <= target_rows:
+        return 1
+    return max(1, min(8, math.ceil(math.log(biggest / target_rows, 16))))
+
+
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column | None:
     cond = None
     for c in cols:
@@ -62,6 +88,8 @@ def exact_rank(df: DataFrame, part_cols: Sequence[str], key_col: str, out_col: s
     Works for skewed groups: no task ever holds more than one bucket of one
     group.  ``with_group_size`` optionally adds the group's row count.
     """
+    if prefix_chars is None:
+        prefix_chars = auto_prefix_chars(df, part_cols)
     return exact_sequence(df, part_cols, [F.col(key_col)] + [F.col(c) for c in tie_cols],
                           F.substring(F.col(key_col), 1, prefix_chars), out_col, with_group_size)
 
@@ -109,6 +137,8 @@ def exact_top_k_per_group(df: DataFrame, part_cols: Sequence[str], key_col: str,
     join's partitioning, so there is a single shuffle of the data.
     """
     part_cols = list(part_cols)
+    if prefix_chars is None:
+        prefix_chars = auto_prefix_chars(df, part_cols)
     buckets = bucket_counts(df, part_cols, key_col, prefix_chars).withColumn("__k", k_expr)
     before, n, k = F.col("__before"), F.col("__n"), F.col("__k")
     stat = (buckets.filter(before < k)
