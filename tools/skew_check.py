@@ -47,8 +47,10 @@ def main() -> None:
                      (F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, 0, c)")).alias("ts"),
                      F.when(F.abs(F.hash("event_id", "c")) % 3 == 0, F.lit(0)).otherwise(F.col("user_id"))
                       .alias("user_id"), "event_type", "value")
-    rep.repartition(32).write.parquet(f"{scratch}/skewed")   # many small input splits
-    df = spark.read.parquet(f"{scratch}/skewed")
+    from foldwise.session import ensure_checkpoint_dir
+    data_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/skewed"   # the shared folder, not a local one
+    rep.repartition(32).write.parquet(data_dir)   # many small input splits
+    df = spark.read.parquet(data_dir)
     n = df.count()
     hot = df.filter("user_id = 0").count()
 
