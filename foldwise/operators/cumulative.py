@@ -56,94 +56,130 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_col: str, sum_co
     return out.drop("__rb", *[f"__o_{c}" for c in sum_cols])
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    accuracy: int = 500, max_exact: int = 200_000, max_rounds: int = 8) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], n_bins: int = 4096,
+                    max_exact: int = 200_000, max_rounds: int = 8) -> DataFrame:
     """Exact linear-interpolation quantiles (``quantile_cont``) of several
     columns: one row per (column, p) with ``value``.  NULL / NaN are ignored.
 
-    The two order statistics around each quantile are first bracketed:
-    ``percentile_approx`` (a mergeable sketch, one aggregation for all
-    columns) gives values just below and above them, and one counting
-    aggregation proves the bracket and gives the rank of its lower end.
-    Brackets holding more than ``max_exact`` rows are narrowed again inside
-    themselves.  Finally only the rows inside the brackets are ranked, per
-    (column, quantile).  Only scalars reach the driver.
+    Selection by exact histograms: one aggregation gives counts, minima and
+    maxima; one aggregation per round counts rows per (column, equal-width
+    bin) -- at most ``n_bins`` numbers per column, collected -- which locates
+    the bins holding the two order statistics around each quantile and the
+    exact number of rows below them.  A located range with more than
+    ``max_exact`` rows is histogrammed again inside itself; the rows of the
+    final ranges are ranked per (column, quantile).  No task ever holds more
+    than one range, and no sketch approximation is involved.
     """
     import math
     cols, probs = list(cols), list(probs)
     spark = df.sparkSession
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     valid = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in cols}
-    counts = src.agg(*[F.count(F.when(valid[c], 1)).alias(c) for c in cols]).first()
-    # per (column, p): [lo rank, hi rank, frac, bracket lo, bracket hi, rows below, rows inside, lo value, hi value]
-    need: dict[tuple[str, float], list] = {}
-    for c in cols:
-        n = counts[c]
+    agg = src.agg(*[x for c in cols for x in (F.count(F.when(valid[c], 1)), F.min(F.when(valid[c], F.col(c))),
+                                               F.max(F.when(valid[c], F.col(c))))]).first()
+    B = int(n_bins)
+
+    def bin_of(c: str, lo: float, hi: float) -> Column:
+        width = (hi - lo) / B
+        b = F.floor((F.col(c) - F.lit(lo)) / F.lit(width)) if width > 0 else F.lit(0)
+        return F.least(F.greatest(b, F.lit(0)), F.lit(B - 1)).cast("int")
+
+    # per (column, p): ranks, fraction, membership constraints, rows below, rows inside, values
+    need: dict[tuple[str, float], dict] = {}
+    for i, c in enumerate(cols):
+        n, mn, mx = agg[3 * i], agg[3 * i + 1], agg[3 * i + 2]
         for p in probs:
-            if n:
-                pos = p * (n - 1)
-                need[(c, p)] = [math.floor(pos), math.ceil(pos), pos - math.floor(pos),
-                                float("-inf"), float("inf"), 0, n, None, None]
-    margin = 2.0 / accuracy
+            if not n:
+                continue
+            pos = p * (n - 1)
+            k = {"r": (math.floor(pos), math.ceil(pos)), "frac": pos - math.floor(pos), "cons": [],
+                 "range": (mn, mx), "below": 0, "inside": n, "v": [None, None]}
+            if mn == mx:
+                k["v"] = [mn, mx]
+            need[(c, p)] = k
+
+    def member(c: str, k: dict) -> Column:
+        cond = valid[c]
+        for lo, hi, b1, b2 in k["cons"]:
+            cond = cond & (bin_of(c, lo, hi) >= b1) & (bin_of(c, lo, hi) <= b2)
+        return cond
+
     for _ in range(max_rounds):
-        todo = [k for k, v in need.items() if v[7] is None and v[6] > max_exact]
+        todo = [key for key, k in need.items() if k["v"][0] is None and k["inside"] > max_exact]
         if not todo:
             break
-        # one sketch per (column, bracket): every quantile sharing it reads the same sketch
+        # one histogram per distinct (column, current range, constraints)
         groups: dict[tuple, list] = {}
-        for k in todo:
-            groups.setdefault((k[0],) + tuple(need[k][3:7]), []).append(k)
-        aggs, where = [], {}
-        for gi, (gkey, keys) in enumerate(groups.items()):
-            c, lo, hi, below, n_in = gkey
-            pct = []
-            for k in keys:
-                q_lo = (need[k][0] - below) / max(n_in - 1, 1)
-                q_hi = (need[k][1] - below) / max(n_in - 1, 1)
-                where[k] = (gi, len(pct))
-                pct += [max(0.0, q_lo - margin), min(1.0, q_hi + margin)]
-            inside = valid[c] & (F.col(c) >= lo) & (F.col(c) <= hi)
-            aggs.append(F.percentile_approx(F.when(inside, F.col(c)), pct, accuracy))
-        sketch = src.agg(*aggs).first()
-        bounds = [(sketch[where[k][0]][where[k][1]], sketch[where[k][0]][where[k][1] + 1]) for k in todo]
-        checks = []
-        for i, k in enumerate(todo):
-            b_lo, b_hi = bounds[i]
-            checks += [F.count(F.when(valid[k[0]] & (F.col(k[0]) < b_lo), 1)),
-                       F.count(F.when(valid[k[0]] & (F.col(k[0]) <= b_hi), 1))]
-        got = src.agg(*checks).first()
-        for i, k in enumerate(todo):
-            b_lo, b_hi = bounds[i]
-            below, upto = got[2 * i], got[2 * i + 1]
-            if below <= need[k][0] and need[k][1] < upto:     # bracket proven
-                need[k][3:7] = [b_lo, b_hi, below, upto - below]
-                if b_lo == b_hi:
-                    need[k][7] = need[k][8] = b_lo
-        margin *= 2                                          # an unproven bracket retries wider
-    open_keys = [k for k, v in need.items() if v[7] is None]
+        for key in todo:
+            k = need[key]
+            groups.setdefault((key[0], k["range"], tuple(k["cons"])), []).append(key)
+        parts = []
+        for gi, ((c, (lo, hi), _), keys) in enumerate(groups.items()):
+            parts.append(F.when(member(c, need[keys[0]]),
+                                F.struct(F.lit(gi).alias("g"), bin_of(c, lo, hi).alias("b"), F.col(c).alias("v"))))
+        # inline a fixed-size array and drop the NULL slots (no lambda: stays in codegen)
+        hist_rows = (src.select(F.inline(F.array(*parts))).filter(F.col("g").isNotNull())
+                        .groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"),
+                                               F.max("v").alias("mx")).collect())
+        hist: dict[int, dict[int, int]] = {}
+        edge: dict[tuple[int, int], tuple[float, float]] = {}
+        for row in hist_rows:                          # <= n_bins (count, min, max) per histogram
+            hist.setdefault(row.g, {})[row.b] = row.n
+            edge[(row.g, row.b)] = (row.mn, row.mx)
+        for gi, ((c, (lo, hi), _), keys) in enumerate(groups.items()):
+            bins = sorted(hist.get(gi, {}).items())
+            width = (hi - lo) / B
+            for key in keys:
+                k = need[key]
+                start, b1, b2, below_b1, rows = k["below"], None, None, None, 0
+                for b, cnt in bins:
+                    if b1 is None and start + cnt > k["r"][0]:
+                        b1, below_b1 = b, start
+                    if b1 is not None:
+                        rows += cnt
+                    if start + cnt > k["r"][1]:
+                        b2 = b
+                        break
+                    start += cnt
+                k["cons"] = k["cons"] + [(lo, hi, b1, b2)]
+                k["range"] = (lo + b1 * width, lo + (b2 + 1) * width) if width > 0 else (lo, hi)
+                k["below"], k["inside"] = below_b1, rows
+                # an order statistic is known when its bin holds one distinct value, or
+                # when it is the first (last) row of its bin: the bin's min (max)
+                mn1, mx1 = edge[(gi, b1)]
+                mn2, mx2 = edge[(gi, b2)]
+                v_lo = mn1 if (mn1 == mx1 or k["r"][0] == below_b1) else None
+                last_of_b2 = below_b1 + rows - 1
+                v_hi = mx2 if (mn2 == mx2 or k["r"][1] == last_of_b2) else None
+                if b1 == b2 and k["r"][1] == below_b1 and v_lo is not None:
+                    v_hi = v_lo if k["r"][1] == k["r"][0] else v_hi
+                if v_lo is not None and v_hi is not None:
+                    k["v"] = [v_lo, v_hi]
+    open_keys = [key for key, k in need.items() if k["v"][0] is None]
     if open_keys:
-        inside = {k: valid[k[0]] & (F.col(k[0]) >= need[k][3]) & (F.col(k[0]) <= need[k][4]) for k in open_keys}
-        any_inside = None
-        for cond in inside.values():
-            any_inside = cond if any_inside is None else any_inside | cond
-        cand = F.filter(F.array(*[
-            F.when(inside[k], F.struct(F.lit(k[0]).alias("c"), F.lit(float(k[1])).alias("p"),
-                                       F.col(k[0]).alias("v")))
-            for k in open_keys]), lambda x: x.isNotNull())
-        rows = src.filter(any_inside).select(F.inline(cand))
-        ranks = spark.createDataFrame([(k[0], float(k[1]), need[k][0] - need[k][5], need[k][1] - need[k][5])
-                                       for k in open_keys], "c string, p double, r_lo long, r_hi long")
+        conds = {key: member(key[0], need[key]) for key in open_keys}
+        any_in = None
+        for cond in conds.values():
+            any_in = cond if any_in is None else any_in | cond
+        cand = F.array(*[
+            F.when(conds[key], F.struct(F.lit(key[0]).alias("c"), F.lit(float(key[1])).alias("p"),
+                                        F.col(key[0]).alias("v")))
+            for key in open_keys])
+        rows = src.filter(any_in).select(F.inline(cand)).filter(F.col("c").isNotNull())
+        ranks = spark.createDataFrame([(key[0], float(key[1]), need[key]["r"][0] - need[key]["below"],
+                                        need[key]["r"][1] - need[key]["below"]) for key in open_keys],
+                                      "c string, p double, r_lo long, r_hi long")
         ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("c", "p").orderBy("v")) - 1)
         picked = (ranked.join(F.broadcast(ranks), ["c", "p"])
                         .filter((F.col("rn") == F.col("r_lo")) | (F.col("rn") == F.col("r_hi"))))
         for row in picked.select("c", "p", "rn", "r_lo", "r_hi", "v").collect():  # <= 2 values per quantile
             if row.rn == row.r_lo:
-                need[(row.c, row.p)][7] = row.v
+                need[(row.c, row.p)]["v"][0] = row.v
             if row.rn == row.r_hi:
-                need[(row.c, row.p)][8] = row.v
+                need[(row.c, row.p)]["v"][1] = row.v
     out = []
     for c in cols:
         for p in probs:
-            v = need.get((c, p))
-            out.append((c, float(p), None if v is None else v[7] + (v[8] - v[7]) * v[2]))
+            k = need.get((c, p))
+            out.append((c, float(p), None if k is None else k["v"][0] + (k["v"][1] - k["v"][0]) * k["frac"]))
     return spark.createDataFrame(out, "column string, p double, value double")
