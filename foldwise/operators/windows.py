@@ -30,12 +30,34 @@ def _seconds_between(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(1e6)
 
 
+BUCKET_FORMATS = ["yyyyMMdd", "yyyyMMddHH", "yyyyMMddHHmm", "yyyyMMddHHmmss"]
+
+
+def pick_bucket_format(df: DataFrame, group_col: str, ts_col: str, max_rows: int) -> str:
+    """The coarsest time bucket (day, hour, minute, second) whose busiest
+    (group, bucket) holds at most ``max_rows`` rows.  One aggregation: rows
+    per (group, day, hour, minute) rolled up, only the maxima reach the driver.
+    A coarse bucket keeps the per-bucket table small; a fine one keeps a
+    hot group's bucket from growing with the data."""
+    ts = F.col(ts_col)
+    per_min = df.groupBy(group_col, F.date_format(ts, "yyyyMMddHHmm").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    per_hour = per_min.groupBy(group_col, F.substring("m", 1, 10).alias("h")).agg(
+        F.sum("n").alias("n"), F.max("n").alias("max_min"))
+    top = per_hour.groupBy(group_col, F.substring("h", 1, 8).alias("d")).agg(
+        F.sum("n").alias("n"), F.max("n").alias("max_hour"), F.max("max_min").alias("max_min")).agg(
+        F.max("n").alias("day"), F.max("max_hour").alias("hour"), F.max("max_min").alias("minute")).first()
+    for fmt, biggest in zip(BUCKET_FORMATS, (top["day"], top["hour"], top["minute"])):
+        if (biggest or 0) <= max_rows:
+            return fmt
+    return BUCKET_FORMATS[-1]
+
+
 def event_window_features(df: DataFrame, group_col: str, ts_col: str, id_col: str, type_col: str,
                           types: Sequence[str], window_rows: int = DEFAULT_WINDOW,
                           chunk_rows: int = DEFAULT_CHUNK, cap_seconds: float = ELAPSED_CAP,
                           motion_type: str | None = None, count_prefix: str = "sensorCount-",
                           eltime_prefix: str = "sensorElTime-",
-                          bucket_format: str = "yyyyMMddHHmm") -> DataFrame:
+                          bucket_format: str | None = "yyyyMMddHHmm") -> DataFrame:
     """Per event: the last ``window_rows`` events of its group (ordered by
     time, then id) summarised as counts per type, span, gap, entropy and type
     changes, plus seconds since each type was last seen (capped).
@@ -54,6 +76,8 @@ def event_window_features(df: DataFrame, group_col: str, ts_col: str, id_col: st
     types = list(types)
     W, C = window_rows, chunk_rows
     t, ts = F.col(type_col), F.col(ts_col)
+    if bucket_format is None:   # opt-in: one extra aggregation picks the coarsest safe bucket
+        bucket_format = pick_bucket_format(df, group_col, ts_col, max(W, C // 4))
     bucket = F.date_format(ts, bucket_format)
     base = df.select(group_col, id_col, ts_col, type_col).withColumn("__b", bucket)
 

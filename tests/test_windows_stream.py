@@ -76,3 +76,10 @@ def test_huge_bucket_makes_tiny_chunks(spark):
                               chunk_rows=100000)
     assert a.count() == b.count() == len(rows)
     assert a.exceptAll(b).count() == 0
+
+
+def test_auto_bucket_matches_minute_bucket(spark):
+    a = event_window_features(_ev(spark), "home_id", "ts", "event_id", "event_type", EVENT_TYPES,
+                              window_rows=5, chunk_rows=6, bucket_format=None)
+    b = _feat(spark, 100000)
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
