@@ -80,6 +80,6 @@ def test_huge_bucket_makes_tiny_chunks(spark):
 
 def test_auto_bucket_matches_minute_bucket(spark):
     a = event_window_features(_ev(spark), "home_id", "ts", "event_id", "event_type", EVENT_TYPES,
-                              window_rows=5, chunk_rows=6, bucket_format=None)
+                              window_rows=5, chunk_rows=6, motion_type="click", bucket_format=None)
     b = _feat(spark, 100000)
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
