@@ -5,9 +5,10 @@ row of a group to one task; when one group holds a third of the table that
 task holds a third of the table.  Here the ordering key is a hex digest, so
 its first ``prefix_chars`` characters split every group into up to
 ``16 ** prefix_chars`` near-equal buckets; by default the length is chosen so
-the largest group gets about 4096 rows per bucket (so the bucket table stays
-small enough to broadcast when no group is large, and a hot group is still
-cut into many buckets).  Counts per (group, bucket) are a
+the largest group of n rows gets about sqrt(n) buckets of about sqrt(n) rows:
+neither the per-group offset window nor the per-bucket row window grows
+faster than sqrt(n), and the bucket table stays small enough to broadcast
+when no group is large.  Counts per (group, bucket) are a
 partial aggregate; cumulative counts over the buckets of a group are a window
 over that small table; the exact rank is then ``rows in earlier buckets +
 row_number inside the bucket``, and rows meet the count table on the
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_PREFIX_CHARS = None   # chosen from the largest group (see auto_prefix_chars)
-TARGET_BUCKET_ROWS = 4096
+TARGET_BUCKET_ROWS = 4096     # kept for callers; the automatic choice balances sqrt(n) x sqrt(n)
 
 
 HASH_FN = "md5"   # "xxhash64" is several times cheaper but has no DuckDB equal
@@ -47,17 +48,19 @@ def hash_key(seed: int | str, *cols: str | Column, fn: str | None = None) -> Col
 
 
 def auto_prefix_chars(df: DataFrame, part_cols: Sequence[str], target_rows: int = TARGET_BUCKET_ROWS) -> int:
-    """Digest-prefix length giving the largest group about ``target_rows``
-    rows per bucket (1..8 hex digits).  One small aggregation: the group
+    """Digest-prefix length (1..6 hex digits) balancing the two windows of an
+    exact rank for the largest group of n rows: about sqrt(n) buckets (the
+    offset window over that group's bucket table) holding about sqrt(n) rows
+    each (the row window per bucket).  One small aggregation: the group
     counts, of which only the maximum reaches the driver."""
     import math
     if part_cols:
         biggest = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("__c")).agg(F.max("__c")).first()[0] or 0
     else:
         biggest = df.count()
-    if biggest <= target_rows:
+    if biggest <= 16:
         return 1
-    return max(1, min(8, math.ceil(math.log(biggest / target_rows, 16))))
+    return max(1, min(6, math.ceil(math.log(biggest, 16) / 2)))
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column | None:
