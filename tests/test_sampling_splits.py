@@ -73,3 +73,19 @@ def test_stratified_balance(spark):
     ho = splits.random_holdout(df, "event_id", 0.33)
     import math
     assert ho.filter("is_test").count() == math.ceil(0.33 * df.count())
+
+
+def test_time_sequence_and_running_sums_match_plain_windows(spark):
+    from foldwise.operators.cumulative import running_sums
+    from foldwise.operators.ranking import exact_sequence
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    # make one user hot: a third of the rows
+    ev = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    a = exact_sequence(ev, ["user_id"], [F.col("ts"), F.col("event_id")], F.date_format("ts", "yyyyMMddHH"), "s")
+    b = ev.withColumn("s", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    assert a.select("event_id", "s").exceptAll(b.select("event_id", "s")).count() == 0
+    scores = ev.groupBy("user_id", F.col("value").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    r = running_sums(scores, ["user_id"], "score", ["n"], n_buckets=8)
+    w = Window.partitionBy("user_id").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    plain = scores.withColumn("cum_n", F.sum("n").over(w))
+    assert r.select("user_id", "score", "cum_n").exceptAll(plain.select("user_id", "score", "cum_n")).count() == 0
