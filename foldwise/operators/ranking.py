@@ -63,14 +63,6 @@ def auto_prefix_chars(df: DataFrame, part_cols: Sequence[str], target_rows: int
     return max(1, min(6, math.ceil(math.log(biggest, 16) / 2)))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column | None:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
-
-
 def bucket_counts(df: DataFrame, part_cols: Sequence[str], key_col: str,
                   prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
     """(part..., __bucket, __n, __before, __group_n) — one row per non-empty bucket."""

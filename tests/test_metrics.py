@@ -47,6 +47,8 @@ def test_auc_with_ties_and_many_buckets(spark):
 def test_evaluator_and_argmax(spark):
     df = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 3.0)], "label double, prediction double")
     assert M.MacroF1Evaluator().evaluate(df) == pytest.approx(1 / 3)
+    assert M.MacroF1Evaluator(metricName="weighted_f1").evaluate(df) == pytest.approx(0.5)
+    assert M.MacroF1Evaluator(metricName="accuracy").evaluate(df) == pytest.approx(0.5)
     arr = spark.createDataFrame([([0.1, 0.7, 0.7, 0.1],)], "a array<double>")
     assert arr.select(M.argmax_index("a").alias("i")).first().i == 1
 
