@@ -106,8 +106,16 @@ def argmax_index(arr: Column | str) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
-def normalise(arr: Column | str) -> Column:
+def normalise(arr: Column | str, n: int | None = None) -> Column:
+    """Divide an array by its sum.  With a known length ``n`` the sum and the
+    division are plain expressions (code-generated); otherwise lambdas."""
     a = F.col(arr) if isinstance(arr, str) else arr
+    if n is not None:
+        items = [F.element_at(a, i + 1) for i in range(n)]
+        total = items[0]
+        for x in items[1:]:
+            total = total + x
+        return F.array(*[x / total for x in items])
     total = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
     return F.transform(a, lambda x: x / total)
 

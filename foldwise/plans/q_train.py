@@ -90,7 +90,7 @@ def q_predict_proba(spark, sf_dir):
     model = T.make_classifier("ovr_gbt", SMALL_GBT).fit(data.filter(F.col("fold") != 0))
     scored = model.transform(data.filter(F.col("fold") == 0))
     scored = T.index_to_label(labels).transform(scored)
-    prob = T.probability_column(scored)
+    prob = T.probability_column(scored, n_classes=len(labels))
     return scored.select("event_id", "home_id", F.col("activity").alias("y_true"), "y_pred",
                          (F.col("activity") == F.col("y_pred")).alias("correct"),
                          *[F.element_at(prob, i + 1).alias(f"prob_{c}") for i, c in enumerate(labels)])
