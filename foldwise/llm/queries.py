@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldwise.llm import quality_rules
+from foldwise.llm import mixing, quality_rules
 from foldwise.llm.registry import ORACLE, QUERIES, query
-from foldwise.session import read_table
+from foldwise.session import cut_lineage, read_table
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -14,3 +14,10 @@ def op5_quality_rules(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_mix_sources", sql=mixing.ORACLE_SQL)
+def op3_mix_sources(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    sized = cut_lineage(docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("size")))
+    return mixing.mix(sized, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
