@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foldwise.llm import mixing, quality_rules
+from foldwise.llm import mixing, quality_rules, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, read_table
 
@@ -21,3 +21,9 @@ def op3_mix_sources(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     sized = cut_lineage(docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("size")))
     return mixing.mix(sized, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_trees.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
