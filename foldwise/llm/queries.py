@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from foldwise.llm import mixing, quality_rules, url_trees
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from foldwise.llm import bpe, mixing, quality_rules, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, read_table
 
 __all__ = ["ORACLE", "QUERIES"]
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 @query("op5_quality_rules", sql=quality_rules.oracle())
 def op5_quality_rules(spark, sf_dir):
@@ -27,3 +32,13 @@ def op3_mix_sources(spark, sf_dir):
 def op10_url_filter(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return url_trees.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op9_bpe_round_trip")
+def op9_bpe_round_trip(spark, sf_dir):
+    path = public_tokenizers.path(TOKENIZER)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path).drop("text")
+    return bpe.decode(ids, path).select(
+        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
