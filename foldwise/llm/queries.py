@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, mixing, quality_rules, url_trees
+from foldwise.llm import bpe, mixing, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
-from foldwise.session import cut_lineage, read_table
+from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -42,3 +44,11 @@ def op9_bpe_round_trip(spark, sf_dir):
     return bpe.decode(ids, path).select(
         "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark, sf_dir):
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_files.write(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    return token_files.read(spark, folder).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
