@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, mixing, quality_rules, token_files, url_trees
+from foldwise.llm import bpe, mixing, pii, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
@@ -52,3 +52,14 @@ def op6_token_files(spark, sf_dir):
     token_files.write(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
     return token_files.read(spark, folder).select(
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op8_pii_spans")
+def op8_pii_spans(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs).select("doc_id", "pii")
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.joined(F.col("pii"), pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("pii")).alias("spans"))

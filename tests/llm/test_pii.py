@@ -1,0 +1,91 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from foldwise.llm import pii
+
+A = pii.automaton()
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    """The base grammars applied to the whole text."""
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255
+                                                                for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        d = re.sub("[^0-9]", "", m[0])
+        total = sum(int(c) if i % 2 == 0 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(c)] for i, c in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and total % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.BASE_KINDS.index(s[0])))
+
+
+def base(text):
+    return [s for s in pii.find(text, A) if s[0] in pii.BASE_KINDS]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from("0123459..--++@@ab %()é \n")))
+def test_base_spans_equal_the_grammars(t):
+    assert base(t) == brute(t)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.c", "x@", "@y.z", "1.2.3.4", "300.1.1.1", ".5", "4111 1111 1111 1111", "4111-1111",
+                                 "+1 (212) 555-0100", "+", "12", " ", "é", "\n", "0000000000000000", "ssn: 123-45-6789"])))
+def test_base_spans_of_joined_parts(parts):
+    t = "".join(parts)
+    assert base(t) == brute(t)
+
+
+@pytest.mark.parametrize("text,kind,found", [
+    ("pay IBAN DE89 3704 0044 0532 0130 00 now", "iban", "DE89 3704 0044 0532 0130 00"),
+    ("SSN: 123-45-6789.", "account", "123-45-6789"),
+    ("ftp://bob:pw1@host/x", "url_user", "bob:pw1"),
+])
+def test_added_kinds(text, kind, found):
+    assert [text[s:e] for k, s, e in pii.find(text, A) if k == kind] == [found]
+
+
+@pytest.mark.parametrize("text", ["", "on account of the 12 apostles", "see http://x.org/a@b", "IBAN DE00 0000 0000"])
+def test_clean_texts(text):
+    assert pii.find(text, A) == []
+
+
+def test_mask():
+    t = "mail a@b.co or 1.2.3.4!"
+    assert pii.mask(t, pii.find(t, A)) == "mail [email] or [ip]!"
+
+
+def test_long_texts():
+    t = "1" * 5000 + " " + "1." * 3000 + "@" * 900 + "+" * 900 + "a" * 900 + "x@y.z" * 500
+    assert base(t) == brute(t)
+
+
+def test_query_equals_the_grammars(spark):
+    from foldwise.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in QUERIES["op8_pii_spans"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        spans, g = brute(r["text"] or ""), got[r["doc_id"]]
+        for k in pii.BASE_KINDS:
+            assert g[f"n_{k}"] == sum(s[0] == k for s in spans)
+        assert g["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()
+
+
+def test_nulls_repeats_and_clashing_names(spark):
+    d = spark.createDataFrame([(1, None, "x"), (1, "a@b.c", None), (1, "a@b.c", None), (None, "", "y")],
+                              "doc_id int, text string, pii string")
+    got = pii.detect(d, masked_col="masked")
+    assert got.columns == ["doc_id", "text", "pii", "masked"]
+    assert sorted((len(r["pii"]), str(r["masked"])) for r in got.collect()) == [
+        (0, ""), (0, "None"), (1, "[email]"), (1, "[email]")]
+    assert pii.detect(d.limit(0)).count() == 0
