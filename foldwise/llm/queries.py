@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, mixing, pii, quality_rules, token_files, url_trees
+from foldwise.llm import bpe, minhash, mixing, pii, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
@@ -63,3 +63,8 @@ def op8_pii_spans(spark, sf_dir):
         "doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
         F.sha2(pii.joined(F.col("pii"), pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256"),
         pii.joined(F.col("pii")).alias("spans"))
+
+
+@query("op1_minhash_near_dedup", sql=minhash.ORACLE_SQL)
+def op1_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
