@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, minhash, mixing, pii, quality_rules, token_files, url_trees
+from foldwise.llm import bpe, langid, minhash, mixing, pii, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
@@ -68,3 +68,12 @@ def op8_pii_spans(spark, sf_dir):
 @query("op1_minhash_near_dedup", sql=minhash.ORACLE_SQL)
 def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    may = langid.learnable(F.col("doc_id"))
+    model = langid.fit(docs.where(may).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return langid.predict(docs.select("doc_id", "text", (~may).alias("held_out")), model) \
+        .select("doc_id", "held_out", "lang_pred", "score")
