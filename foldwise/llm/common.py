@@ -43,3 +43,22 @@ def require(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def join_by_group(left: DataFrame, groups: DataFrame, keys: list[str], salt_on: Column,
+                  max_rows: int = 10_000, salts: int = 32) -> DataFrame:
+    """Left join of rows with a table of one row per group, nulls in the keys equal.
+
+    The group table is counted: up to ``max_rows`` rows it is broadcast, beyond
+    that each of its rows is repeated for every salt and the rows of a hot group
+    are dealt over the salts by ``salt_on``."""
+    groups = groups.withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__g_{k}"))
+    gone = [f"__g_{k}" for k in keys]
+    if groups.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(groups), same, "left").drop(*gone)
+    salted = groups.withColumn("__g_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
+    return left.join(salted, same & (F.col("__salt") == F.col("__g_salt")), "left").drop("__salt", "__g_salt", *gone)

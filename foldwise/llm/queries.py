@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, langid, minhash, mixing, pii, quality_rules, token_files, url_trees
+from foldwise.llm import bpe, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
@@ -77,3 +77,9 @@ def op7_language_id(spark, sf_dir):
     model = langid.fit(docs.where(may).select(F.col("doc_id").alias("key"), "text", "lang"))
     return langid.predict(docs.select("doc_id", "text", (~may).alias("held_out")), model) \
         .select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality_bayes.classify(docs, read_table(spark, sf_dir, "labels")).drop("text")
