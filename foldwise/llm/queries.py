@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
+from foldwise.llm import ann, bpe, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
@@ -83,3 +83,9 @@ def op7_language_id(spark, sf_dir):
 def op4_quality_classifier(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return quality_bayes.classify(docs, read_table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op2_nearest_neighbours")
+def op2_nearest_neighbours(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
