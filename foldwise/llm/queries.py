@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -89,3 +90,8 @@ def op4_quality_classifier(spark, sf_dir):
 def op2_nearest_neighbours(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
