@@ -128,12 +128,10 @@ def map_labels_join(df: DataFrame, col: str, map_df: DataFrame, key: str, value:
                     out: str) -> DataFrame:
     """Lookup against a label table too large for a literal map.
 
-    The map is broadcast when its counted size is small (a label can hold a
-    third of all rows, so a shuffle on the label would be a hot task);
-    beyond that adaptive execution's skew handling splits hot partitions.
+    A label can hold a third of all rows: adaptive execution broadcasts the
+    map when its measured bytes are few and splits hot partitions otherwise.
     """
-    from foldwise.operators.joins import broadcast_if_small
-    m = broadcast_if_small(map_df.select(F.col(key).alias("__k"), F.col(value).alias("__v")))
+    m = map_df.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
     return (df.join(m, df[col] == m["__k"], "left")
               .withColumn(out, F.coalesce(F.col("__v"), F.col(col)))
               .drop("__k", "__v"))

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.joins import null_safe_join
+
 
 def group_label_counts(df: DataFrame, group_col: str, label_col: str) -> DataFrame:
     return df.groupBy(group_col, label_col).agg(F.count(F.lit(1)).alias("n"))
@@ -31,7 +33,7 @@ def logo_majority_predictions(gl: DataFrame, group_col: str, label_col: str) ->
     ranked = totals.withColumn("lrank", F.row_number().over(
         Window.orderBy(F.col("total").desc(), F.col(label_col).asc())))
 
-    present = gl.join(ranked, label_col, "inner")
+    present = null_safe_join(gl, ranked, label_col)
     # (a) best label present in the group, scored on the other groups only
     best_present = present.groupBy(group_col).agg(
         F.min(F.struct((-(F.col("total") - F.col("n"))).alias("neg"), F.col(label_col).alias("lab"))).alias("bp"),
@@ -47,7 +49,7 @@ def logo_majority_predictions(gl: DataFrame, group_col: str, label_col: str) ->
     first_absent = gaps.select(group_col, F.coalesce("gap", F.col("m") + 1).alias("lrank"))
     absent_best = first_absent.join(ranked.select("lrank", F.col(label_col).alias("abs_lab"),
                                                   F.col("total").alias("abs_score")), "lrank", "left")
-    cand = best_present.join(absent_best.drop("lrank"), group_col, "left")
+    cand = null_safe_join(best_present, absent_best.drop("lrank"), group_col, "left")
     p_score = -F.col("bp.neg")
     take_absent = F.col("abs_lab").isNotNull() & (
         (F.col("abs_score") > p_score) | ((F.col("abs_score") == p_score) & (F.col("abs_lab") < F.col("bp.lab"))))
@@ -72,8 +74,7 @@ def logo_majority_eval(df: DataFrame, group_col: str, label_col: str, digits: in
     preds = logo_majority_predictions(gl, group_col, label_col)
     sizes = gl.groupBy(group_col).agg(F.sum("n").alias("n_rows"))
     own = gl.select(group_col, F.col(label_col).alias("predicted"), F.col("n").alias("correct"))
-    j = (preds.join(sizes, group_col)
-              .join(own, [group_col, "predicted"], "left")
+    j = (null_safe_join(null_safe_join(preds, sizes, group_col), own, [group_col, "predicted"], "left")
               .withColumn("correct", F.coalesce("correct", F.lit(0))))
     c, n = F.col("correct").cast("double"), F.col("n_rows").cast("double")
     # labels in truth or prediction
@@ -101,7 +102,7 @@ def null_baselines(df: DataFrame, group_col: str, label_col: str, digits: int =
     per = gl.groupBy(group_col).agg(F.sum("n").alias("n_rows"), F.max("n").alias("own_top"))
     own = gl.select(group_col, F.col(label_col).alias("predicted"), F.col("n").alias("correct"))
     k = gl.select(label_col).distinct().agg(F.count(F.lit(1))).scalar()
-    j = (preds.join(per, group_col).join(own, [group_col, "predicted"], "left")
+    j = (null_safe_join(null_safe_join(preds, per, group_col), own, [group_col, "predicted"], "left")
               .withColumn("correct", F.coalesce("correct", F.lit(0))))
     n = F.col("n_rows").cast("double")
     return j.select(group_col, F.col("n_rows").cast("bigint").alias("n_rows"),

@@ -1,54 +1,45 @@
-"""Exact running sums over a global sort order, without a single-partition window.
+"""Exact running sums and quantiles over a sort order, without a single-partition window.
 
-``Window.orderBy(score)`` with no partition moves every row to one task.
-Instead the order key is cut into ``n_buckets`` ranges by approximate
-quantiles (``QuantileDiscretizer``: a distributed sketch, then a JVM-side
-binary search per row).  The cut only needs to be monotone, not exact: totals
-per bucket (one row each) give each bucket's starting offset, and a window
-partitioned by bucket finishes the exact running sum inside it.
+``Window.orderBy(score)`` without a partition moves every row to one task, and
+a window per group does so for a hot group.  Here rows are range-partitioned
+by (group, order), which Spark balances from a sample whatever the values
+are; sums per (group, range) give each range its starting offset, and a
+window inside the range finishes the exact running sum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+from foldwise.operators.joins import null_safe_join
+from foldwise.session import cut_lineage
 
 
-def range_bucket(df: DataFrame, order_col: str, out_col: str = "__rb",
-                 n_buckets: int = DEFAULT_BUCKETS, relative_error: float = 1e-3) -> DataFrame:
-    """Monotone bucket index of ``order_col`` from approximate quantiles."""
-    from pyspark.ml.feature import QuantileDiscretizer
-    tmp = f"{out_col}__in"
-    src = df.withColumn(tmp, F.col(order_col).cast("double"))
-    qd = QuantileDiscretizer(numBuckets=n_buckets, inputCol=tmp, outputCol=out_col,
-                             relativeError=relative_error, handleInvalid="keep")
-    return qd.fit(src).transform(src).drop(tmp)
+def in_ranges(df: DataFrame, order: Sequence[Column], out_col: str = "__rb") -> DataFrame:
+    """Rows with the number of their range in the given total order.  The table
+    is written to the shared folder, so the ranges stay as they are."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn(out_col, F.spark_partition_id()))
 
 
 def running_sums(df: DataFrame, part_cols: Sequence[str], order_col: str, sum_cols: Sequence[str],
-                 descending: bool = False, inclusive: bool = True,
-                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 descending: bool = False, inclusive: bool = True) -> DataFrame:
     """For each row add ``cum_<c>`` = sum of ``c`` over rows of the same
     partition ordered before it (and itself when ``inclusive``).
 
     ``order_col`` must be unique within a partition (aggregate ties first).
     """
     part_cols = list(part_cols)
-    b = range_bucket(df, order_col, "__rb", n_buckets)
-    if descending:
-        b = b.withColumn("__rb", -F.col("__rb"))
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    b = in_ranges(df, [*[F.col(c) for c in part_cols], order])
     tot = b.groupBy(*part_cols, "__rb").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
-    wb = (Window.partitionBy(*part_cols) if part_cols else Window).orderBy("__rb") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (partition, bucket): the window holds at most n_buckets rows per partition
-    offs = tot.select(*part_cols, "__rb", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}")
+    # one row per (partition, range); a partition meets only the ranges it lies in
+    before = Window.partitionBy(*part_cols).orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*part_cols, "__rb", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}")
                                            for c in sum_cols])
-    joined = b.join(offs, part_cols + ["__rb"], "inner")
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    joined = null_safe_join(b, offs, part_cols + ["__rb"])
     w = Window.partitionBy(*part_cols, "__rb").orderBy(order)
     w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = joined.withColumns({f"cum_{c}": F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))
@@ -56,130 +47,41 @@ def running_sums(df: DataFrame, part_cols: Sequence[str], order_col: str, sum_co
     return out.drop("__rb", *[f"__o_{c}" for c in sum_cols])
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], n_bins: int = 4096,
-                    max_exact: int = 200_000, max_rounds: int = 8) -> DataFrame:
+SKETCH = 10_000   # rank error of the bracketing sketch: 1 / SKETCH of the rows
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (``quantile_cont``) of several
     columns: one row per (column, p) with ``value``.  NULL / NaN are ignored.
 
-    Selection by exact histograms: one aggregation gives counts, minima and
-    maxima; one aggregation per round counts rows per (column, equal-width
-    bin) -- at most ``n_bins`` numbers per column, collected -- which locates
-    the bins holding the two order statistics around each quantile and the
-    exact number of rows below them.  A located range with more than
-    ``max_exact`` rows is histogrammed again inside itself; the rows of the
-    final ranges are ranked per (column, quantile).  No task ever holds more
-    than one range, and no sketch approximation is involved.
+    A sketch brackets each quantile by two values it is certain to lie between
+    (its rank error is bounded).  One aggregation then counts the rows below
+    the bracket and each distinct value inside it, a few rows in ``SKETCH``;
+    running sums over these locate the two order statistics.  All of it stays
+    in DataFrames; outliers and infinities are values like any other.
     """
-    import math
-    cols, probs = list(cols), list(probs)
-    spark = df.sparkSession
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    valid = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) for c in cols}
-    agg = src.agg(*[x for c in cols for x in (F.count(F.when(valid[c], 1)), F.min(F.when(valid[c], F.col(c))),
-                                               F.max(F.when(valid[c], F.col(c))))]).first()
-    B = int(n_bins)
-
-    def bin_of(c: str, lo: float, hi: float) -> Column:
-        width = (hi - lo) / B
-        b = F.floor((F.col(c) - F.lit(lo)) / F.lit(width)) if width > 0 else F.lit(0)
-        return F.least(F.greatest(b, F.lit(0)), F.lit(B - 1)).cast("int")
-
-    # per (column, p): ranks, fraction, membership constraints, rows below, rows inside, values
-    need: dict[tuple[str, float], dict] = {}
-    for i, c in enumerate(cols):
-        n, mn, mx = agg[3 * i], agg[3 * i + 1], agg[3 * i + 2]
-        for p in probs:
-            if not n:
-                continue
-            pos = p * (n - 1)
-            k = {"r": (math.floor(pos), math.ceil(pos)), "frac": pos - math.floor(pos), "cons": [],
-                 "range": (mn, mx), "below": 0, "inside": n, "v": [None, None]}
-            if mn == mx:
-                k["v"] = [mn, mx]
-            need[(c, p)] = k
-
-    def member(c: str, k: dict) -> Column:
-        cond = valid[c]
-        for lo, hi, b1, b2 in k["cons"]:
-            cond = cond & (bin_of(c, lo, hi) >= b1) & (bin_of(c, lo, hi) <= b2)
-        return cond
-
-    for _ in range(max_rounds):
-        todo = [key for key, k in need.items() if k["v"][0] is None and k["inside"] > max_exact]
-        if not todo:
-            break
-        # one histogram per distinct (column, current range, constraints)
-        groups: dict[tuple, list] = {}
-        for key in todo:
-            k = need[key]
-            groups.setdefault((key[0], k["range"], tuple(k["cons"])), []).append(key)
-        parts = []
-        for gi, ((c, (lo, hi), _), keys) in enumerate(groups.items()):
-            parts.append(F.when(member(c, need[keys[0]]),
-                                F.struct(F.lit(gi).alias("g"), bin_of(c, lo, hi).alias("b"), F.col(c).alias("v"))))
-        # inline a fixed-size array and drop the NULL slots (no lambda: stays in codegen)
-        hist_rows = (src.select(F.inline(F.array(*parts))).filter(F.col("g").isNotNull())
-                        .groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"),
-                                               F.max("v").alias("mx")).collect())
-        hist: dict[int, dict[int, int]] = {}
-        edge: dict[tuple[int, int], tuple[float, float]] = {}
-        for row in hist_rows:                          # <= n_bins (count, min, max) per histogram
-            hist.setdefault(row.g, {})[row.b] = row.n
-            edge[(row.g, row.b)] = (row.mn, row.mx)
-        for gi, ((c, (lo, hi), _), keys) in enumerate(groups.items()):
-            bins = sorted(hist.get(gi, {}).items())
-            width = (hi - lo) / B
-            for key in keys:
-                k = need[key]
-                start, b1, b2, below_b1, rows = k["below"], None, None, None, 0
-                for b, cnt in bins:
-                    if b1 is None and start + cnt > k["r"][0]:
-                        b1, below_b1 = b, start
-                    if b1 is not None:
-                        rows += cnt
-                    if start + cnt > k["r"][1]:
-                        b2 = b
-                        break
-                    start += cnt
-                k["cons"] = k["cons"] + [(lo, hi, b1, b2)]
-                k["range"] = (lo + b1 * width, lo + (b2 + 1) * width) if width > 0 else (lo, hi)
-                k["below"], k["inside"] = below_b1, rows
-                # an order statistic is known when its bin holds one distinct value, or
-                # when it is the first (last) row of its bin: the bin's min (max)
-                mn1, mx1 = edge[(gi, b1)]
-                mn2, mx2 = edge[(gi, b2)]
-                v_lo = mn1 if (mn1 == mx1 or k["r"][0] == below_b1) else None
-                last_of_b2 = below_b1 + rows - 1
-                v_hi = mx2 if (mn2 == mx2 or k["r"][1] == last_of_b2) else None
-                if b1 == b2 and k["r"][1] == below_b1 and v_lo is not None:
-                    v_hi = v_lo if k["r"][1] == k["r"][0] else v_hi
-                if v_lo is not None and v_hi is not None:
-                    k["v"] = [v_lo, v_hi]
-    open_keys = [key for key, k in need.items() if k["v"][0] is None]
-    if open_keys:
-        conds = {key: member(key[0], need[key]) for key in open_keys}
-        any_in = None
-        for cond in conds.values():
-            any_in = cond if any_in is None else any_in | cond
-        cand = F.array(*[
-            F.when(conds[key], F.struct(F.lit(key[0]).alias("c"), F.lit(float(key[1])).alias("p"),
-                                        F.col(key[0]).alias("v")))
-            for key in open_keys])
-        rows = src.filter(any_in).select(F.inline(cand)).filter(F.col("c").isNotNull())
-        ranks = spark.createDataFrame([(key[0], float(key[1]), need[key]["r"][0] - need[key]["below"],
-                                        need[key]["r"][1] - need[key]["below"]) for key in open_keys],
-                                      "c string, p double, r_lo long, r_hi long")
-        ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("c", "p").orderBy("v")) - 1)
-        picked = (ranked.join(F.broadcast(ranks), ["c", "p"])
-                        .filter((F.col("rn") == F.col("r_lo")) | (F.col("rn") == F.col("r_hi"))))
-        for row in picked.select("c", "p", "rn", "r_lo", "r_hi", "v").collect():  # <= 2 values per quantile
-            if row.rn == row.r_lo:
-                need[(row.c, row.p)]["v"][0] = row.v
-            if row.rn == row.r_hi:
-                need[(row.c, row.p)]["v"][1] = row.v
-    out = []
-    for c in cols:
-        for p in probs:
-            k = need.get((c, p))
-            out.append((c, float(p), None if k is None else k["v"][0] + (k["v"][1] - k["v"][0]) * k["frac"]))
-    return spark.createDataFrame(out, "column string, p double, value double")
+    cols, probs = list(cols), [float(p) for p in probs]
+    src = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    slack = 2 / SKETCH
+    edges = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = src.agg(*[x for c in cols for x in (
+        F.count(c).alias(f"n_{c}"), F.percentile_approx(c, edges, SKETCH).alias(f"e_{c}"))])
+    need = sketch.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(f"n_{c}").alias("n"),
+                 F.get(f"e_{c}", F.lit(2 * i)).alias("lo"), F.get(f"e_{c}", F.lit(2 * i + 1)).alias("hi"))
+        for c in cols for i, p in enumerate(probs)])))
+    pos = F.col("p") * (F.col("n") - 1)
+    need = cut_lineage(need.withColumns({"r0": F.floor(pos), "r1": F.ceil(pos), "frac": pos - F.floor(pos)}))
+    # len(cols) * len(probs) rows, whatever the data
+    long = src.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols]))) \
+        .where("v is not null")
+    held = long.join(F.broadcast(need.select("column", "p", "lo", "hi")), F.col("c") == F.col("column")).where("v <= hi")
+    counts = held.groupBy("column", "p", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")) \
+        .agg(F.count(F.lit(1)).alias("m"))   # v is null for all rows below the bracket, first in order
+    ranked = running_sums(counts, ["column", "p"], "v", ["m"], inclusive=False)
+    j = ranked.join(F.broadcast(need.select(F.col("column").alias("c"), F.col("p").alias("q"), "r0", "r1")),
+                    (F.col("column") == F.col("c")) & (F.col("p") == F.col("q")))
+    at = lambda r: F.max(F.when((F.col("cum_m") <= F.col(r)) & (F.col(r) < F.col("cum_m") + F.col("m")), F.col("v")))
+    found = j.groupBy("column", "p").agg(at("r0").alias("v0"), at("r1").alias("v1"))
+    value = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac"))
+    return null_safe_join(need, found, ["column", "p"], "left").select("column", "p", value.alias("value"))

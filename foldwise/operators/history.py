@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.joins import null_safe_join
+
 DEFAULT_CHUNK = 4096
 
 
@@ -38,7 +40,7 @@ def running_best(history: DataFrame, trial: str = "trial", rnd: str = "round", s
     per_chunk = h.groupBy(trial, "__chunk").agg(F.max(key).alias("__m"))
     wc = Window.partitionBy(trial).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(trial, "__chunk", F.max("__m").over(wc).alias("__carry"))
-    j = inner.join(carry, [trial, "__chunk"], "left")
+    j = null_safe_join(inner, carry, [trial, "__chunk"], "left")
     best = F.greatest(F.col("__in"), F.col("__carry"))
     return (j.withColumns({"run_best_score": best["s"], "run_best_round": (-best["neg_r"])})
              .drop("__chunk", "__in", "__carry"))
@@ -53,7 +55,7 @@ def early_stop_round(history: DataFrame, patience: int, trial: str = "trial", rn
     first = stop.groupBy(trial).agg(F.min(F.struct(F.col(rnd).alias("r"), F.col("run_best_round").alias("b")))
                                     .alias("x"))
     trials = history.select(trial).distinct()
-    return (trials.join(first, trial, "left")
+    return (null_safe_join(trials, first, trial, "left")
                   .select(trial, F.col("x.r").alias("stop_round"), F.col("x.b").alias("best_round_at_stop")))
 
 

@@ -1,10 +1,8 @@
-"""Joins of large tables with per-key lookup tables.
+"""Joins that keep rows with NULL keys.
 
-Joining on a key such as group or label with a shuffle join sends every row
-of a hot key to one task.  A lookup table whose row count is *measured* to be
-small is broadcast instead (no shuffle of the large side at all); above the
-bound the join is left to adaptive execution, whose skew handling splits hot
-partitions of a sort-merge join.
+The strategy is left to adaptive execution, which knows the measured bytes of
+both sides: it broadcasts a lookup table that turns out small and splits the
+hot partitions of a sort-merge join otherwise.
 """
 
 from __future__ import annotations
@@ -14,21 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equally named columns where NULL equals NULL; the left side's key columns stay."""
+    keys = [on] if isinstance(on, str) else list(on)
+    right = right.withColumnsRenamed({k: f"__j_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__j_{k}`"))
+    return left.join(right, same, how).drop(*[f"__j_{k}" for k in keys])
 
-def broadcast_if_small(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                       materialise: bool = True) -> DataFrame:
-    """Return ``small`` wrapped in a broadcast hint when it has at most
-    ``max_rows`` rows.  The table is first written to the shared checkpoint
-    folder, so the count is its size proof and it is not recomputed."""
-    if materialise:
-        from foldwise.session import cut_lineage
-        small = cut_lineage(small)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
 
-
-def join_lookup(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
-                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    return big.join(broadcast_if_small(small, max_rows), on, how)
+join_lookup = null_safe_join

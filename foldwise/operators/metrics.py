@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.cumulative import running_sums
+from foldwise.operators.joins import null_safe_join
 
 LOG_LOSS_EPS = 1e-15
 
@@ -135,7 +136,7 @@ def _auc_from_scores(scores: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     contrib = rs.select(*group_cols, (F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg"))).alias("c"),
                         "pos", "neg")
     return contrib.groupBy(*group_cols).agg(
-        (F.sum("c") / (F.sum("pos") * F.sum("neg"))).alias("auc"),
+        F.try_divide(F.sum("c"), F.sum("pos") * F.sum("neg")).alias("auc"),   # NULL with one class only
         F.sum("pos").cast("bigint").alias("n_pos"), F.sum("neg").cast("bigint").alias("n_neg"))
 
 
@@ -155,9 +156,11 @@ def roc_auc(df: DataFrame, label_col: str, score_col: str, group_cols: Sequence[
 
 def roc_auc_ovr(df: DataFrame, label_idx_col: str, prob_col: str, n_classes: int,
                 digits: int = 6) -> DataFrame:
-    """One-vs-rest ROC area per class: (class, roc_auc, n_pos, n_neg)."""
-    exploded = df.select(F.col(label_idx_col).alias("__y"),
-                         F.posexplode(F.col(prob_col)).alias("class", "score")).filter(F.col("class") < n_classes)
+    """One-vs-rest ROC area per class: (class, roc_auc, n_pos, n_neg).  A row
+    with another number of scores than ``n_classes`` is an error."""
+    scores = F.when(F.size(prob_col) == n_classes, F.col(prob_col)).otherwise(
+        F.raise_error(F.concat(F.lit(f"expected {n_classes} class scores, got "), F.size(prob_col).cast("string"))))
+    exploded = df.select(F.col(label_idx_col).alias("__y"), F.posexplode(scores).alias("class", "score"))
     st = score_table(exploded, F.col("__y") == F.col("class"), F.col("score"), ["class"])
     out = _auc_from_scores(st, ["class"])
     return out.select(F.col("class").cast("int").alias("class"), F.round("auc", digits).alias("roc_auc"),
@@ -188,7 +191,7 @@ def pr_auc(df: DataFrame, label_col: str, score_col: str, group_cols: Sequence[s
     prev = F.when(ptp + pfp > 0, ptp / (ptp + pfp)).otherwise(1.0)
     step = rs.select(*group_cols, "pos", "neg", (F.col("pos") * (prec + prev) / 2).alias("a"))
     return step.groupBy(*group_cols).agg(
-        F.round(F.sum("a") / F.sum("pos"), digits).alias("pr_auc"),
+        F.round(F.try_divide(F.sum("a"), F.sum("pos")), digits).alias("pr_auc"),   # NULL without positives
         F.sum("pos").cast("bigint").alias("n_pos"), F.sum("neg").cast("bigint").alias("n_neg"))
 
 
@@ -251,7 +254,7 @@ def agreement_metrics(conf: DataFrame, group_cols: Sequence[str] = (), cost: Dat
     pe = F.col("tp_sum") / (s * s)
     kappa = F.when(pe < 1, (c / s - pe) / (1 - pe)).otherwise(0.0)
     if group_cols:
-        out = marg.join(costs, list(group_cols), "inner")
+        out = null_safe_join(marg, costs, list(group_cols))
     else:
         out = marg.withColumn("mean_cost", costs.select("mean_cost").scalar())
     return out.select(*group_cols, F.round(c / s, digits).alias("micro_f1"), F.round(mcc, digits).alias("mcc"),

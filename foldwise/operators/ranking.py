@@ -24,8 +24,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.joins import null_safe_join
+
 DEFAULT_PREFIX_CHARS = None   # chosen from the largest group (see auto_prefix_chars)
-TARGET_BUCKET_ROWS = 4096     # kept for callers; the automatic choice balances sqrt(n) x sqrt(n)
 
 
 HASH_FN = "md5"   # "xxhash64" is several times cheaper but has no DuckDB equal
@@ -47,7 +48,7 @@ def hash_key(seed: int | str, *cols: str | Column, fn: str | None = None) -> Col
     return F.md5(F.concat_ws("|", *parts))
 
 
-def auto_prefix_chars(df: DataFrame, part_cols: Sequence[str], target_rows: int = TARGET_BUCKET_ROWS) -> int:
+def auto_prefix_chars(df: DataFrame, part_cols: Sequence[str]) -> int:
     """Digest-prefix length (1..6 hex digits) balancing the two windows of an
     exact rank for the largest group of n rows: about sqrt(n) buckets (the
     offset window over that group's bucket table) holding about sqrt(n) rows
@@ -119,34 +120,66 @@ def exact_sequence(df: DataFrame, part_cols: Sequence[str], order: Sequence[Colu
                   .drop("__bucket", "__before"))
 
 
-def exact_top_k_per_group(df: DataFrame, part_cols: Sequence[str], key_col: str,
-                          k_expr: Column, tie_cols: Sequence[str] = (),
-                          prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
-    """Keep, per group, the first ``k`` rows by ``key_col`` where ``k`` may depend
-    on the group size (``k_expr`` may use column ``__group_n``).
+def global_rank(df: DataFrame, order: Sequence[Column], out_col: str = "rank") -> DataFrame:
+    """Add ``out_col`` = row_number() over (order by ``order``) for a whole table.
 
-    The (group, bucket) count table marks each bucket as wholly kept, cut
-    (the bucket holding the k-th row) or dropped.  Rows join it on
-    (group, bucket) -- a key that spreads a hot group over many tasks --
-    and are ranked inside their (group, bucket) only; the window reuses the
-    join's partitioning, so there is a single shuffle of the data.
-    """
+    Rows are range-partitioned by the order (balanced from a sample, whatever
+    the type or prefix of the values), ranges are counted, and rows are
+    numbered inside their range.  The only window over one partition holds a
+    row per range."""
+    from foldwise.operators.cumulative import in_ranges
+    ranged = in_ranges(df, order, "__rb")
+    counts = ranged.groupBy("__rb").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("__rb", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("__rb").orderBy(*order))
+    return ranged.join(offs, "__rb").withColumn(out_col, F.col("__before") + number).drop("__rb", "__before")
+
+
+def key_thresholds(df: DataFrame, part_cols: Sequence[str], key_col: str, k_expr: Column,
+                   tie_cols: Sequence[str] = (), prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
+    """(part..., __last): the k-th row of each group in (key, ties) order, as a
+    struct; no row for a group with k = 0.  ``k_expr`` may use ``__group_n``.
+
+    The (group, bucket) counts name the one bucket that holds the k-th row; only
+    that bucket's keys are ranked."""
     part_cols = list(part_cols)
     if prefix_chars is None:
         prefix_chars = auto_prefix_chars(df, part_cols)
-    buckets = bucket_counts(df, part_cols, key_col, prefix_chars).withColumn("__k", k_expr)
-    before, n, k = F.col("__before"), F.col("__n"), F.col("__k")
-    stat = (buckets.filter(before < k)
-                   .select(*[F.col(c).alias(f"__r_{c}") for c in part_cols + ["__bucket"]],
-                           F.when(before + n <= k, F.lit(None).cast("bigint")).otherwise(k - before).alias("__need")))
-    left = df.withColumn("__bucket", F.substring(F.col(key_col), 1, prefix_chars))
-    join_cols = part_cols + ["__bucket"]
-    cond = None
-    for c in join_cols:
-        e = left[c].eqNullSafe(stat[f"__r_{c}"])
-        cond = e if cond is None else cond & e
-    joined = left.join(stat, cond, "inner").drop(*[f"__r_{c}" for c in join_cols])
-    w = Window.partitionBy(*join_cols).orderBy(F.col(key_col), *[F.col(c) for c in tie_cols])
-    ranked = joined.withColumn("__rn", F.row_number().over(w))
-    return (ranked.filter(F.col("__need").isNull() | (F.col("__rn") <= F.col("__need")))
-                  .drop("__bucket", "__need", "__rn"))
+        prefix_chars = prefix_chars if part_cols else min(prefix_chars, 5)   # one window holds all buckets then
+    narrow = df.select(*dict.fromkeys([*part_cols, key_col, *tie_cols]))
+    buckets = bucket_counts(narrow, part_cols, key_col, prefix_chars).withColumn("__k", F.least(k_expr, F.col("__group_n")))
+    cut = buckets.filter((F.col("__before") < F.col("__k")) & (F.col("__k") <= F.col("__before") + F.col("__n"))) \
+                 .select(*part_cols, "__bucket", (F.col("__k") - F.col("__before")).alias("__need"))
+    edge = null_safe_join(narrow.withColumn("__bucket", F.substring(F.col(key_col), 1, prefix_chars)), cut,
+                          part_cols + ["__bucket"])
+    order = [F.col(key_col), *[F.col(c) for c in tie_cols]]
+    ranked = edge.withColumn("__rn", F.row_number().over(Window.partitionBy(*part_cols, "__bucket").orderBy(*order)))
+    last = F.struct(F.col(key_col).alias("k"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)])
+    return ranked.filter(F.col("__rn") == F.col("__need")).select(*part_cols, last.alias("__last"))
+
+
+def mark_first(df: DataFrame, part_cols: Sequence[str], key_col: str, k_expr: Column, out_col: str,
+               tie_cols: Sequence[str] = (), prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
+    """Add whether a row is among the first k of its group in (key, ties) order:
+    a comparison with the group's threshold, so rows are neither shuffled nor
+    sorted where the threshold table is small enough to broadcast."""
+    last = key_thresholds(df, part_cols, key_col, k_expr, tie_cols, prefix_chars)
+    own = F.struct(F.col(key_col).alias("k"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)])
+    if part_cols:
+        marked = null_safe_join(df, last, part_cols, "left")
+        return marked.withColumn(out_col, F.coalesce(own <= F.col("__last"), F.lit(False))).drop("__last")
+    row = last.first()   # one row
+    if row is None:
+        return df.withColumn(out_col, F.lit(False))
+    types = [df.schema[c].dataType for c in (key_col, *tie_cols)]
+    value = F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(row[0], types, row[0].__fields__)])
+    return df.withColumn(out_col, F.coalesce(own <= value, F.lit(False)))
+
+
+def exact_top_k_per_group(df: DataFrame, part_cols: Sequence[str], key_col: str,
+                          k_expr: Column, tie_cols: Sequence[str] = (),
+                          prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
+    """Keep, per group, the first ``k`` rows by ``key_col`` where ``k`` may depend
+    on the group size (``k_expr`` may use column ``__group_n``)."""
+    return mark_first(df, part_cols, key_col, k_expr, "__first", tie_cols, prefix_chars).filter("__first").drop("__first")

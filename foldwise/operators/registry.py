@@ -226,10 +226,10 @@ def list_models(runs: DataFrame, model_dir_col: str = "source_file") -> DataFram
 
 
 def cv_simple_view(folds: DataFrame, group_col: str = "home_id") -> DataFrame:
-    """Legacy CV view: per group accuracy / n_train / n_test / n_classes, plus
-    an ``overall`` row (mean and population std of accuracy)."""
+    """Simple CV view: per group accuracy / n_train / n_test / n_classes, plus an
+    ``overall`` row (mean, population std, min and max of accuracy, number of groups)."""
     per = folds.select(F.col(group_col).cast("string").alias("group"), "accuracy", "n_train", "n_test", "n_classes")
     overall = folds.agg(F.lit("overall").alias("group"), F.avg("accuracy").alias("accuracy"),
-                        F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test"),
-                        F.max("n_classes").alias("n_classes"))
-    return per.unionByName(overall.select(*per.columns))
+                        F.stddev_pop("accuracy").alias("std_accuracy"), F.min("accuracy").alias("min_accuracy"),
+                        F.max("accuracy").alias("max_accuracy"), F.count(F.lit(1)).alias("n_homes"))
+    return per.unionByName(overall, allowMissingColumns=True)

@@ -10,33 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.ranking import exact_rank, exact_sequence, hash_key
-
-# Above this many groups the greedy assignment (sequential by nature) is
-# replaced by the distributed snake order.
-MAX_GREEDY_GROUPS = 20000
+from foldwise.operators.ranking import exact_rank, global_rank, hash_key, mark_first
 
 
 def group_sizes(df: DataFrame, group_col: str) -> DataFrame:
     return df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def group_bucket(col: str, dtype) -> F.Column:
-    """A coarse key that is non-decreasing in the group id's sort order, so
-    ranking groups never needs one task to hold every group."""
-    from pyspark.sql.types import NumericType
-    if isinstance(dtype, NumericType):
-        return F.floor(F.col(col) / 1024)
-    return F.substring(F.col(col).cast("string"), 1, 6)
-
-
 def logo_folds(df: DataFrame, group_col: str) -> DataFrame:
     """Leave-one-group-out: (group, fold, n_test, n_train); fold = index of the
-    group in sorted order (exact rank over the per-group table, bucketed)."""
+    group in sorted order (exact rank over the range-partitioned per-group table)."""
     sizes = group_sizes(df, group_col)
     total = sizes.agg(F.sum("n")).scalar()
-    ranked = exact_sequence(sizes, [], [F.col(group_col)], group_bucket(group_col, df.schema[group_col].dataType),
-                            "__seq")
+    ranked = global_rank(sizes, [F.col(group_col).asc()], "__seq")
     return ranked.select(
         group_col,
         (F.col("__seq") - 1).cast("int").alias("fold"),
@@ -49,36 +35,59 @@ def snake_group_kfold(df: DataFrame, group_col: str, n_splits: int) -> DataFrame
     0,1,..,k-1,k-1,..,0,...  Returns (group, fold, n)."""
     _check_splits(df, group_col, n_splits)
     sizes = group_sizes(df, group_col)
-    bucket = F.struct((-F.col("n")).alias("a"), group_bucket(group_col, df.schema[group_col].dataType).alias("b"))
     k = F.lit(n_splits)
-    ranked = exact_sequence(sizes, [], [F.col("n").desc(), F.col(group_col)], bucket, "__seq") \
+    ranked = global_rank(sizes, [F.col("n").desc(), F.col(group_col).asc()], "__seq") \
         .withColumn("__r", F.col("__seq") - 1)
     pos, block = F.col("__r") % k, F.floor(F.col("__r") / k)
     return ranked.select(group_col, F.when(block % 2 == 0, pos).otherwise(k - 1 - pos).cast("int").alias("fold"),
                          "n")
 
 
+def greedy_phases(sizes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, int, int, list[int]]]:
+    """The greedy assignment of groups in size order as phases (n, first, last, folds):
+    the groups of size n with ranks first..last go to ``folds`` in turn.
+
+    ``sizes`` has (n, number of groups of that size), largest first.  Groups of
+    one size go round the folds that are lighter than the lightest plus n; a
+    further fold joins when the others have come up to it, so a size has at most
+    ``n_splits`` phases however many groups it has.
+    """
+    load, out, rank = [0] * n_splits, [], 0
+    for n, m in sizes:
+        while m > 0:
+            lightest = min((x, i) for i, x in enumerate(load))
+            turn = sorted((x, i) for i, x in enumerate(load) if (x, i) < (lightest[0] + n, lightest[1]))
+            turn += [lightest] if lightest not in turn else []
+            folds = [i for _, i in sorted(turn)]
+            # full rounds until the next fold is lighter than a second turn of the lightest
+            rest = [(x, i) for i, x in enumerate(load) if i not in folds]
+            rounds = min((max(1, (x - lightest[0]) // n + (i > lightest[1]) - 1) for x, i in rest), default=m)
+            taken = min(m, rounds * len(folds))
+            out.append((n, rank, rank + taken - 1, folds))
+            for k, i in enumerate(folds):
+                load[i] += n * (taken // len(folds) + (k < taken % len(folds)))
+            rank, m = rank + taken, m - taken
+    return out
+
+
 def greedy_group_kfold(df: DataFrame, group_col: str, n_splits: int) -> DataFrame:
     """GroupKFold: largest group first, each to the currently lightest fold
-    (ties to the lower fold).  The assignment is sequential, so it runs on the
-    collected per-group sizes (one number per group, bounded by
-    ``MAX_GREEDY_GROUPS``); more groups fall back to the snake order."""
-    n_groups = _check_splits(df, group_col, n_splits)
-    if n_groups > MAX_GREEDY_GROUPS:
-        return snake_group_kfold(df, group_col, n_splits)
-    sizes = group_sizes(df, group_col).orderBy(F.col("n").desc(), F.col(group_col)).collect()
-    load = [0] * n_splits
-    rows = []
-    for g, n in sizes:
-        f = min(range(n_splits), key=lambda i: (load[i], i))
-        load[f] += n
-        rows.append((g, f, n))
-    spark = df.sparkSession
-    gtype = df.schema[group_col].dataType
-    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-    schema = StructType([StructField(group_col, gtype), StructField("fold", IntegerType()),
-                         StructField("n", LongType())])
-    return spark.createDataFrame(rows, schema)
+    (ties to the lower fold and, among groups of one size, by id).
+
+    Groups are ranked in Spark.  Only the histogram of group sizes reaches the
+    driver (N rows have at most sqrt(2 N) distinct sizes); it is turned into
+    phases in which groups go round a list of folds, and each group looks its
+    phase up by size and rank."""
+    _check_splits(df, group_col, n_splits)
+    sizes = group_sizes(df, group_col)
+    ranked = global_rank(sizes, [F.col("n").desc(), F.col(group_col).asc()], "__seq")
+    histogram = [(r[0], r[1]) for r in sizes.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.col("n").desc()).collect()]
+    phases = df.sparkSession.createDataFrame(greedy_phases(histogram, n_splits),
+                                             "__n bigint, __first bigint, __last bigint, __folds array<int>")
+    r = F.col("__seq") - 1
+    hit = (F.col("n") == F.col("__n")) & (r >= F.col("__first")) & (r <= F.col("__last"))
+    fold = F.get("__folds", ((r - F.col("__first")) % F.size("__folds")).cast("int"))
+    return ranked.join(phases, hit).select(group_col, fold.alias("fold"), "n")
 
 
 def _check_splits(df: DataFrame, group_col: str, n_splits: int) -> int:
@@ -121,15 +130,13 @@ def stratified_holdout(df: DataFrame, label_col: str, id_col: str, fraction: flo
                        seed: int = 42, out_col: str = "is_val") -> DataFrame:
     """Per class, the first round(fraction * n_class) rows by key are validation."""
     keyed = df.withColumn("__key", hash_key(seed, id_col))
-    ranked = exact_rank(keyed, [label_col], "__key", "__rank", tie_cols=[id_col], with_group_size="__n")
-    return (ranked.withColumn(out_col, F.col("__rank") <= F.round(F.lit(float(fraction)) * F.col("__n")))
-                  .drop("__key", "__rank", "__n"))
+    k = F.round(F.lit(float(fraction)) * F.col("__group_n")).cast("bigint")
+    return mark_first(keyed, [label_col], "__key", k, out_col, [id_col]).drop("__key")
 
 
 def random_holdout(df: DataFrame, id_col: str, fraction: float = 0.33, seed: int = 42,
                    out_col: str = "is_test") -> DataFrame:
     """Exact-size random hold-out: ceil(fraction * n) rows first by key."""
     keyed = df.withColumn("__key", hash_key(seed, id_col))
-    ranked = exact_rank(keyed, [], "__key", "__rank", tie_cols=[id_col], with_group_size="__n")
-    return (ranked.withColumn(out_col, F.col("__rank") <= F.ceil(F.lit(float(fraction)) * F.col("__n")))
-                  .drop("__key", "__rank", "__n"))
+    k = F.ceil(F.lit(float(fraction)) * F.col("__group_n")).cast("bigint")
+    return mark_first(keyed, [], "__key", k, out_col, [id_col]).drop("__key")

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.operators.joins import null_safe_join
+
 
 DEFAULT_WINDOW = 30
 DEFAULT_CHUNK = 4096
@@ -103,7 +105,7 @@ def event_window_features(df: DataFrame, group_col: str, ts_col: str, id_col: st
     per_b = per_b.withColumn("__parts", F.array_union(F.array(F.col("__chunk")), targets))
 
     # ---- rows: join the bucket table, add context copies, one shuffle ----
-    rows = base.join(per_b.drop("__n", "__start"), [group_col, "__b"], "inner")
+    rows = null_safe_join(base, per_b.drop("__n", "__start"), [group_col, "__b"])
     rows = rows.withColumn("__part", F.explode("__parts")).drop("__parts")
     w = Window.partitionBy(group_col, "__part").orderBy(ts_col, id_col)
     frame = w.rowsBetween(-(W - 1), 0)

@@ -3,7 +3,7 @@
 No model is needed for exact metric checks: a deterministic rule produces a
 prediction per row (so DuckDB can recompute the same scores).
 * events: truth = cleaned raw label, prediction = class number floor(value) mod 4
-* embeddings: truth = label, probabilities = softmax(10 x first 10 dims)
+* embeddings: truth = label, probabilities = softmax(4 x sums of the dims by index modulo 10)
 * documents + labels: truth = quality, score = n_chars
 """
 
@@ -54,12 +54,15 @@ prf AS (
 
 def _emb_probs(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
-    e = F.transform(F.slice("embedding", 1, N_EMB_CLASSES), lambda x: F.exp(x.cast("double") * 10))
+    dims = F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("x"), (i % N_EMB_CLASSES).alias("c")))
+    total = lambda c: F.aggregate(F.filter(dims, lambda d: d["c"] == c), F.lit(0.0), lambda a, d: a + d["x"])
+    e = F.array(*[F.exp(4 * total(c)) for c in range(N_EMB_CLASSES)])
     return emb.select("vec_id", "label", M.normalise(e).alias("prob"))
 
 
 _EMB_SQL = r"""
-e0 AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 10), lambda x: exp(CAST(x AS DOUBLE) * 10)) AS e
+e0 AS (SELECT vec_id, label, list_transform(range(1, 11), lambda c: exp(4 * list_sum(list_transform(
+         range(c, len(embedding) + 1, 10), lambda j: CAST(embedding[j] AS DOUBLE))))) AS e
        FROM embeddings),
 pe AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS prob FROM e0)"""
 
@@ -138,7 +141,7 @@ st AS (SELECT class, score, sum(CASE WHEN y = class THEN 1 ELSE 0 END) AS pos,
               sum(CASE WHEN y = class THEN 0 ELSE 1 END) AS neg FROM ex GROUP BY 1, 2),
 rs AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY score
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cneg FROM st),
-per AS (SELECT CAST(class AS INTEGER) AS class, sum(pos * (cneg + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc,
+per AS (SELECT CAST(class AS INTEGER) AS class, sum(pos * (cneg + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc,
                CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM rs GROUP BY class)"""
 
 
@@ -178,7 +181,7 @@ a AS (SELECT lang, pos, neg,
                     + CASE WHEN tps - pos + fps - neg > 0 THEN (tps - pos) / (tps - pos + fps - neg) ELSE 1.0 END
                    ) / 2 AS a
       FROM rs)
-SELECT lang, round(sum(a) / sum(pos), 6) AS pr_auc, CAST(sum(pos) AS BIGINT) AS n_pos,
+SELECT lang, round(sum(a) / nullif(sum(pos), 0), 6) AS pr_auc, CAST(sum(pos) AS BIGINT) AS n_pos,
        CAST(sum(neg) AS BIGINT) AS n_neg FROM a GROUP BY lang"""))
 def q_pr_auc(spark, sf_dir):
     return M.pr_auc(_doc_scores(spark, sf_dir), "quality", "n_chars", ["lang"])
@@ -187,7 +190,7 @@ def q_pr_auc(spark, sf_dir):
 @query("roc_auc_binary", with_(_DOC_SQL, r"""
 rs AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY lang ORDER BY score
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cneg FROM st)
-SELECT lang, round(sum(pos * (cneg + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS roc_auc,
+SELECT lang, round(sum(pos * (cneg + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0), 6) AS roc_auc,
        CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM rs GROUP BY lang"""))
 def q_roc_auc_binary(spark, sf_dir):
     return M.roc_auc(_doc_scores(spark, sf_dir), "quality", "n_chars", ["lang"])

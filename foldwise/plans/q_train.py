@@ -22,7 +22,7 @@ FEATURES = ["value", "k", "hour", "dow", "hour_sin", "hour_cos", "dow_sin", "dow
 N_FOLDS = 3
 # query-size settings: few shallow trees keep the checks quick at small scale
 SMALL_GBT = {"n_estimators": 5, "max_depth": 3}
-SMALL_RF_SPACE = dict(T.SEARCH_SPACE, n_estimators=[20, 30, 40])
+SMALL_RF_SPACE = dict(T.SPARK_SEARCH_SPACE, n_estimators=[20, 30, 40])
 
 
 def training_rows(spark, sf_dir, label="activity"):

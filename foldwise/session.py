@@ -1,9 +1,9 @@
 """Session construction and cluster-safe scratch locations.
 
-The library never invents a machine-local folder on a cluster: lineage is
-cut with ``DataFrame.checkpoint()`` into the shared folder named by
-``spark.checkpoint.dir``.  Only when that setting is absent (local tests)
-do we point it at a fresh ``/tmp`` folder.
+Lineage is cut with ``DataFrame.checkpoint()`` into the shared folder named
+by ``spark.checkpoint.dir``.  Where the setting is absent, a local master
+gets a fresh ``/tmp`` folder; on any other master that is an error, as
+executors would write to their own disks.
 """
 
 from __future__ import annotations
@@ -23,18 +23,26 @@ SCALE_CONF: dict[str, str] = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",   # a checkpoint goes with its last reference
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "foldwise", extra: dict[str, str] | None = None) -> SparkSession:
-    """Create (or reuse) a session with the library's scale settings."""
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """Create (or reuse) a session with the library's scale settings.
+
+    Master, memory and the number of shuffle partitions are the cluster's
+    unless they are given."""
+    builder = SparkSession.builder.appName(app_name)
     conf = dict(SCALE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):
+            conf["spark.driver.memory"] = "16g"
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -45,11 +53,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset."""
+    """Return the shared checkpoint folder; a local master without one gets a scratch folder."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        if not (spark.sparkContext.master + "[").startswith("local["):   # local or local[n]
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="foldwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType, LongType, ShortType
+from pyspark.sql.types import DataType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
 from foldwise.schema import GROUP_COLUMN, feature_types
 
@@ -62,33 +62,41 @@ def cast_by_name(df: DataFrame, types: dict[str, DataType]) -> DataFrame:
 
 def read_group_csvs(spark: SparkSession, paths: Sequence[str], types: dict[str, DataType] | None = None,
                     group_from_path: bool = True, label_col: str = "activity") -> DataFrame:
-    """Read feature CSVs that may have different headers in ONE distributed
-    scan, binding every value to its own file's header by name.
-
-    Lines are split into fields; a file's header is its line that names the
-    label column.  A one-row-per-file header table is joined back and each
-    data line becomes ``map(header -> value)``, from which every column is
-    taken by name and cast.  Files without some column give NULL there (the
-    diagonal union); a line whose field count differs from its header, or a
-    duplicated header name, fails the job.
+    """Read feature CSVs that may have different headers, one distributed
+    scan per header, binding every value to its own file's header by name.
+
+    The header of each file is read from its first line.  Files of one header
+    are read together by Spark's CSV reader, which parses quotes, checks every
+    file's header against the schema and fails on a line with too few or too
+    many fields.  The parts are cast and joined by column name; files without
+    some column give NULL there (the diagonal union).  A file without the label
+    column, or with a column twice, is an error.
     """
     if not paths:
         raise FileNotFoundError("no feature files to read")
     types = feature_types() if types is None else types
-    lines = (spark.read.text(list(paths))
-             .select(F.col("_metadata.file_path").alias("__file"), F.split("value", ",").alias("__f"))
-             .filter(F.size("__f") > 1))
-    is_header = F.array_contains("__f", label_col)
-    headers = lines.filter(is_header).groupBy("__file").agg(F.first("__f").alias("__names"))
-    # every column name of every header: a tiny list (schema metadata)
-    names = [r[0] for r in headers.select(F.explode("__names")).distinct().collect()]
-    order = [c for c in types if c in names] + sorted(c for c in names if c not in types)
-    data = lines.filter(~is_header).join(headers, "__file", "inner")
-    m = F.map_from_arrays("__names", "__f")
-    raw = data.select(*[F.element_at(m, F.lit(c)).alias(c) for c in order],
-                      *([F.regexp_extract("__file", GROUP_FROM_PATH, 1).alias(GROUP_COLUMN)]
-                        if group_from_path else []))
-    return cast_by_name(raw, types)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        first = spark.read.option("inferSchema", False).csv(path).first()   # the first line only
+        header = tuple(first or ())
+        if label_col not in header:
+            raise ValueError(f"{path}: no column {label_col} in the header")
+        if len(set(header)) < len(header):
+            raise ValueError(f"{path}: a column comes twice in the header")
+        by_header.setdefault(header, []).append(path)
+    out = None
+    for header, files in by_header.items():
+        schema = StructType([StructField(c, StringType()) for c in header])
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", False) \
+            .option("mode", "FAILFAST").csv(files)
+        if group_from_path:
+            part = part.withColumn(GROUP_COLUMN, F.regexp_extract("_metadata.file_path", GROUP_FROM_PATH, 1))
+        part = cast_by_name(part, types)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    known = [c for c in types if c in out.columns]
+    last = [GROUP_COLUMN] if group_from_path else []
+    extra = sorted(c for c in out.columns if c not in known and c not in last)
+    return out.select(*[F.col(f"`{c}`") for c in [*known, *extra, *last]])
 
 
 def load_group(spark: SparkSession, group: str, data_dir: str) -> DataFrame:
@@ -145,14 +153,17 @@ def save_model(model, path: str) -> str:
 
 
 def load_model(path: str):
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import OneVsRestModel, RandomForestClassificationModel
-    for cls in (PipelineModel, OneVsRestModel, RandomForestClassificationModel):
-        try:
-            return cls.load(path)
-        except Exception:  # noqa: BLE001 - try the next model type
-            continue
-    raise ValueError(f"no loadable model at {path}")
+    """Load a saved model by the class its own metadata names."""
+    import importlib
+
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+    java = DefaultParamsReader.loadMetadata(path, SparkSession.getActiveSession())["class"]
+    module, name = java.replace("org.apache.spark", "pyspark").rsplit(".", 1)
+    if not module.startswith("pyspark.ml"):
+        raise ValueError(f"{path} holds a {java}, not a Spark ML model")
+    package = ".".join(module.split(".")[:3])
+    return getattr(importlib.import_module(package), name).load(path)
 
 
 def load_sampled_dataset(spark: SparkSession, data_dir: str, sample_fraction: float, seed: int = 42,

@@ -85,7 +85,7 @@ def test_time_sequence_and_running_sums_match_plain_windows(spark):
     b = ev.withColumn("s", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     assert a.select("event_id", "s").exceptAll(b.select("event_id", "s")).count() == 0
     scores = ev.groupBy("user_id", F.col("value").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    r = running_sums(scores, ["user_id"], "score", ["n"], n_buckets=8)
+    r = running_sums(scores, ["user_id"], "score", ["n"])
     w = Window.partitionBy("user_id").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     plain = scores.withColumn("cum_n", F.sum("n").over(w))
     assert r.select("user_id", "score", "cum_n").exceptAll(plain.select("user_id", "score", "cum_n")).count() == 0

@@ -34,7 +34,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from foldwise.session import build_session
-    spark = build_session(shuffle_partitions=32, extra={"spark.eventLog.enabled": "true",
+    spark = build_session(master="local[8]", shuffle_partitions=32, extra={"spark.eventLog.enabled": "true",
                                                          "spark.eventLog.dir": f"file://{logdir}",
                                                          "spark.sql.adaptive.coalescePartitions.enabled": "false",
                                                          # a local shuffle read hands one task a whole map
