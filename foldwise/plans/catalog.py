@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from foldwise.plans import (  # noqa: F401
-        q_labels, q_profile, q_sampling, q_metrics, q_features, q_registry, q_train,
+        q_labels, q_profile, q_sampling, q_metrics, q_features, q_registry, q_round_trips, q_train,
     )
