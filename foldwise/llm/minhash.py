@@ -13,8 +13,9 @@ become components.  Buckets that lie in one component are done: that closes
 groups of near copies without looking at their pairs.  In what is left, the
 classes outside the bucket's largest component are compared with all others
 of a different component, in blocks of bounded size that Spark spreads over
-tasks; a block task keeps a local forest, so it confirms and returns at most
-one link per pair of components.  No bucket is capped and no candidate lost.
+tasks: signatures first, then the full sets of those in question.  A block
+task keeps a local forest, so it confirms and returns at most one link per
+pair of components.  No bucket is capped and no candidate lost.
 
 Defined cases: null texts and texts without words have an empty set and stay
 alone; shorter texts than five words are one shingle; rows of equal id and
@@ -115,9 +116,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * n >= percent * (len(a) + len(b) - n)
 
 
-def _digest(s: np.ndarray) -> bytes:
-    from xxhash import xxh3_128_digest
-    return xxh3_128_digest(s.tobytes())
+def _digest(s: np.ndarray) -> int:
+    """64-bit name of a set, as a signed number."""
+    from xxhash import xxh3_64_intdigest
+    return int(np.uint64(xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
 SIG_BYTES = BANDS * ROWS * BITS // 8
@@ -136,7 +138,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, bands) per row: node is a 128-bit digest of the set, null for an empty one."""
+    """(id, n_shingles, node, bands) per row: node is a 64-bit hash of the set, null for an empty one."""
     import pyarrow as pa
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
@@ -147,12 +149,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([band_keys(minima(s)) if len(s) else [] for s in sets], pa.list_(pa.int64()))],
                     ["id", "n_shingles", "node", "bands"])
 
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("n_shingles", T.LongType()),
-                           T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+                           T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return src.mapInArrow(run, schema)
 
 
@@ -171,10 +173,10 @@ def _packed_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                     s = shingles(text)
                     if len(s) and _digest(s) == node:   # else another text of the same id
                         rows.append((node, _pack(s)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)],
-                                                 ["node", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
+                                                  pa.array([r[1] for r in rows], pa.binary())], ["node", "data"])
 
-    return src.mapInArrow(run, "node binary, data binary").dropDuplicates(["node"])
+    return src.mapInArrow(run, "node bigint, data binary").dropDuplicates(["node"])
 
 
 def _confirm_pairs(pairs: DataFrame, percent: int) -> DataFrame:
@@ -192,21 +194,39 @@ def _confirm_pairs(pairs: DataFrame, percent: int) -> DataFrame:
                     _, gb, sb = _unpack(r["db"])
                     if estimate(ga, gb) >= least and linked(sa, sb, percent):
                         out.append((r["a"], r["b"]))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
-    return pairs.mapInArrow(run, "a binary, b binary")
 
+def _compare_blocks(blocks: DataFrame, percent: int, confirm: bool) -> DataFrame:
+    """Comparisons inside the rows (key, some, every) of ``_blocks``; a pair is looked
+    at under its first common key only.
 
-def _confirm_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, from rows (key, some, every): two lists of
-    (node, comp, major, data).  A pair is looked at under its first common key only."""
+    Screening gives (key, node) of all whose estimate passes with another;
+    confirming gives links (a, b) between components."""
     import pyarrow as pa
     least = percent / 100 - MARGIN
 
-    def links(key, some, every):
-        xs, ys = [_unpack(r["data"]) for r in some], [_unpack(r["data"]) for r in every]
+    def candidates(key, some, every):
+        """(x, y) as places in the two lists."""
+        ys = [_unpack(r["data"]) for r in every]
         yk, yg = np.stack([y[0] for y in ys]), np.stack([y[1] for y in ys])
-        root: dict[bytes, bytes] = {}
+        comp, node = np.array([y["comp"] for y in every]), np.array([y["node"] for y in every])
+        major = np.array([y["major"] for y in every])
+        for i, x in enumerate(some):
+            xk, xg, _ = _unpack(x["data"])
+            shared = yk == xk
+            ok = shared.any(axis=1) & (xk[shared.argmax(axis=1)] == key) & (comp != x["comp"])
+            ok &= major | (node > x["node"])    # two of the list of some meet once
+            ok[ok] = estimate(yg[ok], xg) >= least
+            yield from ((i, j) for j in np.flatnonzero(ok))
+
+    def screen(key, some, every):
+        return {(key, n) for i, j in candidates(key, some, every) for n in (some[i]["node"], every[j]["node"])}
+
+    def links(key, some, every):
+        root: dict[int, int] = {}
 
         def find(c):
             while (p := root.get(c, c)) != c:
@@ -214,36 +234,25 @@ def _confirm_blocks(blocks: DataFrame, percent: int) -> DataFrame:
                 c = p
             return c
 
-        for (xk, xg, xs_), x in zip(xs, some, strict=True):
-            shared = yk == xk
-            first = np.where(shared.any(axis=1), xk[shared.argmax(axis=1)] == key, False)
-            for j in np.flatnonzero(first & (estimate(yg, xg) >= least)):
-                y = every[j]
-                if not y["major"] and y["node"] <= x["node"]:
-                    continue    # both are in the list of some: the pair comes up once
-                a, b = find(x["comp"]), find(y["comp"])
-                if a != b and linked(xs_, ys[j][2], percent):
-                    root[max(a, b)] = min(a, b)
-                    yield x["comp"], y["comp"]
+        for i, j in candidates(key, some, every):
+            a, b = find(some[i]["comp"]), find(every[j]["comp"])
+            if a != b and linked(_unpack(some[i]["data"])[2], _unpack(every[j]["data"])[2], percent):
+                root[max(a, b)] = min(a, b)
+                yield some[i]["comp"], every[j]["comp"]
 
     def run(batches):
+        names, look = (["a", "b"], links) if confirm else (["key", "node"], screen)
         for batch in batches:
             for i in range(batch.num_rows):
-                out = [p for r in batch.slice(i, 1).to_pylist() for p in links(r["key"], r["some"], r["every"])]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+                out = [p for r in batch.slice(i, 1).to_pylist() for p in look(r["key"], r["some"], r["every"])]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names)
 
-    return blocks.mapInArrow(run, "a binary, b binary")
+    return blocks.mapInArrow(run, "a bigint, b bigint" if confirm else "key bigint, node bigint")
 
 
-def _open_blocks(members: DataFrame, packed: DataFrame) -> DataFrame:
-    """(key, some, every): the comparisons left in buckets that span several components."""
-    spans = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    left = members.join(spans, "key")
-    majors = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("top"))
-    left = left.join(packed, "node").join(majors, "key").select(
-        "key", "node", "comp", (F.col("comp") == F.col("top")).alias("major"), "data")
-    left = cut_lineage(left)
+def _blocks(left: DataFrame) -> DataFrame:
+    """(key, some, every): for each bucket, blocks of its classes outside the largest
+    component against blocks of all its classes, from rows (key, node, comp, major, data)."""
     size = lambda c: F.greatest(F.ceil(F.count(c) / BLOCK_ROWS), F.ceil(F.sum(F.when(c, F.length("data"))) / BLOCK_BYTES),
                                 F.lit(1)).cast("bigint")
     minor = F.when(~F.col("major"), True)
@@ -257,6 +266,20 @@ def _open_blocks(members: DataFrame, packed: DataFrame) -> DataFrame:
     return every.join(pairs, ["key", "e"]).join(some, ["key", "s"]).select("key", "some", "every")
 
 
+def _open_links(members: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, from rows (key, node, comp).
+    Sets are sent only for classes that the signatures leave in question."""
+    spans = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
+    left = members.join(spans, "key")
+    majors = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "comp"))["comp"].alias("top"))
+    left = cut_lineage(left.join(majors, "key").select("key", "node", "comp", (F.col("comp") == F.col("top")).alias("major")))
+    heads = left.join(packed.select("node", F.substring("data", 1, HEAD).alias("data")), "node")
+    open_ = _compare_blocks(_blocks(heads), percent, confirm=False).distinct()
+    left = cut_lineage(left.join(open_, ["key", "node"]))
+    return _compare_blocks(_blocks(left.join(packed, "node")), percent, confirm=True)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``: component_id is the
     least id that links reach, kept marks its document."""
@@ -276,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = members.drop("lead").join(first, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     members = cut_lineage(members)
-    second = components(_confirm_blocks(_open_blocks(members, packed), percent), "a", "b")
+    second = components(_open_links(members, packed, percent), "a", "b")
 
     rows = rows.drop("bands").join(first, "node", "left").withColumn("c1", F.coalesce("root", "node")).drop("root")
     second = second.toDF("c1", "root")
