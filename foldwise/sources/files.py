@@ -77,7 +77,7 @@ def read_group_csvs(spark: SparkSession, paths: Sequence[str], types: dict[str,
     types = feature_types() if types is None else types
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        first = spark.read.option("inferSchema", False).csv(path).first()   # the first line only
+        first = spark.read.option("escape", "\"").csv(path).first()   # the first line only
         header = tuple(first or ())
         if label_col not in header:
             raise ValueError(f"{path}: no column {label_col} in the header")
@@ -88,7 +88,7 @@ def read_group_csvs(spark: SparkSession, paths: Sequence[str], types: dict[str,
     for header, files in by_header.items():
         schema = StructType([StructField(c, StringType()) for c in header])
         part = spark.read.schema(schema).option("header", True).option("enforceSchema", False) \
-            .option("mode", "FAILFAST").csv(files)
+            .option("mode", "FAILFAST").option("escape", "\"").csv(files)
         if group_from_path:
             part = part.withColumn(GROUP_COLUMN, F.regexp_extract("_metadata.file_path", GROUP_FROM_PATH, 1))
         part = cast_by_name(part, types)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.operators import metrics as M
 
@@ -71,3 +72,26 @@ def test_exact_quantiles_match_numpy(spark):
     for c, arr in (("a", a), ("b", b)):
         for p in (0.25, 0.5, 0.75):
             assert got[(c, p)] == pytest.approx(float(np.quantile(arr, p)), abs=1e-9)
+
+
+def test_one_class_groups_have_no_area(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("a", 0, 0.4), ("b", 1, 0.3), (None, 0, 0.2), (None, 1, 0.9)], "g string, y int, s double")
+    assert {r.g: r.roc_auc for r in M.roc_auc(df, "y", "s", ["g"]).collect()} == {"a": 1.0, "b": None, None: 1.0}
+    none = M.pr_auc(df.where("y = 0"), "y", "s", ["g"]).collect()
+    assert {r.g: r.pr_auc for r in none} == {"a": None, None: None}
+
+
+def test_scores_of_other_classes_are_an_error(spark):
+    df = spark.createDataFrame([(0, [0.1, 0.2, 0.7])], "y int, p array<double>")
+    with pytest.raises(Exception):
+        M.roc_auc_ovr(df, "y", "p", 2).collect()
+
+
+def test_exact_quantiles_with_outliers_and_infinities(spark):
+    import numpy as np
+    from foldwise.operators.cumulative import exact_quantiles
+    a = np.concatenate([np.arange(999.0), [1e300, float("inf")]])
+    df = spark.createDataFrame([(float(x),) for x in a] + [(None,), (float("nan"),)], "a double").withColumn("e", F.lit(None).cast("double"))
+    got = {(r.column, r.p): r.value for r in exact_quantiles(df, ["a", "e"], [0.0, 0.3, 0.5, 1.0]).collect()}
+    assert got["a", 0.0] == 0 and got["a", 0.3] == 300 and got["a", 0.5] == 500 and got["a", 1.0] == float("inf")
+    assert got["e", 0.5] is None

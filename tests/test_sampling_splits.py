@@ -89,3 +89,50 @@ def test_time_sequence_and_running_sums_match_plain_windows(spark):
     w = Window.partitionBy("user_id").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     plain = scores.withColumn("cum_n", F.sum("n").over(w))
     assert r.select("user_id", "score", "cum_n").exceptAll(plain.select("user_id", "score", "cum_n")).count() == 0
+
+
+def test_greedy_phases_equal_the_sequential_assignment():
+    import random
+    from collections import Counter
+
+    from foldwise.operators.splits import greedy_phases
+    for seed in range(400):
+        r = random.Random(seed)
+        k = r.randint(2, 6)
+        sizes = sorted((r.choice([1, 1, 1, 2, 3, r.randint(1, 30)]) for _ in range(r.randint(1, 60))), reverse=True)
+        load, want, got = [0] * k, [], []
+        for n in sizes:
+            f = min(range(k), key=lambda i: (load[i], i))
+            load[f] += n
+            want.append(f)
+        for _, first, last, folds in greedy_phases(sorted(Counter(sizes).items(), reverse=True), k):
+            got += [folds[(x - first) % len(folds)] for x in range(first, last + 1)]
+        assert got == want
+
+
+def test_string_groups_with_a_common_stem(spark):
+    from foldwise.operators import splits as S
+    df = spark.createDataFrame([(f"home_0{g:03d}", i) for g in range(150) for i in range(g % 5 + 1)], "home_id string, i int")
+    folds = {r.home_id: r.fold for r in S.logo_folds(df, "home_id").collect()}
+    assert folds == {h: i for i, h in enumerate(sorted(folds))}
+
+
+def test_null_groups_keep_their_rows(spark):
+    from foldwise.operators import splits as S
+    from foldwise.operators.baseline import logo_majority_eval, null_baselines
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 2), ("g", "a", 3), ("h", "a", 4)], "g string, label string, id int")
+    assert S.assign_folds(df, S.logo_folds(df, "g"), "g").count() == 4
+    assert S.stratified_holdout(df.withColumn("label", F.lit(None).cast("string")), "label", "id", 0.5).where("is_val").count() == 2
+    assert logo_majority_eval(df, "g", "label").count() == 3
+    assert null_baselines(df, "g", "label").count() == 3
+
+
+def test_hold_outs_and_samples_have_exact_sizes(spark):
+    from foldwise.operators import sampling, splits as S
+    df = spark.range(1000).select("id", F.when(F.col("id") < 700, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"))
+    for f in (0.05, 0.333, 1.0):
+        want = {r.g: int(f * r.n) for r in df.groupBy("g").agg(F.count("*").alias("n")).collect()}
+        got = {r.g: r.n for r in sampling.exact_group_sample(df, "g", "id", f).groupBy("g").agg(F.count("*").alias("n")).collect()}
+        assert got == {g: n for g, n in want.items() if n}
+    assert S.random_holdout(df, "id", 0.1).where("is_test").count() == 100
+    assert sampling.exact_global_sample(df, "id", 0.0005).count() == 0

@@ -2,6 +2,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.schema import FEATURE_ORDER
 from foldwise.sources import files
@@ -72,3 +73,35 @@ def test_parquet_round_trip_partitioned(spark, tmpdir_path):
     assert back.collect()[0].x == 2.0
     with pytest.raises(Exception):
         files.load_processed(spark, f"{tmpdir_path}/absent").collect()
+
+
+def _write(root, home, text):
+    os.makedirs(f"{root}/{home}", exist_ok=True)
+    path = f"{root}/{home}/{home}.ann.features.csv"
+    with open(path, "w") as fh:
+        fh.write(text)
+    return path
+
+
+TYPES = {"x": T.IntegerType(), "activity": T.StringType()}
+
+
+def test_quotes_and_permuted_headers(spark, tmpdir_path):
+    paths = [_write(tmpdir_path, "h1", 'x,activity\n1,"Cook, eat"\n'), _write(tmpdir_path, "h2", 'activity,x\n"a ""b""",2.0\n'),
+             _write(tmpdir_path, "h3", "x,activity\n")]
+    got = files.read_group_csvs(spark, paths, TYPES)
+    assert got.columns == ["x", "activity", "home_id"]
+    assert sorted(map(tuple, got.collect())) == [(1, "Cook, eat", "h1"), (2, 'a "b"', "h2")]
+
+
+@pytest.mark.parametrize("line", ["1", "1,a,b"])
+def test_a_damaged_line_fails(spark, tmpdir_path, line):
+    path = _write(tmpdir_path, "h1", f"x,activity\n1,a\n{line}\n")
+    with pytest.raises(Exception):
+        files.read_group_csvs(spark, [path], TYPES).collect()
+
+
+@pytest.mark.parametrize("header", ["x,label", "x,x,activity"])
+def test_a_missing_label_or_repeated_column_fails(spark, tmpdir_path, header):
+    with pytest.raises(ValueError):
+        files.read_group_csvs(spark, [_write(tmpdir_path, "h1", header + "\n1,2,3\n")], TYPES)
