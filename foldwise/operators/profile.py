@@ -22,10 +22,10 @@ def label_counts(df: DataFrame, label_col: str, out_label: str = "label") -> Dat
 
 
 def label_counts_both(df: DataFrame, raw_col: str, general_col: str) -> DataFrame:
-    """Counts in both label spaces, long format (label_space, label, n), from
-    one scan (grouping sets)."""
-    gs = (df.groupingSets([[raw_col], [general_col]], raw_col, general_col)
-            .agg(F.grouping_id(raw_col, general_col).alias("__g"), F.count(F.lit(1)).alias("n")))
+    """Counts in both label spaces, long format (label_space, label, n): rows are
+    counted by pair once, grouping sets run over that small table."""
+    gs = (pair_counts(df, raw_col, general_col).groupingSets([[raw_col], [general_col]], raw_col, general_col)
+            .agg(F.grouping_id(raw_col, general_col).alias("__g"), F.sum("n").alias("n")))
     raw = F.col("__g") == 1
     return gs.select(F.when(raw, F.lit("raw")).otherwise(F.lit("general")).alias("label_space"),
                      F.when(raw, F.col(raw_col)).otherwise(F.col(general_col)).alias("label"), "n")
@@ -37,10 +37,10 @@ def pair_counts(df: DataFrame, parent_col: str, child_col: str) -> DataFrame:
 
 
 def label_grouping_sets(df: DataFrame, raw_col: str, general_col: str) -> DataFrame:
-    """Specific, general and total counts in one scan: GROUPING SETS."""
-    return (df.groupingSets([[raw_col], [general_col], []], raw_col, general_col)
+    """Specific, general and total counts: GROUPING SETS over the counts of pairs."""
+    return (pair_counts(df, raw_col, general_col).groupingSets([[raw_col], [general_col], []], raw_col, general_col)
               .agg(F.grouping_id(raw_col, general_col).cast("int").alias("grouping_id"),
-                   F.count(F.lit(1)).alias("n")))
+                   F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
 def label_index_table(df: DataFrame, label_col: str, out_label: str = "label") -> DataFrame:

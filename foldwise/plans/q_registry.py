@@ -25,11 +25,17 @@ h AS (SELECT user_id AS trial, row_number() OVER (PARTITION BY user_id ORDER BY
              CAST(round(value * 100) AS BIGINT) AS score FROM events)"""
 
 
+def trial_score_rows(spark, sf_dir):
+    """(trial, score) of every event, without the rounds."""
+    # integer score (value in hundredths): sums are exact, so means agree to the last bit
+    return read_table(spark, sf_dir, "events").select(F.col("user_id").alias("trial"),
+                                                      F.round(F.col("value") * 100).cast("bigint").alias("score"))
+
+
 def eval_history(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     seq = exact_sequence(ev.select("user_id", "ts", "event_id", "value"), ["user_id"],
                          [F.col("ts"), F.col("event_id")], F.date_format("ts", "yyyyMMddHHmm"), "round")
-    # integer score (value in hundredths): sums are exact, so means agree to the last bit
     return seq.select(F.col("user_id").alias("trial"), "round",
                       F.round(F.col("value") * 100).cast("bigint").alias("score"))
 
@@ -59,14 +65,14 @@ z AS (SELECT 1)
 SELECT trial, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, count(*) AS n_folds
 FROM h GROUP BY trial"""))
 def q_trial_scores(spark, sf_dir):
-    return H.trial_scores(eval_history(spark, sf_dir))
+    return H.trial_scores(trial_score_rows(spark, sf_dir))
 
 
 @query("best_trial", with_(_HIST_SQL, r"""
 m AS (SELECT trial, avg(score) AS score FROM h GROUP BY trial)
 SELECT trial, round(score, 6) AS score FROM m ORDER BY score DESC, trial LIMIT 1"""))
 def q_best_trial(spark, sf_dir):
-    means = eval_history(spark, sf_dir).groupBy("trial").agg(F.avg("score").alias("score"))
+    means = trial_score_rows(spark, sf_dir).groupBy("trial").agg(F.avg("score").alias("score"))
     return H.best_trial(means).select("trial", F.round("score", 6).alias("score"))
 
 

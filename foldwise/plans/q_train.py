@@ -17,6 +17,7 @@ from foldwise.operators import train as T
 from foldwise.operators.metrics import confusion_long, summary_metrics
 from foldwise.plans.catalog import query
 from foldwise.plans.q_labels import clean_events
+from foldwise.plans.sqlparts import EV_CLEAN, with_
 
 FEATURES = ["value", "k", "hour", "dow", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 N_FOLDS = 3
@@ -146,3 +147,27 @@ def q_per_round_scores(spark, sf_dir):
     stop = H.early_stop_round(scores, 3, "trial", "round", "macro_f1")
     return (scores.join(best, "trial").join(stop, "trial")
                   .select("round", "macro_f1", "accuracy", "best_round", "stop_round"))
+
+
+LOGO_HOMES = 3
+
+
+@query("logo_cv_train", with_(EV_CLEAN, f"""
+h AS (SELECT event_id, activity, 'h' || (home_id % {LOGO_HOMES}) AS home_id FROM ev_clean),
+g AS (SELECT home_id, CAST(row_number() OVER (ORDER BY home_id) - 1 AS INTEGER) AS fold, count(*) AS n_test FROM h GROUP BY home_id),
+c AS (SELECT g.home_id, h.activity, count(*) AS n FROM g JOIN h ON h.home_id <> g.home_id GROUP BY ALL),
+v AS (SELECT home_id, CAST(sum(round(0.1 * n)) AS BIGINT) AS n_val, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1)
+SELECT g.fold, g.home_id, v.n - v.n_val AS n_train, v.n_val, g.n_test, 4 AS n_classes, TRUE AS valid_scores
+FROM g JOIN v USING (home_id)"""))
+def q_logo_cv_train(spark, sf_dir):
+    """Leave-one-home-out training with patience stopping; sizes per fold, and whether the scores are shares."""
+    ev = clean_events(spark, sf_dir).withColumn("home_id", F.concat(F.lit("h"), F.col("home_id") % LOGO_HOMES))
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    ev = FE.add_cyclic_time_features(ev, "hour", "dow")
+    data, _ = T.prepare(ev, FEATURES, "activity", keep=["event_id", "home_id"])
+    data = T.persist(data)
+    folds, _, _ = T.leave_one_group_out(data, "activity", "home_id", "event_id", FEATURES, SMALL_GBT, patience=3)
+    data.unpersist()
+    share = lambda c: F.col(c).between(0, 1)
+    return folds.select("fold", "home_id", "n_train", "n_val", "n_test", "n_classes",
+                        (share("accuracy") & share("f1_macro") & share("f1_weighted") & (F.col("n_trees") >= 1)).alias("valid_scores"))

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-ALL = sorted(n for n in E.oracle_sql() if not re.match(r"op\d+_|pipeline$", n))   # those are tested in tests/llm
+ALL = sorted(n for n in E.oracle_sql() if not re.match(r"op\d+_|pipeline$|logo_cv_train$", n))   # see tests/llm, test_train
 
 
 def test_entry_runs(spark):
