@@ -77,6 +77,24 @@ def class_report(conf: DataFrame, group_cols: Sequence[str] = (), digits: int =
                      F.col("support").cast("bigint").alias("support"))
 
 
+def report_averages(conf: DataFrame, group_cols: Sequence[str] = (), digits: int = 6) -> DataFrame:
+    """The averages rows of the class report: label ``accuracy``, ``macro avg`` and
+    ``weighted avg`` with precision, recall, f1 and support (accuracy fills f1 only)."""
+    cc = class_counts(conf, group_cols)
+    p, r, f = _prf(F.col("tp"), F.col("support"), F.col("predicted"))
+    per = cc.select(*group_cols, "tp", "support", p.alias("p"), r.alias("r"), f.alias("f"))
+    weighted = lambda c: F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support"))
+    row = lambda label, cols: F.struct(F.lit(label).alias("label"), *[
+        F.round(c, digits).alias(n) for n, c in zip(("precision", "recall", "f1"), cols)], F.col("n").alias("support"))
+    agg = per.groupBy(*group_cols).agg(
+        F.sum("support").cast("bigint").alias("n"), F.try_divide(F.sum("tp").cast("double"), F.sum("support")).alias("acc"),
+        *[F.avg(c).alias(f"m_{c}") for c in "prf"], *[weighted(c).alias(f"w_{c}") for c in "prf"])
+    none = F.lit(None).cast("double")
+    return agg.select(*group_cols, F.inline(F.array(
+        row("accuracy", (none, none, F.col("acc"))), row("macro avg", [F.col(f"m_{c}") for c in "prf"]),
+        row("weighted avg", [F.col(f"w_{c}") for c in "prf"]))))
+
+
 def summary_metrics(conf: DataFrame, group_cols: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
     """accuracy, macro-F1, weighted-F1, macro precision, macro recall, n."""
     cc = class_counts(conf, group_cols)

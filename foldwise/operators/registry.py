@@ -152,6 +152,7 @@ def leader_block(runs: DataFrame, score: str = "cv_primary") -> DataFrame:
     return r.select(
         FM.pretty_api("api").alias("model"), FM.pretty_target("target", "n_classes").alias("target_label"),
         FM.fmt_float(score).alias("cv_macro_f1"), FM.fmt_fraction("sample_fraction").alias("sample_fraction"),
+        FM.fmt_float("train_f1_macro").alias("train_macro_f1"), FM.fmt_float("train_accuracy").alias("train_accuracy"),
         "rounds", "early_stopping_rounds", "cv_scheme", "cv_folds",
         FM.fmt_float(F.element_at(p, "learning_rate"), 3).alias("learning_rate"),
         F.element_at(p, "max_depth").alias("max_depth"),
@@ -184,6 +185,17 @@ def cv_summary(folds: DataFrame, acc: str = "accuracy", f1: str = "f1_macro", se
     return folds.groupBy(*group_cols).agg(*aggs)
 
 
+def fold_interval(folds: DataFrame, score: str = "accuracy", z: float = 1.96, group_cols: Sequence[str] = (),
+                  digits: int = 6) -> DataFrame:
+    """Mean of a score over folds with its sample variance, standard error and normal
+    interval (NULL with fewer than two folds)."""
+    error = F.stddev_samp(score) / F.sqrt(F.count(score))
+    agg = folds.groupBy(*group_cols).agg(
+        F.count(score).alias("n_folds"), F.avg(score).alias("mean"), F.var_samp(score).alias("variance"),
+        error.alias("std_error"), (F.avg(score) - z * error).alias("low"), (F.avg(score) + z * error).alias("high"))
+    return agg.select(*group_cols, "n_folds", *[F.round(c, digits).alias(c) for c in ("mean", "variance", "std_error", "low", "high")])
+
+
 def importance_summary(imp: DataFrame, feature: str = "feature", value: str = "importance",
                        top: int | None = None, digits: int = 6) -> DataFrame:
     """Per feature mean / population std / min / max over folds, sorted by mean."""

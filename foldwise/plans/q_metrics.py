@@ -104,6 +104,18 @@ def q_class_report(spark, sf_dir):
     return M.class_report(conf)
 
 
+@query("class_report_averages", with_(EV_CLEAN, _PRED_SQL, _CLASS_COUNTS_SQL.format(g=""), r"""
+z AS (SELECT 1)
+SELECT 'accuracy' AS label, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, round(sum(tp) / sum(support), 6) AS f1,
+       CAST(sum(support) AS BIGINT) AS support FROM prf
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM prf
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6),
+       round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM prf"""))
+def q_class_report_averages(spark, sf_dir):
+    """The averages rows of the class report."""
+    return M.report_averages(M.confusion_long(rule_predictions(spark, sf_dir), "y_true", "y_pred"))
+
+
 @query("macro_metrics", with_(EV_CLEAN, _PRED_SQL, _CLASS_COUNTS_SQL.format(g="home_id,"), r"""
 z AS (SELECT 1)
 SELECT home_id, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f), 6) AS macro_f1,

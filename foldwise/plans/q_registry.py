@@ -85,6 +85,17 @@ def q_cv_summary(spark, sf_dir):
     return R.cv_summary(q_logo_majority_eval(spark, sf_dir), "accuracy", "macro_f1")
 
 
+@query("fold_interval", with_(EV_CLEAN, LOGO_CTES) + r"""
+SELECT count(*) AS n_folds, round(avg(accuracy), 6) AS mean, round(var_samp(accuracy), 6) AS variance,
+       round(stddev_samp(accuracy) / sqrt(count(*)), 6) AS std_error,
+       round(avg(accuracy) - 1.96 * stddev_samp(accuracy) / sqrt(count(*)), 6) AS low,
+       round(avg(accuracy) + 1.96 * stddev_samp(accuracy) / sqrt(count(*)), 6) AS high
+FROM logo""")
+def q_fold_interval(spark, sf_dir):
+    """Variance and interval of the accuracy across held-out groups."""
+    return R.fold_interval(q_logo_majority_eval(spark, sf_dir), "accuracy")
+
+
 @query("hardest_easiest_groups", with_(EV_CLEAN, LOGO_CTES) + r""",
 hard AS (SELECT 'hardest' AS kind, CAST(row_number() OVER (ORDER BY accuracy, home_id) AS INTEGER) AS rank,
                 home_id, accuracy FROM logo ORDER BY accuracy, home_id LIMIT 5),
