@@ -24,7 +24,7 @@ import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,10 @@ from foldwise.llm.common import order_hash, require
 from foldwise.session import cut_lineage
 
 FIT_ROWS = 20_000
-BRANCHES, LEAF_ROWS, ROUNDS = 8, 32, 8
+BRANCHES, LEAF_ROWS, ROUNDS = 8, 256, 8
 CALIBRATION_QUERIES = 200
 RECALL = 0.97
-BLOCK_ROWS, QUERY_ROWS = 2048, 256
+BLOCK_ROWS, QUERY_ROWS, SCORE_ROWS, HELD = 2048, 256, 32, 1_000_000
 
 
 def usable(vector: Column, size: int | None = None) -> Column:
@@ -214,35 +214,70 @@ def _in_blocks(rows: DataFrame, block_rows: int, name: str) -> tuple[DataFrame,
     return packed.select("leaf", name, F.col("r.id").alias(f"{name}_ids"), F.col("r.v").alias(f"{name}_vs")), plan
 
 
-def _score(blocks: DataFrame, top: int, id_type: T.DataType) -> DataFrame:
-    """(query_id, vec_id, score): the best ``top`` of a block for each of its queries."""
-    import pyarrow as pa
+def best_of_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, top: int):
+    """(query id, id, score) arrays: the best ``top`` of the rows for each query, ties to the smaller id.
+
+    A matrix product finds all that may be among the best, however sums were
+    rounded; their scores are then summed row by row in one way, so that equal
+    vectors tie exactly."""
+    out = []
+    largest = np.abs(x).max(axis=0)
+    for i in range(0, len(q), SCORE_ROWS):
+        part = q[i:i + SCORE_ROWS]
+        rough = part @ x.T
+        rough[query_ids[i:i + SCORE_ROWS, None] == ids[None, :]] = -np.inf
+        least = np.full(len(part), -np.inf)
+        if len(ids) > top:
+            least = np.partition(rough, -top, axis=1)[:, -top] - 1e-9 * (np.abs(part) @ largest)
+        at, row = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
+        score = (x[row] * part[at]).sum(axis=1)
+        order = np.lexsort((ids[row], -score, at))
+        at, row, score = at[order], row[order], score[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < top
+        out.append((query_ids[i + at[keep]], ids[row[keep]], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _first_of_each(query: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int):
+    """The best ``top`` entries of every query, in order of (query, score, id)."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < top
+    return query[keep], ids[keep], score[keep]
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pydict()
-                ids = np.array(r["e_ids"][0], dtype=object if isinstance(r["e_ids"][0][0], str) else None)
-                x, q = np.array(r["e_vs"][0], np.float64), np.array(r["s_vs"][0], np.float64)
-                rough = q @ x.T
-                slack = 1e-9 * np.abs(q) @ np.abs(x).max(axis=0)
-                out = ([], [], [])
-                for k, query in enumerate(r["s_ids"][0]):
-                    near = np.flatnonzero(ids != query)
-                    if len(near) > top:    # all that may be among the best, however their sums were rounded
-                        near = near[rough[k, near] >= np.partition(rough[k, near], -top)[-top] - slack[k]]
-                    score = (x[near] * q[k]).sum(axis=1)    # each row summed alike, so that equal vectors tie
-                    best = np.lexsort((ids[near], -score))[:top]
-                    out[0].extend([query] * len(best))
-                    out[1].extend(ids[near][best].tolist())
-                    out[2].extend(score[best].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], kind), pa.array(out[2], pa.float64())],
-                                                 ["query_id", "vec_id", "score"])
 
+def _score(blocks: DataFrame, top: int, id_type: T.DataType) -> DataFrame:
+    """(query_id, best): for the queries of a task their best ``top`` in its blocks, best an
+    array of (less = -score, id).  A task holds at most about ``HELD`` entries."""
+    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
     kind = to_arrow_type(id_type)
-    return blocks.mapInArrow(run, T.StructType([T.StructField("query_id", id_type), T.StructField("vec_id", id_type),
-                                                T.StructField("score", T.DoubleType())]))
+
+    def batch_of(query, ids, score):
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+        entries = pa.StructArray.from_arrays([pa.array(-score, pa.float64()), pa.array(ids, kind)], ["less", "id"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(query)], pa.int32()), entries)
+        return pa.RecordBatch.from_arrays([pa.array(query[starts], kind), lists], ["query_id", "best"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.slice(i, 1).column(c) for c in ("e_ids", "e_vs", "s_ids", "s_vs")}
+                ids, queries = (r[c].flatten().to_numpy(zero_copy_only=False) for c in ("e_ids", "s_ids"))
+                held.append(best_of_block(ids, _matrix(r["e_vs"].flatten()), queries, _matrix(r["s_vs"].flatten()), top))
+                n += len(held[-1][0])
+                if n > HELD:
+                    held = [_first_of_each(*map(np.concatenate, zip(*held, strict=True)), top)]
+                    n = len(held[0][0])
+                    if n > HELD // 2:
+                        yield batch_of(*held.pop())
+                        n = 0
+        if held:
+            yield batch_of(*_first_of_each(*map(np.concatenate, zip(*held, strict=True)), top))
+
+    entry = T.StructType([T.StructField("less", T.DoubleType()), T.StructField("id", id_type)])
+    return blocks.mapInArrow(run, T.StructType([T.StructField("query_id", id_type), T.StructField("best", T.ArrayType(entry))]))
 
 
 def search(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -268,6 +303,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, id_col: str = "v
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     pairs = n_every.join(n_some, "leaf").select("leaf", upto("n_e").alias("e"), "n_s").select("leaf", "e", upto("n_s").alias("s"))
     found = _score(every.join(pairs, ["leaf", "e"]).join(some, ["leaf", "s"]), top, id_type)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top) \
-        .select("query_id", "rank", "vec_id", "score")
+    # a query has at most a row for each leaf it visits
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, top)
+    return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b")) \
+        .select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.less")).alias("score"))

@@ -37,6 +37,7 @@ def test_query_recall_against_brute_force(spark):
 def test_copies_tie_to_smaller_ids_and_hot_leaves_are_cut(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
     monkeypatch.setattr(ann, "QUERY_ROWS", 16)
+    monkeypatch.setattr(ann, "HELD", 500)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(600)]
     rows += [(1000 + i, [3.0, 1.0, 0.5, 0.1, 0.1, 0.3]) for i in range(400)]
