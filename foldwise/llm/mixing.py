@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import WORD_SEP, let, order_hash, require
+from foldwise.llm.common import WORD_SEP, join_by_group, let, order_hash, require
 from foldwise.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -81,9 +81,9 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     while shift > 0:
         above, shift = shift, max(0, shift - BITS_PER_LEVEL)
         at = state.select("source", "budget", "low")
-        inside = sizes.join(at, _same_source(sizes, at)).where(
+        inside = join_by_group(sizes, at, ["source"], F.col("h")).where(
             F.shiftright(F.col("h"), above) == F.shiftright(F.col("low"), above)).select(
-            sizes["source"], F.shiftright(F.col("h"), shift).alias("bucket"), "size", "h")
+            "source", F.shiftright(F.col("h"), shift).alias("bucket"), "size", "h")
         sums = inside.groupBy("source", "bucket").agg(
             F.sum("size").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1"))
         run = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.join(cuts, _same_source(plan, cuts), "left").select(
         plan["source"], "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
     copies = F.least(F.col("whole") + (F.col("h") < F.col("threshold")).cast("bigint"), F.lit(max_repeats))
-    return sized.join(plan, _same_source(sized, plan)).select(
+    return join_by_group(sized, cut_lineage(plan), ["source"], F.col("h")).select(
         *[F.col(f"c_{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
