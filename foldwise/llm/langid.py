@@ -7,8 +7,8 @@ and n-grams of one to three characters are hashed into a fixed number of
 features.  A feature's value is its share of the text's n-grams times its
 inverse document frequency.  Document frequencies are counted over all
 labelled rows; the weights are fitted on a bounded sample of each language
-(``per_language`` rows with the smallest hash of the key), a fifth of it held
-back for the temperature.  A text of any length is read whole, in chunks.
+(the rows whose hash of the key is below a threshold, about ``per_language``),
+a fifth of it held back for the temperature.  A text of any length is read whole, in chunks.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language or key are not learned from; without any labelled row
@@ -22,7 +22,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +74,7 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(features, shares) of a text."""
     total = np.zeros(1 << BITS, np.int64)
     for c in chunks(text):
@@ -172,27 +172,27 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     docs, df = document_frequencies(labelled)
     if not docs:
         return Model([], np.zeros((1, 0)), 1.0)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))
-    chosen = labelled.select("key", "lang", order_hash(F.col("key")).alias("h")).distinct() \
-        .withColumn("r", rank).where(F.col("r") <= per_language).select(F.col("key").alias("k"), F.col("lang").alias("l"), "r")
-    sample = labelled.join(F.broadcast(chosen), (F.col("key") == F.col("k")) & (F.col("lang") == F.col("l"))) \
-        .select("r", "lang", "text")     # at most per_language keys of each language
+    # about per_language rows of each language: those whose hash is below the language's threshold
+    h = order_hash(F.col("key"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()    # one row per language
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["n"]) * 2 ** 60))])
+    sample = labelled.withColumn("h", h).where(F.col("h") < F.element_at(below, F.col("lang"))).select("h", "lang", "text")
 
     def run(batches):
         for batch in batches:
-            for r, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                at, share = counts(text)
+            for h, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                at, share = counts_of(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r], pa.int32()), pa.array([lang]), pa.array([at.astype("<i4").tobytes()], pa.binary()),
-                     pa.array([share.astype("<f4").tobytes()], pa.binary())], ["r", "lang", "at", "share"])
+                    [pa.array([h], pa.int64()), pa.array([lang]), pa.array([at.astype("<i4").tobytes()], pa.binary()),
+                     pa.array([share.astype("<f4").tobytes()], pa.binary())], ["h", "lang", "at", "share"])
 
-    rows = sorted(sample.mapInArrow(run, "r int, lang string, at binary, share binary").collect())
+    rows = sorted(sample.mapInArrow(run, "h bigint, lang string, at binary, share binary").collect())
     languages = sorted({r["lang"] for r in rows})
     idf = np.log((1 + docs) / (1 + df)) + 1.0
     data = []
     for r in rows:
         at = np.frombuffer(r["at"], "<i4")
-        data.append((at, SCALE * np.frombuffer(r["share"], "<f4") * idf[at], languages.index(r["lang"]), r["r"] % 5 == 0))
+        data.append((at, SCALE * np.frombuffer(r["share"], "<f4") * idf[at], languages.index(r["lang"]), r["h"] % 5 == 0))
     train = [d[:3] for d in data if not d[3]] or [d[:3] for d in data]
     held = [d for d in data if d[3]] or data
     w = ftrl(train, len(languages))
