@@ -4,7 +4,7 @@ URLs that a rule decides are the labelled examples.  Spark's GBTClassifier is
 fitted on a bounded sample of them, and its trees are written out as one
 nested CASE expression, so judging is a projection inside code generation.
 Features are lengths, depth, digit ratio, entropy, parameter counts and
-statistics of the host's suffix (its share of all URLs, pre-aggregated).
+statistics of the host's suffix (how many URLs have it, pre-aggregated).
 
 Defined cases: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is judged by the model; without labelled rows of both
@@ -23,13 +23,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import ascii_lower, count_chars, let, order_hash, require
+from foldwise.llm.common import ascii_lower, count_chars, join_by_group, let, order_hash, require
 from foldwise.session import cut_lineage
 
 MAX_TRAIN_ROWS = 20_000  # bound of the labelled sample the trees are fitted on
 FEATURES = ("url_length", "host_length", "path_length", "query_length", "depth", "host_labels", "digits", "digit_ratio",
             "hyphens", "entropy", "parameters", "has_fragment", "is_https", "last_length", "extension_length",
-            "first_segment_length", "suffix_length", "suffix_share")
+            "first_segment_length", "suffix_length", "suffix_count")
 
 
 @dataclass(frozen=True)
@@ -99,11 +99,8 @@ def features(df: DataFrame, url_col: str = "url") -> DataFrame:
     host, path = split_url(F.col(f"`{url_col}`"))
     df = df.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"), url.alias("__u"))
     df = df.withColumn("__suffix", suffix(F.col("host")))
-    seen = df.groupBy("__suffix").agg(F.count(F.lit(1)).alias("__n"))
-    total = seen.agg(F.sum("__n").alias("__total"))
-    seen = seen.join(F.broadcast(total)).select(F.col("__suffix").alias("__s"),  # one row
-                                                (F.col("__n") / F.col("__total")).alias("suffix_share"))
-    df = df.join(seen, F.col("__suffix") == F.col("__s"), "left")
+    seen = cut_lineage(df.groupBy("__suffix").agg(F.log1p(F.count(F.lit(1))).alias("suffix_count")))
+    df = join_by_group(df, seen, ["__suffix"], F.col("__u"))
     u, h, p = F.col("__u"), F.col("host"), F.col("path")
     query = F.when(F.instr(u, "?") > 0, F.substring_index(F.substr(u, F.instr(u, "?") + 1), "#", 1)).otherwise("")
     last = F.substring_index(p, "/", -1)
@@ -118,7 +115,7 @@ def features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "last_length": F.length(last),
         "extension_length": F.when(F.instr(last, ".") > 0, F.length(F.substring_index(last, ".", -1))).otherwise(0),
         "first_segment_length": F.length(F.split_part(p, F.lit("/"), F.lit(2))),
-        "suffix_length": F.length("__suffix"), "suffix_share": F.col("suffix_share"),
+        "suffix_length": F.length("__suffix"), "suffix_count": F.col("suffix_count"),
     }
     return df.select(*[F.col(f"`{c}`") for c in keep], "host", "path",
                      *[c.cast("double").alias(k) for k, c in cols.items()])
