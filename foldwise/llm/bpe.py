@@ -20,10 +20,12 @@ columns pass through (columns named like a result are replaced).
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,11 +34,16 @@ from pyspark.sql import types as T
 from foldwise.llm.common import require
 
 LEAF = 128          # bytes in a leaf of the tree; pieces up to this size are encoded directly
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 SLICE_ROWS = 256    # texts of a batch that are held as Python objects at once
 # A single space between two other characters; Python's white space includes all of the tokenizer's.
 TWO_SPACES = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S) (?=\S)")
+# Letters whose class no Unicode version changes; between them (or digits) and these marks, and around
+# line ends that touch them, the tokenizer's pattern always cuts.
+_SURE = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+SUB = re.compile(rf"(?<=[0-9{_SURE}])(?=[.,;:!?\n])|(?<=[.,;:!?])(?=\n)|(?<=\n)(?=[{_SURE}])")
+WORD = re.compile(rf" ?[{_SURE}]+\Z")   # one word: the pattern takes it whole
 
 
 def byte_alphabet() -> list[str]:
@@ -47,6 +54,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class TreeBpe:
     """Encoder and decoder of a tokenizer file (byte-level BPE)."""
 
@@ -57,6 +69,7 @@ class TreeBpe:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.start = {c: vocab[c] for c in byte_alphabet()}
+        self.start_of_byte = [vocab[c] for c in byte_alphabet()]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -128,6 +141,8 @@ class TreeBpe:
 
     def piece(self, text: str) -> list[int]:
         """Ids of a piece that the cache does not hold."""
+        if WORD.match(text):
+            return self.tree([self.start_of_byte[b] for b in text.encode()])
         out: list[int] = []
         for part in (self.at_special.split(text) if self.at_special else [text]):
             if part in self.special:
@@ -138,39 +153,85 @@ class TreeBpe:
         return out
 
     def pieces(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.piece(t), "<u4").tobytes() for t in texts]
+        return [pack_ids(self.piece(t)) for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
+class _Known(dict):
+    """Pieces by text; one that is unknown is taken over from the older generation or noted."""
+
+    def __init__(self, older: dict[str, bytes]):
+        self.older, self.unknown = older, set()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if (ids := self.older.get(piece)) is None:
+            self.unknown.add(piece)
+        else:
+            self[piece] = ids
+        return ids
+
+
 class PieceCache:
-    """Ids of whole texts from the ids of their pieces, each encoded once."""
+    """Ids of whole texts from the ids of their pieces.
+
+    Pieces are those after a space (kept without it) and others.  A new piece
+    is cut further at punctuation and line ends, where no merge crosses either,
+    so that a word is encoded once whatever follows it.  What a slice of texts
+    needs and is not known is encoded in one call.  The cache has two
+    generations of at most about ``most`` pieces: when the young one is full it
+    becomes the old one, and pieces still in use move back."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
         self.encode, self.most = encode, most
-        self.head: dict[str, bytes] = {}    # pieces at the start of a text
-        self.rest: dict[str, bytes] = {}    # pieces after a space, kept without it
-
-    def _learn(self, known: dict[str, bytes], pieces: Iterator[str], prefix: str) -> None:
-        new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-        known.update(zip(new, self.encode([prefix + p for p in new]), strict=True))
+        self.known = [_Known({}), _Known({})]   # 0: as it stands, 1: after a space
+
+    def _learn(self, kind: int) -> None:
+        """Encode what has been noted as unknown."""
+        known = self.known[kind]
+        plain = list(filter(str.isalnum, known.unknown))     # nothing to cut at
+        cut = [(p, SUB.split(p)) for p in known.unknown.difference(plain)]
+        known.unknown = set()
+        plain += [p for p, parts in cut if len(parts) == 1]
+        known.update(zip(plain, self.encode([" " + p for p in plain] if kind else plain), strict=True))
+        if joined := [(p, parts) for p, parts in cut if len(parts) > 1]:
+            for _, parts in joined:
+                known[parts[0]]
+                for x in parts[1:]:
+                    self.known[0][x]
+            for k in {0, kind}:
+                if self.known[k].unknown:
+                    self._learn(k)
+            for p, parts in joined:
+                known[p] = known[parts[0]] + b"".join([self.known[0][x] for x in parts[1:]])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        was_on = gc.isenabled()
+        gc.disable()    # many short lists of strings, no cycles: collections would only walk the cache
+        try:
+            return self._encode(texts)
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        for i, k in enumerate(self.known):
+            if len(k) > self.most:
+                k.older = {}    # two generations, no more
+                self.known[i] = _Known(k)
         cut = [CUT.split(t) if TWO_SPACES.search(t) else t.split(" ") for t in texts]
-        self._learn(self.head, (c[0] for c in cut), "")
-        out = []
-        for c in cut:
-            rest = c[1:]
-            try:
-                ids = list(map(self.rest.__getitem__, rest))
-            except KeyError:
-                self._learn(self.rest, iter(rest), " ")
-                ids = [self.rest[p] if p in self.rest else self.encode([" " + p])[0] for p in rest]
-            out.append(self.head[c[0]] + b"".join(ids))
-        return out
+        head, rest = self.known
+        found = [[head[c[0]], *map(rest.__getitem__, c[1:])] for c in cut]
+        for k in (0, 1):
+            if self.known[k].unknown:
+                self._learn(k)
+        for c, ids in zip(cut, found, strict=True):
+            if ids[0] is None:
+                ids[0] = head[c[0]]
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                ids[i] = rest[c[i]]
+        return [b"".join(ids) for ids in found]
 
 
 _WORKER: dict = {}   # per Python worker: encoder and cache by (kind, path)

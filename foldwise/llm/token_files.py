@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.bpe import SLICE_ROWS, PieceCache
+from foldwise.llm.bpe import SLICE_ROWS, WORD, PieceCache, byte_alphabet, pack_ids
 from foldwise.llm.common import require
 
 MAGIC = b"FWPLANE1"
@@ -49,9 +49,17 @@ def library_cache(path: str) -> PieceCache:
         tok.no_truncation()
         tok.no_padding()
 
+        word_ids = tok.model.tokenize
+        letters = {i: c for i, c in enumerate(byte_alphabet())}
+
         def encode(pieces: list[str]) -> list[bytes]:
-            found = tok.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            # a word goes straight to the library's model, what needs its pattern through the whole tokenizer
+            out = [pack_ids([t.id for t in word_ids(p.encode().decode("latin-1").translate(letters))])
+                   if WORD.match(p) else b"" for p in pieces]
+            others = [i for i, ids in enumerate(out) if not ids and pieces[i]]
+            for i, e in zip(others, tok.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
+                out[i] = pack_ids(e.ids)
+            return out
 
         _WORKER[path] = PieceCache(encode)
     return _WORKER[path]
