@@ -40,9 +40,10 @@ SLICE_ROWS = 256    # texts of a batch that are held as Python objects at once
 TWO_SPACES = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # Letters whose class no Unicode version changes; between them (or digits) and these marks, and around
-# line ends that touch them, the tokenizer's pattern always cuts.
+# line ends that touch them, the tokenizer's pattern always cuts.  Of several white-space characters before
+# a letter the pattern leaves the last one out (\s+(?!\S)), so a line end there is cut on both sides.
 _SURE = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-SUB = re.compile(rf"(?<=[0-9{_SURE}])(?=[.,;:!?\n])|(?<=[.,;:!?])(?=\n)|(?<=\n)(?=[{_SURE}])")
+SUB = re.compile(rf"(?<=[0-9{_SURE}])(?=[.,;:!?\n])|(?<=[.,;:!?])(?=\n)|(?<=\s)(?=\n[{_SURE}])|(?<=\n)(?=[{_SURE}])")
 WORD = re.compile(rf" ?[{_SURE}]+\Z")   # one word: the pattern takes it whole
 
 

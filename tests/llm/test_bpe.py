@@ -49,6 +49,15 @@ def test_edge_texts(t):
     assert ids_of(CACHE([t])[0]) == lib(t)
 
 
+@pytest.mark.parametrize("t", ["a\n\nb", "end.\n\nNext", "end.\n\n\n\nNext", "\n\nx", " w\n\nx", "\nx", "a\nb", "a \n\nb", "a\n \nb", "a\x1c\nb",
+                               "\n\n\nx y\r\n\nz", "1\n\n2", "<|endoftext|>\n\nx", "a\x85\nb"])
+def test_blank_lines_before_a_word(t):
+    assert SMALL.piece(t) == lib(t)
+    cache = bpe.PieceCache(bpe.TreeBpe(PATH).pieces)
+    assert ids_of(cache([t])[0]) == ids_of(cache([t])[0]) == lib(t)
+    assert ids_of(bpe.tree_encoder(PATH)[1]([t])[0]) == lib(t)
+
+
 def test_heap_equals_plain_merge():
     r = random.Random(3)
     for _ in range(200):

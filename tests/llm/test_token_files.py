@@ -48,6 +48,11 @@ def test_query_equals_the_library(spark):
         at += len(ids)
 
 
+@pytest.mark.parametrize("t", ["a\n\nb", "end.\n\nNext", "end.\n\n\n\nNext", "\n\nx", " w\n\nx", "\nx", "a \n\nb", "a\r\n\r\nb"])
+def test_blank_lines_before_a_word(t):
+    assert np.frombuffer(tf.library_cache(PATH)([t])[0], "<u4").tolist() == ids_of(t)[:-1]
+
+
 def test_nulls_repeats_empty_table_and_extra_columns(spark, tmpdir_path):
     d = spark.createDataFrame([(2, "b c", 1), (None, None, 2), (2, "a", 3), (2, "b c", 4), (1, "", 5)],
                               "doc_id int, text string, shard int")
