@@ -21,9 +21,8 @@ from foldwise.plans.sqlparts import EV_CLEAN, with_
 
 FEATURES = ["value", "k", "hour", "dow", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 N_FOLDS = 3
-# query-size settings: few shallow trees keep the checks quick at small scale
-SMALL_GBT = {"n_estimators": 5, "max_depth": 3}
-SMALL_RF_SPACE = dict(T.SPARK_SEARCH_SPACE, n_estimators=[20, 30, 40])
+# The boosted trees of the reference's comparison of targets.
+TARGET_PARAMS = {"n_estimators": 250, "learning_rate": 0.08, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.8}
 
 
 def training_rows(spark, sf_dir, label="activity"):
@@ -40,8 +39,8 @@ def training_rows(spark, sf_dir, label="activity"):
 def q_train_ovr_gbt_group_cv(spark, sf_dir):
     """One-vs-rest boosted trees, 2 learning rates x 3 grouped folds, macro-F1."""
     data, _ = training_rows(spark, sf_dir)
-    est = T.make_classifier("ovr_gbt", SMALL_GBT)
-    cands = [dict(SMALL_GBT, learning_rate=lr) for lr in (0.05, 0.1)]
+    est = T.make_classifier("ovr_gbt")
+    cands = [dict(T.DEFAULT_PARAMS, learning_rate=lr) for lr in (0.05, 0.1)]
     cvm = T.group_cv(data, est, T.grid_for(est, cands, "gbt"), "fold", N_FOLDS)
     rows = [(i, c["learning_rate"], c["max_depth"], c["n_estimators"], float(m))
             for i, (c, m) in enumerate(zip(cands, cvm.avgMetrics))]
@@ -52,11 +51,11 @@ def q_train_ovr_gbt_group_cv(spark, sf_dir):
 
 @query("train_rf_random_search")
 def q_train_rf_random_search(spark, sf_dir):
-    """Random search (2 candidates drawn without replacement) x grouped folds,
+    """Random search (12 candidates drawn without replacement) x grouped folds,
     best candidate refit on all rows; reports trials and in-sample metrics."""
     data, _ = training_rows(spark, sf_dir)
-    est = T.make_classifier("rf", {"n_estimators": 20, "max_depth": 4})
-    cands = T.sample_params(spark, SMALL_RF_SPACE, n_trials=2, seed=42)
+    est = T.make_classifier("rf", {})
+    cands = T.sample_params(spark, T.SPARK_SEARCH_SPACE, n_trials=12, seed=42)
     cvm = T.group_cv(data, est, T.grid_for(est, cands, "rf"), "fold", N_FOLDS)
     train = summary_metrics(confusion_long(cvm.bestModel.transform(data), "label", "prediction"), digits=None).first()
     best = max(range(len(cands)), key=lambda i: (cvm.avgMetrics[i], -i))
@@ -88,7 +87,7 @@ def q_predict_proba(spark, sf_dir):
     prediction and per-class probability columns."""
     data, fp = training_rows(spark, sf_dir)
     labels = fp.stages[-1].labelsArray[0]
-    model = T.make_classifier("ovr_gbt", SMALL_GBT).fit(data.filter(F.col("fold") != 0))
+    model = T.make_classifier("ovr_gbt").fit(data.filter(F.col("fold") != 0))
     scored = model.transform(data.filter(F.col("fold") == 0))
     scored = T.index_to_label(labels).transform(scored)
     prob = T.probability_column(scored, n_classes=len(labels))
@@ -122,8 +121,7 @@ def q_target_comparison(spark, sf_dir):
         ev = splits.stratified_folds(ev, target, "event_id", N_FOLDS, seed=42)
         data, _ = T.prepare(ev, FEATURES, target, keep=["event_id", "fold"])
         data = T.persist(data)
-        res = T.cross_validate_folds(data, lambda: T.make_classifier("rf", {"n_estimators": 20, "max_depth": 5}),
-                                     "fold", range(N_FOLDS))
+        res = T.cross_validate_folds(data, lambda: T.make_classifier("ovr_gbt", TARGET_PARAMS), "fold", range(N_FOLDS))
         data.unpersist()
         import statistics
         f1s = [r["macro_f1"] for r in res]
@@ -135,14 +133,19 @@ def q_target_comparison(spark, sf_dir):
 
 @query("per_round_scores")
 def q_per_round_scores(spark, sf_dir):
-    """Native-style search step: macro-F1 of the held-out fold after each
+    """Native-style search step: mean macro-F1 of the held-out folds after each
     boosting round (tree prefixes), with the best round and the patience stop."""
     from foldwise.operators import history as H
     data, _ = training_rows(spark, sf_dir)
-    n = 8
-    model = T.make_classifier("ovr_gbt", {"n_estimators": n, "max_depth": 3}).fit(data.filter(F.col("fold") != 0))
-    preds = T.ovr_round_predictions(model, data.filter(F.col("fold") == 0), range(1, n + 1))
-    scores = T.round_scores(preds).withColumn("trial", F.lit(1))
+    n, folds = T.DEFAULT_PARAMS["n_estimators"], []
+    for k in range(N_FOLDS):
+        model = T.make_classifier("ovr_gbt").fit(data.filter(F.col("fold") != k))
+        preds = T.ovr_round_predictions(model, data.filter(F.col("fold") == k), range(1, n + 1))
+        folds += [(k, *r) for r in T.round_scores(preds, digits=None).collect()]     # one row per round
+    data.unpersist()
+    scores = spark.createDataFrame(folds, "fold int, round int, macro_f1 double, accuracy double").groupBy("round").agg(
+        F.round(F.avg("macro_f1"), 6).alias("macro_f1"), F.round(F.avg("accuracy"), 6).alias("accuracy"))
+    scores = scores.withColumn("trial", F.lit(1))
     best = H.best_round(scores, "trial", "round", "macro_f1")
     stop = H.early_stop_round(scores, 3, "trial", "round", "macro_f1")
     return (scores.join(best, "trial").join(stop, "trial")
