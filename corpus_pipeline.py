@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import bpe, minhash, mixing, pii, quality_bayes
-from foldwise.session import ensure_checkpoint_dir, read_table
+from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -28,10 +28,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; documents without an id stay."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """One row of each near-duplicate group, that of the least id.  Rows of equal id and text are copies
+    whatever the text; rows without id and without words stay."""
+    # a row's key: ids in order, rows without id last, then the text
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text")))
+    found = minhash.near_duplicates(keyed, id_col="__row")
+    groups = found.groupBy("__row").agg(F.min("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+    repeated = (F.col("rows") > 1) & ~(F.col("__row.no_id") & (F.col("n") == 0))
+    marked = cut_lineage(groups.where(~F.col("kept") | repeated).select(F.col("__row").alias("__marked"), "kept"))
+    same = F.col("__row") == F.col("__marked")
+    out = keyed.join(marked, same, "left_anti")
+    if marked.where("kept").limit(1).count():
+        out = out.unionByName(keyed.join(marked.where("kept"), same, "left_semi").dropDuplicates(["__row"]))
+    return out.select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,20 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in P.near_dedup(spark, docs, SF).collect()) == [4, 6, 7, 8]
 
 
+def test_near_dedup_stage_decides_by_row(spark):
+    """Repeated and null ids: exactly one row of each group, and no unique text lost."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other, third = text.replace("w", "x"), text.replace("w", "y")
+    rows = [(1, text), (2, text), (2, other), (3, third), (3, third), (None, third), (None, "alone " + other[::-1]),
+            (None, "lost id"), (None, "lost id"), (None, None), (4, ""), (4, ""), (-5, text + " tail"), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n_chars long").repartition(3)
+    got = P.near_dedup(spark, docs, SF)
+    assert got.dtypes == docs.dtypes
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] is not None) == [
+        (-5, text + " tail"), (2, other), (3, third), (4, "")]
+    assert sorted(r["text"] or "" for r in got.collect() if r["doc_id"] is None) == ["", "", "alone " + other[::-1], "lost id"]
+
+
 @pytest.mark.parametrize("i", range(5))
 def test_stage_names_are_short(i):
     assert len(P.STAGES[i][0]) <= 40
