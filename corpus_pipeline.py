@@ -1,10 +1,11 @@
-"""Corpus pipeline: quality classifier, near-dedup, personal data, mixing, BPE ids.
+"""Corpus pipeline: quality classifier, near-dedup, personal data, mixing, BPE ids and back.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the docs of the next.  All but the last
 return the columns of ``documents``; decisions of a stage take effect: rejected
 documents and near copies go, personal data are masked, the mix leaves out or
-repeats documents, and the last stage gives token ids.
+repeats documents, and the last stage gives token ids and
+whether they decode to the text.
 """
 
 from __future__ import annotations
@@ -56,9 +57,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) of every document of the mix, ids as little-endian 32-bit binary."""
-    ids = bpe.encode(docs, public_tokenizers.path(TOKENIZER))
-    return ids.select("doc_id", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids")
+    """(doc_id, source, n_tokens, ids, decoded_sha256, same_text) of every document of the mix: ids as little-endian
+    32-bit binary, the digest of the text they decode to, and whether that is the document's."""
+    path = public_tokenizers.path(TOKENIZER)
+    done = bpe.decode(bpe.encode(docs, path), path)
+    return done.select("doc_id", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 
 STAGES = [
@@ -66,7 +71,7 @@ STAGES = [
     ("MinHash near-dedup", near_dedup),
     ("PII", mask_personal_data),
     ("mixing sources", mix_sources),
-    ("BPE encoding", bpe_ids),
+    ("BPE encoding and decoding", bpe_ids),
 ]
 
 ORACLE_SQL = None   # a fitted classifier and a tokenizer are beyond SQL; tests compare with brute force

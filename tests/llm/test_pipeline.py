@@ -74,6 +74,14 @@ def test_near_dedup_stage_decides_by_row(spark):
     assert sorted(r["text"] or "" for r in got.collect() if r["doc_id"] is None) == ["", "", "alone " + other[::-1], "lost id"]
 
 
+def test_last_stage_decodes_the_ids(spark):
+    import hashlib
+    texts = {1: "end.\n\nNext é 中 <|endoftext|>", 2: "", 3: None}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    for r in P.STAGES[-1][1](spark, docs, SF).collect():
+        assert r["same_text"] and r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
 @pytest.mark.parametrize("i", range(5))
 def test_stage_names_are_short(i):
     assert len(P.STAGES[i][0]) <= 40
