@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +34,21 @@ def write_importance(imp: DataFrame, path: str, top: int = 20) -> None:
     importance_summary(imp, top=top).coalesce(1).write.mode("overwrite").json(f"{path}/top")
 
 
-def write_cv_results(folds: DataFrame, summary: DataFrame, path: str) -> None:
-    """Per-fold rows and the overall summary, JSON lines."""
+def write_cv_results(folds: DataFrame, summary: DataFrame, path: str, config: dict[str, Any] | None = None,
+                     classes: Sequence[str] | None = None, features: Sequence[str] | None = None) -> None:
+    """Per-fold rows, the overall summary and, where given, the config (one object), the
+    classes and the features (one row each, in order), JSON lines."""
+    spark = folds.sparkSession
     folds.write.mode("overwrite").json(f"{path}/folds")
+    if features is not None:
+        summary = summary.withColumn("n_features", F.lit(len(features)))
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    if config is not None:
+        spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+    for name, column, values in (("classes", "class", classes), ("features", "feature", features)):
+        if values is not None:
+            rows = spark.createDataFrame(list(enumerate(values)), f"position int, {column} string")
+            rows.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
 
 
 def prediction_table(scored: DataFrame, classes: Sequence[str], prob: F.Column, truth: str,

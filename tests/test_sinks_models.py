@@ -52,3 +52,14 @@ def test_early_stopping_and_model_io(spark, tmpdir_path):
     a = model.transform(data).select("prediction").collect()
     b = again.transform(data).select("prediction").collect()
     assert a == b
+
+
+def test_cv_results_hold_config_classes_and_features(spark, tmpdir_path):
+    folds = spark.createDataFrame([(0, 0.5, 0.4), (1, 0.7, 0.6)], "fold int, accuracy double, f1_macro double")
+    config = {"sample_fraction": 0.4, "params": {"max_depth": 6}}
+    sinks.write_cv_results(folds, R.cv_summary(folds), f"{tmpdir_path}/cv", config, ["b", "a"], ["x", "z", "hour"])
+    row = spark.read.json(f"{tmpdir_path}/cv/config").first().asDict(recursive=True)
+    assert row == config
+    assert [r["class"] for r in spark.read.json(f"{tmpdir_path}/cv/classes").orderBy("position").collect()] == ["b", "a"]
+    assert [r.feature for r in spark.read.json(f"{tmpdir_path}/cv/features").orderBy("position").collect()] == ["x", "z", "hour"]
+    assert spark.read.json(f"{tmpdir_path}/cv/summary").first().n_features == 3
