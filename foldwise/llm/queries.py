@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import ann, bpe, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
+from foldwise.llm import ann, bpe, decontaminate, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
@@ -92,6 +92,16 @@ def op2_nearest_neighbours(spark, sf_dir):
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+@query("op12_decontaminate", sql=decontaminate.ORACLE_SQL)
+def op12_decontaminate(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
