@@ -8,13 +8,14 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import ann, bpe, decontaminate, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
+from foldwise.llm import align, ann, bpe, decontaminate, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
 __all__ = ["ORACLE", "QUERIES"]
 
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 
 
 @query("op5_quality_rules", sql=quality_rules.oracle())
@@ -102,6 +103,14 @@ def op12_decontaminate(spark, sf_dir):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op13_align_tokenizers")
+def op13_align_tokenizers(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(OTHER_TOKENIZER))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 @query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
