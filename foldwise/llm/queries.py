@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from foldwise.llm import align, ann, bpe, decontaminate, langid, minhash, mixing, pii, quality_bayes, quality_rules, token_files, url_trees
+from foldwise.llm import align, ann, bpe, decontaminate, langid, minhash, mixing, pii, prefix_trie, quality_bayes, quality_rules, token_files, url_trees
 from foldwise.llm.registry import ORACLE, QUERIES, query
 from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
 
@@ -93,6 +93,13 @@ def op2_nearest_neighbours(spark, sf_dir):
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+@query("op11_prefix_trie", sql=prefix_trie.ORACLE_SQL)
+def op11_prefix_trie(spark, sf_dir):
+    turns = cut_lineage(prefix_trie.number_turns(read_table(spark, sf_dir, "conversations")))
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    return prefix_trie.trie(prefix_trie.share_heads(turns, 20, heads))
+
+
 @query("op12_decontaminate", sql=decontaminate.ORACLE_SQL)
 def op12_decontaminate(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
