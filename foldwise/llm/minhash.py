@@ -1,7 +1,8 @@
 """Near-duplicate groups by b-bit MinHash.
 
 A document's set holds its distinct five-word shingles as 64-bit hashes.
-Documents with equal sets are one class from the start.  Minima of ``BANDS *
+Documents with equal sets are one class from the start, before anything is
+done by band.  Minima of ``BANDS *
 ROWS`` hash functions give band keys (candidates) and, of each minimum, its
 low four bits, packed.  Two candidates are compared by the bit count of their
 packed signatures, corrected for the 1/16 of unequal minima that agree by
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.common import require
-from foldwise.llm.components import components
+from foldwise.llm.components import compact, components
 from foldwise.session import cut_lineage
 
 WORDS = 5
@@ -41,6 +42,8 @@ BANDS, ROWS, BITS = 24, 6, 4
 MARGIN = 0.13           # four standard errors of the estimate
 BLOCK_ROWS, BLOCK_BYTES = 128, 4 << 20
 CHUNK = 4096            # shingles hashed at once
+PACK_WEIGHT = 20        # a packed class weighs as so many rows
+BROADCAST_ROWS = 500_000    # keys of 16 bytes
 _U = np.uint64
 _RNG = np.random.default_rng(20_240_607)
 _A = _RNG.integers(0, 2 ** 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
@@ -285,13 +288,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least id that links reach, kept marks its document."""
     require(docs, id_col, text_col)
     rows = cut_lineage(sketches(docs, id_col, text_col))
-    keys = rows.where("node is not null").select("node", F.explode("bands").alias("key"))
+    # copies are one class before anything is done by band
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    classes = cut_lineage(classes)
+    keys = classes.select("node", F.explode("bands").alias("key")).repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last")
     members = cut_lineage(keys.join(shared.select("key", "lead"), "key").distinct())
+    members = compact(members, members.count())
 
-    some_id = rows.groupBy("node").agg(F.min("id").alias("id"))
-    wanted = some_id.join(members.select("node").distinct(), "node")
+    wanted = classes.select("node", "id").join(members.select("node").distinct(), "node")
     packed = cut_lineage(_packed_sets(docs, wanted, id_col, text_col))
+    packed = compact(packed, PACK_WEIGHT * packed.count())
 
     star = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     star = star.join(packed.toDF("b", "db"), "b").join(packed.toDF("a", "da"), "a")
@@ -301,16 +308,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut_lineage(members)
     second = components(_open_links(members, packed, percent), "a", "b")
 
-    rows = rows.drop("bands").join(first, "node", "left").withColumn("c1", F.coalesce("root", "node")).drop("root")
-    second = second.toDF("c1", "root")
-    rows = rows.join(second, "c1", "left").select("id", "n_shingles", F.coalesce("root", "c1").alias("comp"))
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
-    rows = rows.join(least, "comp", "left").withColumn(
-        "component_id", F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    # names of the components, from classes; then one join of the rows, whose hot classes adaptive execution splits
+    named = classes.select("node", "id").join(first, "node", "left").withColumn("c1", F.coalesce("root", "node")).drop("root")
+    named = named.join(second.toDF("c1", "root"), "c1", "left").select("node", "id", F.coalesce("root", "c1").alias("comp"))
+    named = cut_lineage(named)
+    least = cut_lineage(named.groupBy("comp").agg(F.min("id").alias("component_id")))
+    named = cut_lineage(named.join(least, "comp").select("node", "component_id"))
+    rows = rows.select("id", "n_shingles", "node").join(named, "node", "left").withColumn(
+        "component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id",
                        F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def least_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
+                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, that of the least id.  Rows of equal id and text are copies
+    whatever the text; rows without id and without words stay.
+
+    Groups are decided on a key of 16 bytes a row, the id and a hash of the text.  The keys that go are counted: up to
+    ``broadcast_rows`` they are broadcast, so no text moves; beyond that rows meet them in a shuffled anti-join.
+    Only rows that repeat another are sent by key, to keep one of them."""
+    # ids in order, rows without id last, then the text
+    keyed = docs.withColumn("__row", F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"),
+                                              F.xxhash64(F.col(f"`{text_col}`")).alias("text")))
+    found = near_duplicates(keyed, id_col="__row", text_col=text_col, percent=percent)
+    groups = found.groupBy("__row").agg(F.min("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
+    repeated = (F.col("rows") > 1) & ~(F.col("__row.no_id") & (F.col("n") == 0))
+    marked = cut_lineage(groups.where(~F.col("kept") | repeated).select(F.col("__row").alias("__marked"), "kept"))
+    twice = marked.where("kept")
+    if marked.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        marked, twice = F.broadcast(marked), F.broadcast(twice)
+    same = F.col("__row") == F.col("__marked")
+    out = keyed.join(marked, same, "left_anti")
+    if twice.limit(1).count():
+        out = out.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(["__row"]))
+    return out.select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
