@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import bpe, minhash, mixing, pii, quality_bayes
-from foldwise.session import cut_lineage, ensure_checkpoint_dir, read_table
+from foldwise.session import ensure_checkpoint_dir, read_table, remove_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,19 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, that of the least id.  Rows of equal id and text are copies
-    whatever the text; rows without id and without words stay."""
-    # a row's key: ids in order, rows without id last, then the text
-    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text")))
-    found = minhash.near_duplicates(keyed, id_col="__row")
-    groups = found.groupBy("__row").agg(F.min("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
-    repeated = (F.col("rows") > 1) & ~(F.col("__row.no_id") & (F.col("n") == 0))
-    marked = cut_lineage(groups.where(~F.col("kept") | repeated).select(F.col("__row").alias("__marked"), "kept"))
-    same = F.col("__row") == F.col("__marked")
-    out = keyed.join(marked, same, "left_anti")
-    if marked.where("kept").limit(1).count():
-        out = out.unionByName(keyed.join(marked.where("kept"), same, "left_semi").dropDuplicates(["__row"]))
-    return out.select(*docs.columns)
+    """One row of each near-duplicate group, that of the least id, at op1's limit of 85 %.  Rows of equal id and text
+    are copies whatever the text; rows without id and without words stay."""
+    return minhash.least_of_groups(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,10 +68,13 @@ ORACLE_SQL = None   # a fitted classifier and a tokenizer are beyond SQL; tests
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again, and removed
+    once the next is there.  The last one stays, as the result reads it."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}")
     return docs
