@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from foldwise.llm.common import require
 
 LEAF = 128          # bytes in a leaf of the tree; pieces up to this size are encoded directly
-CACHE_PIECES = 150_000
+CACHE_BYTES = 144 << 20   # of pieces and their ids in a worker; results do not depend on it
+PIECE_BYTES = 190   # of a piece and its ids as Python objects, beside their characters and bytes
 SLICE_ROWS = 256    # texts of a batch that are held as Python objects at once
 # A single space between two other characters; Python's white space includes all of the tokenizer's.
 TWO_SPACES = re.compile(r"\s\s")
@@ -164,15 +165,20 @@ class _Known(dict):
     """Pieces by text; one that is unknown is taken over from the older generation or noted."""
 
     def __init__(self, older: dict[str, bytes]):
-        self.older, self.unknown = older, set()
+        self.older, self.unknown, self.size = older, set(), 0
 
     def __missing__(self, piece: str) -> bytes | None:
         if (ids := self.older.get(piece)) is None:
             self.unknown.add(piece)
         else:
             self[piece] = ids
+            self.size += PIECE_BYTES + len(piece) + len(ids)
         return ids
 
+    def learn(self, pieces: list[str], found: list[bytes]) -> None:
+        self.update(zip(pieces, found, strict=True))
+        self.size += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + sum(map(len, found))
+
 
 class PieceCache:
     """Ids of whole texts from the ids of their pieces.
@@ -181,11 +187,12 @@ class PieceCache:
     is cut further at punctuation and line ends, where no merge crosses either,
     so that a word is encoded once whatever follows it.  What a slice of texts
     needs and is not known is encoded in one call.  The cache has two
-    generations of at most about ``most`` pieces: when the young one is full it
-    becomes the old one, and pieces still in use move back."""
+    generations of about half of ``most_bytes`` each (and ``most`` pieces of a
+    kind, if given): when the young one is full it becomes the old one, and
+    pieces still in use move back."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most_bytes: int = CACHE_BYTES, most: int | None = None):
+        self.encode, self.most_bytes, self.most = encode, most_bytes, most
         self.known = [_Known({}), _Known({})]   # 0: as it stands, 1: after a space
 
     def _learn(self, kind: int) -> None:
@@ -195,7 +202,7 @@ class PieceCache:
         cut = [(p, SUB.split(p)) for p in known.unknown.difference(plain)]
         known.unknown = set()
         plain += [p for p, parts in cut if len(parts) == 1]
-        known.update(zip(plain, self.encode([" " + p for p in plain] if kind else plain), strict=True))
+        known.learn(plain, self.encode([" " + p for p in plain] if kind else plain))
         if joined := [(p, parts) for p, parts in cut if len(parts) > 1]:
             for _, parts in joined:
                 known[parts[0]]
@@ -204,8 +211,7 @@ class PieceCache:
             for k in {0, kind}:
                 if self.known[k].unknown:
                     self._learn(k)
-            for p, parts in joined:
-                known[p] = known[parts[0]] + b"".join([self.known[0][x] for x in parts[1:]])
+            known.learn([p for p, _ in joined], [known[parts[0]] + b"".join([self.known[0][x] for x in parts[1:]]) for _, parts in joined])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         was_on = gc.isenabled()
@@ -217,8 +223,8 @@ class PieceCache:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        for i, k in enumerate(self.known):
-            if len(k) > self.most:
+        if sum(k.size for k in self.known) > self.most_bytes // 2 or self.most and max(map(len, self.known)) > self.most:
+            for i, k in enumerate(self.known):
                 k.older = {}    # two generations, no more
                 self.known[i] = _Known(k)
         cut = [CUT.split(t) if TWO_SPACES.search(t) else t.split(" ") for t in texts]

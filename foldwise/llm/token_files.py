@@ -35,6 +35,8 @@ from foldwise.llm.bpe import SLICE_ROWS, WORD, PieceCache, byte_alphabet, pack_i
 from foldwise.llm.common import require
 
 MAGIC = b"FWPLANE1"
+FILE_BYTES = 128 << 20      # text of a file, where the shuffle's partitions alone would hold more
+CACHE_BYTES = 384 << 20     # of pieces in a worker
 BLOCK_IDS = 65_536
 LEVEL = 3
 
@@ -61,7 +63,7 @@ def library_cache(path: str) -> PieceCache:
                 out[i] = pack_ids(e.ids)
             return out
 
-        _WORKER[path] = PieceCache(encode)
+        _WORKER[path] = PieceCache(encode, CACHE_BYTES)
     return _WORKER[path]
 
 
@@ -172,10 +174,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
     import pyarrow as pa
     require(docs, id_col, text_col)
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.repartitionByRange(files, F.col("id").asc_nulls_first()) \
-               .sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    if not files:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    # the texts of one id, which may be many, are dealt by their beginnings
+    first = F.col("id").asc_nulls_first()
+    rows = rows.repartitionByRange(files, first, F.substring("text", 1, 32)).sortWithinPartitions(first, "text")
 
     def run(batches):
         from pyspark import TaskContext
