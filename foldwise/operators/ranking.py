@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.joins import null_safe_join
+from foldwise.session import cut_lineage
 
 DEFAULT_PREFIX_CHARS = None   # chosen from the largest group (see auto_prefix_chars)
+THRESHOLD_PREFIX = 5          # a threshold's buckets: at most 16 ** 5 rows a group to add up, no scan to choose a length
 
 
 HASH_FN = "md5"   # "xxhash64" is several times cheaper but has no DuckDB equal
@@ -137,49 +139,70 @@ def global_rank(df: DataFrame, order: Sequence[Column], out_col: str = "rank") -
 
 
 def key_thresholds(df: DataFrame, part_cols: Sequence[str], key_col: str, k_expr: Column,
-                   tie_cols: Sequence[str] = (), prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
-    """(part..., __last): the k-th row of each group in (key, ties) order, as a
-    struct; no row for a group with k = 0.  ``k_expr`` may use ``__group_n``.
+                   tie_cols: Sequence[str] = (), prefix_chars: int = THRESHOLD_PREFIX) -> DataFrame:
+    """(part..., __last, __quota, __ties): the k-th row of each group in (key, ties)
+    order, as a struct, how many rows equal to it are among the first k, and how
+    many there are; no row for a group with k = 0.  ``k_expr`` may use ``__group_n``.
 
     The (group, bucket) counts name the one bucket that holds the k-th row; only
-    that bucket's keys are ranked."""
-    part_cols = list(part_cols)
-    if prefix_chars is None:
-        prefix_chars = auto_prefix_chars(df, part_cols)
-        prefix_chars = prefix_chars if part_cols else min(prefix_chars, 5)   # one window holds all buckets then
-    narrow = df.select(*dict.fromkeys([*part_cols, key_col, *tie_cols]))
+    that bucket's values are counted and added up, so equal rows are one value."""
+    part_cols, values = list(part_cols), list(dict.fromkeys([key_col, *tie_cols]))
+    narrow = df.select(*dict.fromkeys([*part_cols, *values]))
     buckets = bucket_counts(narrow, part_cols, key_col, prefix_chars).withColumn("__k", F.least(k_expr, F.col("__group_n")))
     cut = buckets.filter((F.col("__before") < F.col("__k")) & (F.col("__k") <= F.col("__before") + F.col("__n"))) \
                  .select(*part_cols, "__bucket", (F.col("__k") - F.col("__before")).alias("__need"))
     edge = null_safe_join(narrow.withColumn("__bucket", F.substring(F.col(key_col), 1, prefix_chars)), cut,
                           part_cols + ["__bucket"])
-    order = [F.col(key_col), *[F.col(c) for c in tie_cols]]
-    ranked = edge.withColumn("__rn", F.row_number().over(Window.partitionBy(*part_cols, "__bucket").orderBy(*order)))
-    last = F.struct(F.col(key_col).alias("k"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)])
-    return ranked.filter(F.col("__rn") == F.col("__need")).select(*part_cols, last.alias("__last"))
+    counts = edge.groupBy(*part_cols, "__need", *[c for c in values if c not in part_cols]).agg(F.count(F.lit(1)).alias("__ties"))
+    before = Window.partitionBy(*part_cols, "__need").orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__ties").over(before), F.lit(0)))
+    quota = F.col("__need") - F.col("__before")
+    return counts.filter((quota > 0) & (quota <= F.col("__ties"))).select(
+        *part_cols, _order_struct(key_col, tie_cols).alias("__last"), quota.alias("__quota"), "__ties")
+
+
+def _order_struct(key_col: str, tie_cols: Sequence[str]) -> Column:
+    return F.struct(F.col(key_col).alias("k"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)])
 
 
 def mark_first(df: DataFrame, part_cols: Sequence[str], key_col: str, k_expr: Column, out_col: str,
-               tie_cols: Sequence[str] = (), prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
+               tie_cols: Sequence[str] = (), prefix_chars: int = THRESHOLD_PREFIX) -> DataFrame:
     """Add whether a row is among the first k of its group in (key, ties) order:
     a comparison with the group's threshold, so rows are neither shuffled nor
-    sorted where the threshold table is small enough to broadcast."""
-    last = key_thresholds(df, part_cols, key_col, k_expr, tie_cols, prefix_chars)
-    own = F.struct(F.col(key_col).alias("k"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_cols)])
-    if part_cols:
-        marked = null_safe_join(df, last, part_cols, "left")
-        return marked.withColumn(out_col, F.coalesce(own <= F.col("__last"), F.lit(False))).drop("__last")
-    row = last.first()   # one row
+    sorted where the threshold table is small enough to broadcast.
+
+    Exactly k rows are marked.  Where several rows equal the k-th in key and
+    ties and only some of them fit, these rows alone are ranked by a hash of
+    their place, evenly over the tasks."""
+    part_cols = list(part_cols)
+    last = cut_lineage(key_thresholds(df, part_cols, key_col, k_expr, tie_cols, prefix_chars))
+    marked = null_safe_join(df, last, part_cols, "left") if part_cols else _with_one_row(df, last)
+    own = _order_struct(key_col, tie_cols)
+    first = F.coalesce(own <= F.col("__last"), F.lit(False))
+    columns = [*[F.col(f"`{c}`") for c in df.columns if c != out_col], F.col(f"`{out_col}`")]
+    if not last.filter("__ties > __quota").limit(1).count():
+        return marked.withColumn(out_col, first).select(*columns)
+    some = F.coalesce((own == F.col("__last")) & (F.col("__ties") > F.col("__quota")), F.lit(False))
+    tied = cut_lineage(marked.filter(some).withColumn("__place", F.monotonically_increasing_id()))
+    tied = exact_rank(tied.withColumn("__place_key", hash_key("ties", "__place")), part_cols, "__place_key", "__nth", ["__place"])
+    tied = tied.withColumn(out_col, F.col("__nth") <= F.col("__quota")).select(*columns)
+    return marked.filter(~some).withColumn(out_col, first).select(*columns).unionByName(tied)
+
+
+def _with_one_row(df: DataFrame, last: DataFrame) -> DataFrame:
+    """``df`` with the values of a table of at most one row, as literals."""
+    row = last.first()
+    fields = last.schema.fields
     if row is None:
-        return df.withColumn(out_col, F.lit(False))
-    types = [df.schema[c].dataType for c in (key_col, *tie_cols)]
-    value = F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(row[0], types, row[0].__fields__)])
-    return df.withColumn(out_col, F.coalesce(own <= value, F.lit(False)))
+        return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in fields})
+    values = [F.struct(*[F.lit(v).cast(x.dataType).alias(x.name) for v, x in zip(row[f.name], f.dataType.fields)])
+              if f.name == "__last" else F.lit(row[f.name]) for f in fields]
+    return df.withColumns({f.name: v for f, v in zip(fields, values)})
 
 
 def exact_top_k_per_group(df: DataFrame, part_cols: Sequence[str], key_col: str,
                           k_expr: Column, tie_cols: Sequence[str] = (),
-                          prefix_chars: int = DEFAULT_PREFIX_CHARS) -> DataFrame:
+                          prefix_chars: int = THRESHOLD_PREFIX) -> DataFrame:
     """Keep, per group, the first ``k`` rows by ``key_col`` where ``k`` may depend
     on the group size (``k_expr`` may use column ``__group_n``)."""
     return mark_first(df, part_cols, key_col, k_expr, "__first", tie_cols, prefix_chars).filter("__first").drop("__first")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
@@ -110,6 +110,12 @@ def group_range(prefix: str, lo: int, hi: int) -> list[str]:
     return [f"{prefix}{i}" for i in range(lo, hi + 1)]
 
 
+def row_text(df: DataFrame) -> Column:
+    """A text that only rows with equal values have: every value in its length, NULL apart from empty."""
+    cells = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells])
+
+
 def load_groups(spark: SparkSession, data_dir: str, groups: Sequence[str] | None = None,
                 sample_fraction: float | None = None, seed: int = 42, id_col: str | None = None) -> DataFrame:
     """All groups (or the given ids; missing files skipped, none found raises),
@@ -124,8 +130,7 @@ def load_groups(spark: SparkSession, data_dir: str, groups: Sequence[str] | None
     if sample_fraction:
         from foldwise.operators.sampling import exact_group_sample
         if id_col is None:
-            df = df.withColumn("__row", F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
-            df = exact_group_sample(df, GROUP_COLUMN, "__row", sample_fraction, seed).drop("__row")
+            df = exact_group_sample(df.withColumn("__row", row_text(df)), GROUP_COLUMN, "__row", sample_fraction, seed).drop("__row")
         else:
             df = exact_group_sample(df, GROUP_COLUMN, id_col, sample_fraction, seed)
     return df
@@ -175,6 +180,5 @@ def load_sampled_dataset(spark: SparkSession, data_dir: str, sample_fraction: fl
     df = clean_and_generalise(load_groups(spark, data_dir), mapping=mapping)
     if sample_fraction and sample_fraction < 1:
         from foldwise.operators.sampling import exact_group_sample
-        df = df.withColumn("__row", F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
-        df = exact_group_sample(df, GROUP_COLUMN, "__row", sample_fraction, seed).drop("__row")
+        df = exact_group_sample(df.withColumn("__row", row_text(df)), GROUP_COLUMN, "__row", sample_fraction, seed).drop("__row")
     return df

@@ -136,3 +136,38 @@ def test_hold_outs_and_samples_have_exact_sizes(spark):
         assert got == {g: n for g, n in want.items() if n}
     assert S.random_holdout(df, "id", 0.1).where("is_test").count() == 100
     assert sampling.exact_global_sample(df, "id", 0.0005).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sizes_are_exact_when_ids_repeat(spark, seed):
+    from foldwise.operators import splits as S
+    rows = [(7 if i < 60 else i, "a", i % 3, f"r{i}") for i in range(100)]           # 60 rows share an id
+    df = spark.createDataFrame(rows, "id long, g string, y int, x string").repartition(4).cache()
+    assert sampling.exact_group_sample(df, "g", "id", 0.3, seed).count() == 30
+    assert sampling.exact_global_sample(df, "id", 0.3, seed).count() == 30
+    held = S.random_holdout(df, "id", 0.33, seed)
+    assert held.columns == [*df.columns, "is_test"] and held.count() == 100 and held.where("is_test").count() == 33
+    strat = S.stratified_holdout(df, "y", "id", 0.1, seed)
+    assert strat.count() == 100
+    assert {r["y"]: r["n"] for r in strat.where("is_val").groupBy("y").agg(F.count("*").alias("n")).collect()} == {0: 3, 1: 3, 2: 3}
+    assert sorted(r["x"] for r in strat.collect()) == sorted(r[3] for r in rows)
+    picked = sorted(map(tuple, sampling.exact_group_sample(df, "g", "id", 0.3, seed).collect()))
+    assert picked == sorted(map(tuple, sampling.exact_group_sample(df, "g", "id", 0.3, seed).collect()))
+
+
+def test_sizes_are_exact_for_equal_rows_and_null_ids(spark):
+    rows = [("a", None)] * 50 + [("b", 3)] * 40 + [("b", 4), (None, 1), (None, 1), (None, 1)] + [("c", i) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, id long").repartition(3)
+    got = sampling.exact_group_sample(df, "g", "id", 0.5)
+    assert {r["g"]: r["n"] for r in got.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"a": 25, "b": 20, None: 1, "c": 4}
+    assert sampling.exact_global_sample(df, "id", 0.5).count() == len(rows) // 2
+    assert sampling.exact_group_sample(df.limit(0), "g", "id", 0.5).count() == 0
+    assert sampling.exact_global_sample(df.limit(0), "id", 0.5).count() == 0
+
+
+def test_rows_of_a_sampled_dataset_are_told_apart(spark):
+    from foldwise.sources.files import row_text
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", None, None), ("a", "", "b"), ("a", None, "b")],
+                               "x string, y string, z string")
+    texts = [r[0] for r in df.select(row_text(df)).collect()]
+    assert len(set(texts)) == 4 and texts[0] == texts[4]
