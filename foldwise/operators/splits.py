@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.ranking import exact_rank, global_rank, hash_key, mark_first
+from foldwise.operators.joins import null_safe_join
+from foldwise.operators.ranking import exact_rank, exact_sequence, global_rank, hash_key, mark_first
 
 
 def group_sizes(df: DataFrame, group_col: str) -> DataFrame:
@@ -140,3 +141,30 @@ def random_holdout(df: DataFrame, id_col: str, fraction: float = 0.33, seed: int
     keyed = df.withColumn("__key", hash_key(seed, id_col))
     k = F.ceil(F.lit(float(fraction)) * F.col("__group_n")).cast("bigint")
     return mark_first(keyed, [], "__key", k, out_col, [id_col]).drop("__key")
+
+
+def rank_for_holdouts(df: DataFrame, label_col: str, id_col: str, seed: int = 42, out_col: str = "__rank") -> DataFrame:
+    """Add each row's rank in its class by md5(seed|id), unique even where ids repeat."""
+    keyed = df.withColumn("__key", hash_key(seed, id_col))
+    return exact_rank(keyed, [label_col], "__key", out_col, tie_cols=[id_col]).drop("__key")
+
+
+def group_holdout_cuts(ranked: DataFrame, label_col: str, group_col: str, fraction: float = 0.1,
+                       rank_col: str = "__rank") -> DataFrame:
+    """(group, label, n_test, n_rest, n_val, cut) for leaving each group out: of the class's other rows, those of rank
+    up to ``cut`` are the stratified hold-out, ``n_val`` = round(fraction * n_rest) of them.
+
+    The hold-outs of all groups come from one pass: the k-th row that is not the group's has rank k plus the number of
+    the group's rows before it.  A class the group lacks has no row here; its cut is round(fraction * n_class)."""
+    own = ranked.select(group_col, label_col, rank_col)
+    sizes = own.groupBy(group_col, label_col).agg(F.count(F.lit(1)).alias("n_test"))
+    of_label = sizes.groupBy(label_col).agg(F.sum("n_test").alias("n_class"))
+    sizes = null_safe_join(sizes, of_label, label_col)
+    rest = F.col("n_class") - F.col("n_test")
+    sizes = sizes.select(group_col, label_col, "n_test", rest.alias("n_rest"),
+                         F.round(F.lit(float(fraction)) * rest).cast("bigint").alias("n_val"))
+    nth = exact_sequence(own, [group_col, label_col], [F.col(rank_col)], F.floor(F.col(rank_col) / 4096), "__nth")
+    placed = null_safe_join(nth, sizes, [group_col, label_col])
+    shift = F.sum((F.col(rank_col) - F.col("__nth") < F.col("n_val")).cast("bigint"))
+    cuts = placed.groupBy(group_col, label_col, "n_test", "n_rest", "n_val").agg(shift.alias("__shift"))
+    return cuts.select(group_col, label_col, "n_test", "n_rest", "n_val", (F.col("n_val") + F.col("__shift")).alias("cut"))
