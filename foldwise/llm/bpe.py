@@ -251,36 +251,43 @@ def tree_encoder(path: str) -> tuple[TreeBpe, PieceCache]:
     return _WORKER["tree", path]
 
 
-def map_column(df: DataFrame, col: str, out: str, kind: T.DataType, fn) -> DataFrame:
-    """Columns of ``df`` (less ``out``) plus ``out`` = fn(list of values), by slices of Arrow batches."""
+def map_column(df: DataFrame, col: str, outs: dict[str, T.DataType], fn) -> DataFrame:
+    """Columns of ``df`` (less ``outs``) plus ``outs`` = fn(list of values), a list for each, by slices of Arrow batches."""
     import pyarrow as pa
     require(df, col)
-    keep = [c for c in df.columns if c != out or c == col]
+    keep = [c for c in df.columns if c not in outs or c == col]
     src = df.select(*[df[c].alias(f"c_{i}") for i, c in enumerate(keep)])
-    at, arrow = f"c_{keep.index(col)}", {"binary": pa.binary(), "string": pa.string()}[kind.typeName()]
+    at, arrow = f"c_{keep.index(col)}", [{"binary": pa.binary(), "string": pa.string()}[t.typeName()] for t in outs.values()]
+    new = [f"n_{i}" for i in range(len(outs))]
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(i, SLICE_ROWS)
                 values = fn(part.column(part.schema.get_field_index(at)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, arrow)], [*part.schema.names, "c_new"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, t) for v, t in zip(values, arrow, strict=True)]],
+                                                 [*part.schema.names, *new])
 
-    schema = T.StructType([*src.schema.fields, T.StructField("c_new", kind)])
+    schema = T.StructType([*src.schema.fields, *[T.StructField(n, t) for n, t in zip(new, outs.values(), strict=True)]])
     done = src.mapInArrow(run, schema)
-    return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(keep) if c != out], done["c_new"].alias(out))
+    return done.select(*[done[f"c_{i}"].alias(c) for i, c in enumerate(keep) if c not in outs],
+                       *[done[n].alias(c) for n, c in zip(new, outs, strict=True)])
 
 
-def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of every text as binary: little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the ids of every text as binary: little-endian unsigned 32-bit integers.  With ``decoded``, also the text
+    that these ids decode to, in the same pass."""
     def ids(texts):
-        return tree_encoder(tokenizer_path)[1]([t or "" for t in texts])
-    return map_column(df, text_col, out, T.BinaryType(), ids)
+        bpe, cache = tree_encoder(tokenizer_path)
+        found = cache([t or "" for t in texts])
+        return [found] if decoded is None else [found, [bpe.decode(np.frombuffer(v, "<u4")) for v in found]]
+    outs = {out: T.BinaryType()} | ({} if decoded is None else {decoded: T.StringType()})
+    return map_column(df, text_col, outs, ids)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of the ids in ``ids_col`` (as ``encode`` writes them); null gives the empty text."""
     def text(values):
         bpe = tree_encoder(tokenizer_path)[0]
-        return [bpe.decode(np.frombuffer(v or b"", "<u4")) for v in values]
-    return map_column(df, ids_col, out, T.StringType(), text)
+        return [[bpe.decode(np.frombuffer(v or b"", "<u4")) for v in values]]
+    return map_column(df, ids_col, {out: T.StringType()}, text)

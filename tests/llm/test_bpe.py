@@ -84,3 +84,11 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert got.columns == ["doc_id", "text", "ids", "decoded"]
     assert sorted(r["decoded"] for r in got.collect()) == ["", "", "a b", "a b"]
     assert bpe.encode(d.limit(0), PATH).count() == 0
+
+
+def test_encode_with_decoded_equals_two_passes(spark):
+    df = spark.createDataFrame([(1, "a b  c\n\nd é", "x"), (2, None, None), (None, "", "y"), (3, "<|endoftext|>z", "z")],
+                               "doc_id long, text string, decoded string")
+    one = bpe.encode(df, PATH, decoded="decoded").select("doc_id", "text", "ids", "decoded").collect()
+    two = bpe.decode(bpe.encode(df, PATH), PATH).select("doc_id", "text", "ids", "decoded").collect()
+    assert one == two
