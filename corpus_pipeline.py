@@ -49,8 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, decoded_sha256, same_text) of every document of the mix: ids as little-endian
     32-bit binary, the digest of the text they decode to, and whether that is the document's."""
-    path = public_tokenizers.path(TOKENIZER)
-    done = bpe.decode(bpe.encode(docs, path), path)
+    done = bpe.encode(docs, public_tokenizers.path(TOKENIZER), decoded="decoded")
     return done.select("doc_id", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
