@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.bpe import CUT, TWO_SPACES, WORD, byte_alphabet
+from foldwise.llm.bpe import WORD, byte_alphabet
 from foldwise.llm.common import join_by_group, require
 from foldwise.session import cut_lineage
 
@@ -44,6 +44,9 @@ CACHE_BYTES = 192 << 20     # of pieces and their ids in a worker
 PAIRS_HELD = 1 << 20        # distinct pairs a task holds before it hands their counts on
 BROADCAST_PAIRS = 1 << 20   # 16 MB as arrays
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+# A single space between two other characters; Python's white space includes all of the tokenizers'.
+TWO_SPACES = re.compile(r"\s\s")
+CUT = re.compile(r"(?<=\S) (?=\S)")
 _EDGE = "▁"            # sentencepiece writes a space so
 
 

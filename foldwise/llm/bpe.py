@@ -36,15 +36,18 @@ from foldwise.llm.common import require
 LEAF = 128          # bytes in a leaf of the tree; pieces up to this size are encoded directly
 CACHE_BYTES = 144 << 20   # of pieces and their ids in a worker; results do not depend on it
 PIECE_BYTES = 190   # of a piece and its ids as Python objects, beside their characters and bytes
-SLICE_ROWS = 256    # texts of a batch that are held as Python objects at once
-# A single space between two other characters; Python's white space includes all of the tokenizer's.
-TWO_SPACES = re.compile(r"\s\s")
-CUT = re.compile(r"(?<=\S) (?=\S)")
+SLICE_ROWS = 1024   # texts of a batch that are held as Python objects at once,
+SLICE_BYTES = 4 << 20   # of so many bytes together, unless one has more
 # Letters whose class no Unicode version changes; between them (or digits) and these marks, and around
 # line ends that touch them, the tokenizer's pattern always cuts.  Of several white-space characters before
 # a letter the pattern leaves the last one out (\s+(?!\S)), so a line end there is cut on both sides.
 _SURE = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-SUB = re.compile(rf"(?<=[0-9{_SURE}])(?=[.,;:!?\n])|(?<=[.,;:!?])(?=\n)|(?<=\s)(?=\n[{_SURE}])|(?<=\n)(?=[{_SURE}])")
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\p{Z}"      # all of the tokenizer's white space is among it
+MARK = "\0"         # put where a text is cut
+CUTS = [(rf"([0-9{_SURE}])([.,;:!?\n])", rf"\1{MARK}\2"), (r"([.,;:!?])(\n)", rf"\1{MARK}\2"),
+        (rf"\n([{_SURE}])", f"\n{MARK}\\1"), (rf"([{_SPACE}])\n\x00", f"\\1{MARK}\n{MARK}")]
+# A single space between two other characters; twice, for words of one character.
+SINGLE = (rf"([^{_SPACE}]) ([^{_SPACE}])", rf"\1{MARK} \2")
 WORD = re.compile(rf" ?[{_SURE}]+\Z")   # one word: the pattern takes it whole
 
 
@@ -161,61 +164,42 @@ class TreeBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
-class _Known(dict):
-    """Pieces by text; one that is unknown is taken over from the older generation or noted."""
-
-    def __init__(self, older: dict[str, bytes]):
-        self.older, self.unknown, self.size = older, set(), 0
-
-    def __missing__(self, piece: str) -> bytes | None:
-        if (ids := self.older.get(piece)) is None:
-            self.unknown.add(piece)
-        else:
-            self[piece] = ids
-            self.size += PIECE_BYTES + len(piece) + len(ids)
-        return ids
-
-    def learn(self, pieces: list[str], found: list[bytes]) -> None:
-        self.update(zip(pieces, found, strict=True))
-        self.size += PIECE_BYTES * len(pieces) + sum(map(len, pieces)) + sum(map(len, found))
+def cut(texts):
+    """Lists of the pieces of Arrow texts, none of which holds ``MARK``."""
+    import pyarrow.compute as pc
+    two = pc.match_substring_regex(texts, f"[{_SPACE}][{_SPACE}]")
+    cut = pc.replace_substring(texts, " ", f"{MARK} ")
+    if pc.any(two).as_py():
+        other = texts.filter(two)
+        for _ in range(2):
+            other = pc.replace_substring_regex(other, *SINGLE)
+        cut = pc.replace_with_mask(cut, two, other)
+    for pattern, new in CUTS:
+        cut = pc.replace_substring_regex(cut, pattern, new)
+    return pc.split_pattern(cut, MARK)
 
 
 class PieceCache:
     """Ids of whole texts from the ids of their pieces.
 
-    Pieces are those after a space (kept without it) and others.  A new piece
-    is cut further at punctuation and line ends, where no merge crosses either,
-    so that a word is encoded once whatever follows it.  What a slice of texts
-    needs and is not known is encoded in one call.  The cache has two
-    generations of about half of ``most_bytes`` each (and ``most`` pieces of a
-    kind, if given): when the young one is full it becomes the old one, and
-    pieces still in use move back."""
+    Texts are cut, by Arrow's kernels, before single spaces between two other
+    characters (a piece keeps its space), and around punctuation and line ends
+    where no merge crosses either, so that a word is encoded once whatever
+    follows it.  The distinct pieces of a slice of texts are looked up, unknown
+    ones encoded in one call, and the ids dealt to all their places in one
+    gather.  The cache has two generations of about half of ``most_bytes`` each
+    (or ``most`` pieces, if given): when the young one is full it becomes the
+    old one, and pieces still in use move back."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most_bytes: int = CACHE_BYTES, most: int | None = None):
         self.encode, self.most_bytes, self.most = encode, most_bytes, most
-        self.known = [_Known({}), _Known({})]   # 0: as it stands, 1: after a space
-
-    def _learn(self, kind: int) -> None:
-        """Encode what has been noted as unknown."""
-        known = self.known[kind]
-        plain = list(filter(str.isalnum, known.unknown))     # nothing to cut at
-        cut = [(p, SUB.split(p)) for p in known.unknown.difference(plain)]
-        known.unknown = set()
-        plain += [p for p, parts in cut if len(parts) == 1]
-        known.learn(plain, self.encode([" " + p for p in plain] if kind else plain))
-        if joined := [(p, parts) for p, parts in cut if len(parts) > 1]:
-            for _, parts in joined:
-                known[parts[0]]
-                for x in parts[1:]:
-                    self.known[0][x]
-            for k in {0, kind}:
-                if self.known[k].unknown:
-                    self._learn(k)
-            known.learn([p for p, _ in joined], [known[parts[0]] + b"".join([self.known[0][x] for x in parts[1:]]) for _, parts in joined])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         was_on = gc.isenabled()
-        gc.disable()    # many short lists of strings, no cycles: collections would only walk the cache
+        gc.disable()    # many short strings, no cycles: collections would only walk the cache
         try:
             return self._encode(texts)
         finally:
@@ -223,22 +207,46 @@ class PieceCache:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if sum(k.size for k in self.known) > self.most_bytes // 2 or self.most and max(map(len, self.known)) > self.most:
-            for i, k in enumerate(self.known):
-                k.older = {}    # two generations, no more
-                self.known[i] = _Known(k)
-        cut = [CUT.split(t) if TWO_SPACES.search(t) else t.split(" ") for t in texts]
-        head, rest = self.known
-        found = [[head[c[0]], *map(rest.__getitem__, c[1:])] for c in cut]
-        for k in (0, 1):
-            if self.known[k].unknown:
-                self._learn(k)
-        for c, ids in zip(cut, found, strict=True):
-            if ids[0] is None:
-                ids[0] = head[c[0]]
-            for i in [i for i, x in enumerate(ids) if x is None]:
-                ids[i] = rest[c[i]]
-        return [b"".join(ids) for ids in found]
+        import pyarrow as pa
+        if self.size > self.most_bytes // 2 or self.most and len(self.known) > self.most:
+            self.older, self.known, self.size = self.known, {}, 0       # two generations, no more
+        out: list[bytes] = [b""] * len(texts)
+        marked = [i for i, t in enumerate(texts) if MARK in t]
+        for i, ids in zip(marked, self.encode([texts[i] for i in marked]), strict=True):
+            out[i] = ids
+        plain = [i for i, t in enumerate(texts) if t and MARK not in t]
+        if plain:
+            for i, ids in zip(plain, self._join(cut(pa.array([texts[i] for i in plain], pa.large_string()))), strict=True):
+                out[i] = ids
+        return out
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            old = list(map(self.older.get, [pieces[i] for i in new]))
+            unknown = [pieces[i] for i, x in zip(new, old, strict=True) if x is None]
+            ids = iter(self.encode(unknown))
+            for i, x in zip(new, old, strict=True):
+                x = next(ids) if x is None else x
+                found[i] = self.known[pieces[i]] = x
+                self.size += PIECE_BYTES + len(pieces[i]) + len(x)
+        return found
+
+    def _join(self, lists) -> list[bytes]:
+        """Ids of texts given as lists of their pieces."""
+        values = lists.flatten().dictionary_encode()
+        place = values.indices.to_numpy()
+        ids = self._look_up(values.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        flat, count = np.frombuffer(b"".join(ids), "<u4"), size[place]
+        end = np.cumsum(count)
+        spread = np.repeat(start[place] - (end - count), count)
+        spread += np.arange(len(spread))
+        out = flat[spread].tobytes()
+        last = np.concatenate([[0], end])[np.asarray(lists.offsets)[1:]] * 4
+        return [out[i:j] for i, j in zip([0, *last.tolist()], last.tolist())]
 
 
 _WORKER: dict = {}   # per Python worker: encoder and cache by (kind, path)
@@ -251,6 +259,17 @@ def tree_encoder(path: str) -> tuple[TreeBpe, PieceCache]:
     return _WORKER["tree", path]
 
 
+def slices(batch, column: str):
+    """Slices of an Arrow batch of bounded rows and bytes of ``column``."""
+    i = 0
+    while i < batch.num_rows:
+        n = min(SLICE_ROWS, batch.num_rows - i)
+        while n > 1 and batch.column(batch.schema.get_field_index(column)).slice(i, n).nbytes > SLICE_BYTES:
+            n = (n + 1) // 2
+        yield batch.slice(i, n)
+        i += n
+
+
 def map_column(df: DataFrame, col: str, outs: dict[str, T.DataType], fn) -> DataFrame:
     """Columns of ``df`` (less ``outs``) plus ``outs`` = fn(list of values), a list for each, by slices of Arrow batches."""
     import pyarrow as pa
@@ -262,8 +281,7 @@ def map_column(df: DataFrame, col: str, outs: dict[str, T.DataType], fn) -> Data
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(i, SLICE_ROWS)
+            for part in slices(batch, at):
                 values = fn(part.column(part.schema.get_field_index(at)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, t) for v, t in zip(values, arrow, strict=True)]],
                                                  [*part.schema.names, *new])

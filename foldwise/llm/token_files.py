@@ -31,12 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.bpe import SLICE_ROWS, WORD, PieceCache, byte_alphabet, pack_ids
+from foldwise.llm.bpe import SLICE_ROWS, WORD, PieceCache, byte_alphabet, pack_ids, slices
 from foldwise.llm.common import require
 
 MAGIC = b"FWPLANE1"
 FILE_BYTES = 128 << 20      # text of a file, where the shuffle's partitions alone would hold more
-CACHE_BYTES = 384 << 20     # of pieces in a worker
 BLOCK_IDS = 65_536
 LEVEL = 3
 
@@ -63,7 +62,7 @@ def library_cache(path: str) -> PieceCache:
                 out[i] = pack_ids(e.ids)
             return out
 
-        _WORKER[path] = PieceCache(encode, CACHE_BYTES)
+        _WORKER[path] = PieceCache(encode)
     return _WORKER[path]
 
 
@@ -188,8 +187,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
         cache, out, doc_no = library_cache(tokenizer_path), None, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(i, SLICE_ROWS)
+            for part in slices(batch, "text"):
                 out = out or PlaneWriter(folder, shard_name(shard), planes, block_ids)
                 found = [b + end for b in cache([t or "" for t in part.column(1).to_pylist()])]
                 sizes = np.array([len(b) // 4 for b in found], np.int64)
