@@ -119,30 +119,37 @@ def sum_confusions(conf: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame
     return conf.groupBy(*group_cols, "actual", "predicted").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def argmax_index(arr: Column | str) -> Column:
     """0-based index of the first maximum of an array (ties -> first)."""
     a = F.col(arr) if isinstance(arr, str) else arr
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return bound(a, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def normalise(arr: Column | str, n: int | None = None) -> Column:
-    """Divide an array by its sum.  With a known length ``n`` the sum and the
-    division are plain expressions (code-generated); otherwise lambdas."""
+    """Divide an array by its sum; array and sum are computed once.  With a known
+    length ``n`` the sum and the division are plain expressions, else lambdas."""
     a = F.col(arr) if isinstance(arr, str) else arr
-    if n is not None:
-        items = [F.element_at(a, i + 1) for i in range(n)]
-        total = items[0]
-        for x in items[1:]:
-            total = total + x
-        return F.array(*[x / total for x in items])
-    total = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(a, lambda x: x / total)
+
+    def by_sum(v):
+        if n is not None:
+            total = F.element_at(v, 1)
+            for i in range(1, n):
+                total = total + F.element_at(v, i + 1)
+            return bound(total, lambda t: F.array(*[F.element_at(v, i + 1) / t for i in range(n)]))
+        return bound(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x), lambda t: F.transform(v, lambda x: x / t))
+
+    return bound(a, by_sum)
 
 
 def log_loss(df: DataFrame, prob_col: str, label_idx_col: str, group_cols: Sequence[str] = (),
              eps: float = LOG_LOSS_EPS, digits: int = 6) -> DataFrame:
     """Mean of -ln(clip(p[y])) with rows normalised to sum 1."""
-    p = F.element_at(normalise(prob_col), F.col(label_idx_col) + 1)
+    p = bound(F.col(prob_col), lambda v: F.element_at(v, F.col(label_idx_col) + 1) / F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x))
     clipped = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
     return df.groupBy(*group_cols).agg(F.round(F.avg(-F.log(clipped)), digits).alias("log_loss"),
                                        F.count(F.lit(1)).alias("n"))
@@ -176,8 +183,8 @@ def roc_auc_ovr(df: DataFrame, label_idx_col: str, prob_col: str, n_classes: int
                 digits: int = 6) -> DataFrame:
     """One-vs-rest ROC area per class: (class, roc_auc, n_pos, n_neg).  A row
     with another number of scores than ``n_classes`` is an error."""
-    scores = F.when(F.size(prob_col) == n_classes, F.col(prob_col)).otherwise(
-        F.raise_error(F.concat(F.lit(f"expected {n_classes} class scores, got "), F.size(prob_col).cast("string"))))
+    scores = bound(F.col(prob_col), lambda v: F.when(F.size(v) == n_classes, v).otherwise(
+        F.raise_error(F.concat(F.lit(f"expected {n_classes} class scores, got "), F.size(v).cast("string")))))
     exploded = df.select(F.col(label_idx_col).alias("__y"), F.posexplode(scores).alias("class", "score"))
     st = score_table(exploded, F.col("__y") == F.col("class"), F.col("score"), ["class"])
     out = _auc_from_scores(st, ["class"])

@@ -133,47 +133,12 @@ def _trials(spark, rows: list[dict]) -> DataFrame:
 
 # ---- rounds ---------------------------------------------------------------------------------------------------------
 
-def tree_nodes(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, value, left, right) of a fitted regression tree's nodes, the root first: a row goes left where its
-    feature is at most value; a leaf has feature -1 and its prediction as value.  Read from the tree's own text, one
-    call a tree."""
-    feature, value, left, right = [], [], [], []
-    lines = iter(tree.toDebugString.splitlines()[1:])
-
-    def node() -> int:
-        words, at = next(lines).split(), len(feature)
-        for x, v in ((feature, -1), (value, 0.0), (left, at), (right, at)):
-            x.append(v)
-        if words[0] == "Predict:":
-            value[at] = float(words[1])
-        else:       # If (feature 3 <= 0.5) .. Else (feature 3 > 0.5) ..
-            feature[at], value[at] = int(words[2]), float(words[4].rstrip(")"))
-            left[at] = node()
-            next(lines)
-            right[at] = node()
-        return at
-
-    node()
-    return np.array(feature), np.array(value), np.array(left), np.array(right)
-
-
-def tree_values(nodes, x: np.ndarray) -> np.ndarray:
-    """The tree's prediction for every row of ``x``."""
-    feature, value, left, right = nodes
-    at = np.zeros(len(x), np.int64)
-    while len(rows := np.flatnonzero(feature[at] >= 0)):
-        n = at[rows]
-        at[rows] = np.where(x[rows, feature[n]] <= value[n], left[n], right[n])
-    return value[at]
-
-
 def round_confusions(model, data: DataFrame, n_rounds: int, features_col: str = "features") -> DataFrame:
     """(round, actual, predicted, n): counts of ``label`` and the class predicted after 1 .. ``n_rounds`` rounds of a
     one-vs-rest boosted model, from one evaluation of each tree; a task returns counts."""
     from pyspark.ml.functions import vector_to_array
-    trees = [[(float(w), tree_nodes(t)) for t, w in list(zip(m.trees, m.treeWeights))[:n_rounds]] for m in model.models]
-    shared = data.sparkSession.sparkContext.broadcast(trees)    # trees x nodes, whatever the rows
-    k = len(trees)
+    shared = data.sparkSession.sparkContext.broadcast(T.class_trees(model, n_rounds))    # trees x nodes, whatever the rows
+    k = len(model.models)
 
     def run(batches):
         import pyarrow as pa
@@ -185,7 +150,7 @@ def round_confusions(model, data: DataFrame, n_rounds: int, features_col: str =
             for r in range(n_rounds):
                 for c, own in enumerate(shared.value):
                     if r < len(own):
-                        margin[:, c] += own[r][0] * tree_values(own[r][1], x)
+                        margin[:, c] += own[r][0] * T.tree_values(own[r][1], x)
                 np.add.at(count[r], (label, margin.argmax(axis=1)), 1)
         r, a, p = np.nonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in (

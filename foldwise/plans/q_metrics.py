@@ -54,10 +54,10 @@ prf AS (
 
 def _emb_probs(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
-    dims = F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("x"), (i % N_EMB_CLASSES).alias("c")))
-    total = lambda c: F.aggregate(F.filter(dims, lambda d: d["c"] == c), F.lit(0.0), lambda a, d: a + d["x"])
+    total = lambda c: F.aggregate(F.filter("embedding", lambda x, i: i % N_EMB_CLASSES == c), F.lit(0.0),
+                                  lambda a, x: a + x.cast("double"))
     e = F.array(*[F.exp(4 * total(c)) for c in range(N_EMB_CLASSES)])
-    return emb.select("vec_id", "label", M.normalise(e).alias("prob"))
+    return emb.select("vec_id", "label", M.normalise(e, N_EMB_CLASSES).alias("prob"))
 
 
 _EMB_SQL = r"""

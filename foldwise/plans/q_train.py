@@ -1,9 +1,12 @@
-"""Training queries (Spark ML).  Rows-only checks: tree learners differ from
-the reference's, so scores are not comparable to an oracle.
+"""Training queries (Spark ML).  Scores differ from those of other learners, so
+they have no oracle; sizes, candidates and counts have.
 
 Training rows: cleaned events; features value, props.k, hour, day of week
 and their cyclic encodings; label = raw activity (4 classes) or general
-activity (2 classes); groups = home (user) for grouped folds.
+activity (2 classes); groups = home (user) for grouped folds.  Trees, trials,
+folds and rounds are the operators' defaults; the labelled rows a fit sees are
+bounded by ``FIT_ROWS`` (a hash threshold), while folds, sizes and hold-outs
+cover all rows.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions import features as FE
 from foldwise.operators import registry as R
+from foldwise.operators import search as S
 from foldwise.operators import splits
 from foldwise.operators import train as T
 from foldwise.operators.metrics import confusion_long, summary_metrics
@@ -21,27 +25,43 @@ from foldwise.plans.sqlparts import EV_CLEAN, with_
 
 FEATURES = ["value", "k", "hour", "dow", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]
 N_FOLDS = 3
+FIT_ROWS = 2_000        # labelled rows that a fit sees, about
+THREADS = 8             # fits at a time
+N_TRIALS = 12
+ROUND_TRIALS, ROUND_FOLDS = 2, 2
 # The boosted trees of the reference's comparison of targets.
 TARGET_PARAMS = {"n_estimators": 250, "learning_rate": 0.08, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.8}
 
 
-def training_rows(spark, sf_dir, label="activity"):
+def labelled_rows(spark, sf_dir):
     ev = clean_events(spark, sf_dir)
     ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-    ev = FE.add_cyclic_time_features(ev, "hour", "dow")
-    folds = splits.snake_group_kfold(ev, "home_id", N_FOLDS)
+    return FE.add_cyclic_time_features(ev, "hour", "dow")
+
+
+def training_rows(spark, sf_dir, label="activity", max_rows=None, n_folds=N_FOLDS):
+    """(persisted rows with grouped folds, fitted pipeline); with ``max_rows`` about so many rows of all."""
+    ev = labelled_rows(spark, sf_dir)
+    folds = splits.snake_group_kfold(ev, "home_id", n_folds)
     ev = splits.assign_folds(ev, folds, "home_id")
     data, fp = T.prepare(ev, FEATURES, label, keep=["event_id", "home_id", "fold"])
+    if max_rows is not None:
+        data = T.fit_share(data, clean_events(spark, sf_dir).count(), max_rows, "event_id")
     return T.persist(data), fp
 
 
+def bounded(n_folds):
+    """Rows of a table whose folds leave about ``FIT_ROWS`` to each fit."""
+    return FIT_ROWS * n_folds // (n_folds - 1)
+
+
 @query("train_ovr_gbt_group_cv")
 def q_train_ovr_gbt_group_cv(spark, sf_dir):
     """One-vs-rest boosted trees, 2 learning rates x 3 grouped folds, macro-F1."""
-    data, _ = training_rows(spark, sf_dir)
+    data, _ = training_rows(spark, sf_dir, max_rows=bounded(N_FOLDS))
     est = T.make_classifier("ovr_gbt")
     cands = [dict(T.DEFAULT_PARAMS, learning_rate=lr) for lr in (0.05, 0.1)]
-    cvm = T.group_cv(data, est, T.grid_for(est, cands, "gbt"), "fold", N_FOLDS)
+    cvm = T.group_cv(data, est, T.grid_for(est, cands, "gbt"), "fold", N_FOLDS, parallelism=THREADS)
     rows = [(i, c["learning_rate"], c["max_depth"], c["n_estimators"], float(m))
             for i, (c, m) in enumerate(zip(cands, cvm.avgMetrics))]
     data.unpersist()
@@ -53,10 +73,10 @@ def q_train_ovr_gbt_group_cv(spark, sf_dir):
 def q_train_rf_random_search(spark, sf_dir):
     """Random search (12 candidates drawn without replacement) x grouped folds,
     best candidate refit on all rows; reports trials and in-sample metrics."""
-    data, _ = training_rows(spark, sf_dir)
+    data, _ = training_rows(spark, sf_dir, max_rows=bounded(N_FOLDS))
     est = T.make_classifier("rf", {})
-    cands = T.sample_params(spark, T.SPARK_SEARCH_SPACE, n_trials=12, seed=42)
-    cvm = T.group_cv(data, est, T.grid_for(est, cands, "rf"), "fold", N_FOLDS)
+    cands = T.sample_params(spark, T.SPARK_SEARCH_SPACE, n_trials=N_TRIALS, seed=42)
+    cvm = T.group_cv(data, est, T.grid_for(est, cands, "rf"), "fold", N_FOLDS, parallelism=THREADS)
     train = summary_metrics(confusion_long(cvm.bestModel.transform(data), "label", "prediction"), digits=None).first()
     best = max(range(len(cands)), key=lambda i: (cvm.avgMetrics[i], -i))
     rows = [(i + 1, int(c["max_depth"]), int(c["n_estimators"]), float(c["subsample"]), float(m), i == best,
@@ -72,8 +92,7 @@ def q_train_rf_random_search(spark, sf_dir):
 def q_group_cv_train(spark, sf_dir):
     """Per-fold fit and hold-out metrics over grouped folds (random forest)."""
     data, _ = training_rows(spark, sf_dir)
-    res = T.cross_validate_folds(data, lambda: T.make_classifier("rf", {"n_estimators": 20, "max_depth": 5}),
-                                 "fold", range(N_FOLDS))
+    res = T.cross_validate_folds(data, lambda: T.make_classifier("rf"), "fold", range(N_FOLDS), parallelism=THREADS)
     data.unpersist()
     rows = [(r["fold"], r["accuracy"], r["macro_f1"], r["weighted_f1"], r["macro_precision"], r["macro_recall"],
              int(r["n"])) for r in res]
@@ -87,7 +106,8 @@ def q_predict_proba(spark, sf_dir):
     prediction and per-class probability columns."""
     data, fp = training_rows(spark, sf_dir)
     labels = fp.stages[-1].labelsArray[0]
-    model = T.make_classifier("ovr_gbt").fit(data.filter(F.col("fold") != 0))
+    rest = data.filter(F.col("fold") != 0)
+    model = T.make_classifier("ovr_gbt").fit(T.fit_share(rest, rest.count(), FIT_ROWS, "event_id"))
     scored = model.transform(data.filter(F.col("fold") == 0))
     scored = T.index_to_label(labels).transform(scored)
     prob = T.probability_column(scored, n_classes=len(labels))
@@ -103,7 +123,7 @@ def q_feature_importance(spark, sf_dir):
     data, _ = training_rows(spark, sf_dir)
     rows = []
     for k in range(N_FOLDS):
-        m = T.make_classifier("rf", {"n_estimators": 20, "max_depth": 5}).fit(data.filter(F.col("fold") != k))
+        m = T.make_classifier("rf").fit(data.filter(F.col("fold") != k))
         rows += [(k, f, v) for f, v in T.ovr_feature_importance(m, FEATURES)]
     data.unpersist()
     imp = spark.createDataFrame(rows, "fold int, feature string, importance double")
@@ -116,12 +136,11 @@ def q_target_comparison(spark, sf_dir):
     weighted-F1, accuracy."""
     out = []
     for target in ("activity", "activity_general"):
-        ev = clean_events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-        ev = FE.add_cyclic_time_features(ev, "hour", "dow")
-        ev = splits.stratified_folds(ev, target, "event_id", N_FOLDS, seed=42)
+        ev = splits.stratified_folds(labelled_rows(spark, sf_dir), target, "event_id", N_FOLDS, seed=42)
         data, _ = T.prepare(ev, FEATURES, target, keep=["event_id", "fold"])
-        data = T.persist(data)
-        res = T.cross_validate_folds(data, lambda: T.make_classifier("ovr_gbt", TARGET_PARAMS), "fold", range(N_FOLDS))
+        data = T.persist(T.fit_share(data, ev.count(), bounded(N_FOLDS), "event_id"))
+        res = T.cross_validate_folds(data, lambda: T.make_classifier("ovr_gbt", TARGET_PARAMS), "fold", range(N_FOLDS),
+                                     parallelism=THREADS)
         data.unpersist()
         import statistics
         f1s = [r["macro_f1"] for r in res]
@@ -139,7 +158,8 @@ def q_per_round_scores(spark, sf_dir):
     data, _ = training_rows(spark, sf_dir)
     n, folds = T.DEFAULT_PARAMS["n_estimators"], []
     for k in range(N_FOLDS):
-        model = T.make_classifier("ovr_gbt").fit(data.filter(F.col("fold") != k))
+        rest = data.filter(F.col("fold") != k)
+        model = T.make_classifier("ovr_gbt").fit(T.fit_share(rest, rest.count(), FIT_ROWS, "event_id"))
         preds = T.ovr_round_predictions(model, data.filter(F.col("fold") == k), range(1, n + 1))
         folds += [(k, *r) for r in T.round_scores(preds, digits=None).collect()]     # one row per round
     data.unpersist()
@@ -164,14 +184,117 @@ SELECT g.fold, g.home_id, v.n - v.n_val AS n_train, v.n_val, g.n_test, 4 AS n_cl
 FROM g JOIN v USING (home_id)"""))
 def q_logo_cv_train(spark, sf_dir):
     """Leave-one-home-out training with default trees and patience; sizes per fold, and whether the scores are shares.
-    The SQL merges the homes into LOGO_HOMES; T.leave_one_group_out holds out any groups."""
-    ev = clean_events(spark, sf_dir).withColumn("home_id", F.concat(F.lit("h"), F.col("home_id") % LOGO_HOMES))
-    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-    ev = FE.add_cyclic_time_features(ev, "hour", "dow")
+    The SQL merges the homes into LOGO_HOMES; ``logo_homes_train`` holds out every home."""
+    ev = labelled_rows(spark, sf_dir).withColumn("home_id", F.concat(F.lit("h"), F.col("home_id") % LOGO_HOMES))
     data, _ = T.prepare(ev, FEATURES, "activity", keep=["event_id", "home_id"])
     data = T.persist(data)
-    folds, _, _ = T.leave_one_group_out(data, "activity", "home_id", "event_id", FEATURES)
+    folds, _, _ = T.leave_one_group_out(data, "activity", "home_id", "event_id", FEATURES, max_fit_rows=FIT_ROWS)
     data.unpersist()
     share = lambda c: F.col(c).between(0, 1)
     return folds.select("fold", "home_id", "n_train", "n_val", "n_test", "n_classes",
                         (share("accuracy") & share("f1_macro") & share("f1_weighted") & (F.col("n_trees") >= 1)).alias("valid_scores"))
+
+
+def homes_rows(spark, sf_dir):
+    data, _ = T.prepare(labelled_rows(spark, sf_dir), FEATURES, "activity", keep=["event_id", "home_id"])
+    return T.persist(data)
+
+
+@query("logo_homes_sizes", with_(EV_CLEAN, """
+g AS (SELECT home_id, CAST(row_number() OVER (ORDER BY home_id) - 1 AS INTEGER) AS fold, count(*) AS n_test FROM ev_clean GROUP BY home_id),
+l AS (SELECT activity, count(*) AS n FROM ev_clean GROUP BY activity),
+o AS (SELECT home_id, activity, count(*) AS n FROM ev_clean GROUP BY ALL),
+v AS (SELECT g.home_id, CAST(sum(round(0.1 * (l.n - coalesce(o.n, 0)))) AS BIGINT) AS n_val, CAST(sum(l.n - coalesce(o.n, 0)) AS BIGINT) AS n
+      FROM g CROSS JOIN l LEFT JOIN o ON o.home_id = g.home_id AND o.activity = l.activity GROUP BY 1),
+r AS (SELECT home_id, activity, row_number() OVER (PARTITION BY activity ORDER BY md5('42|' || event_id), event_id) AS k FROM ev_clean),
+c AS (SELECT g.home_id, r.activity, max(r.k) AS cut FROM g JOIN (SELECT g.home_id AS out_home, r.*, row_number() OVER
+        (PARTITION BY g.home_id, r.activity ORDER BY r.k) AS nth FROM g JOIN r ON r.home_id <> g.home_id) r ON r.out_home = g.home_id
+      JOIN l ON l.activity = r.activity LEFT JOIN o ON o.home_id = g.home_id AND o.activity = l.activity
+      WHERE r.nth <= round(0.1 * (l.n - coalesce(o.n, 0))) GROUP BY ALL)
+SELECT g.fold, g.home_id, v.n - v.n_val AS n_train, v.n_val, g.n_test, CAST((SELECT sum(cut) FROM c WHERE c.home_id = g.home_id) AS BIGINT) AS cut_sum
+FROM g JOIN v USING (home_id)"""))
+def q_logo_homes_sizes(spark, sf_dir):
+    """The plan of leaving every home out: sizes of each fold, and the sum of its hold-out's last ranks over the classes."""
+    data = homes_rows(spark, sf_dir)
+    _, folds = T.logo_plan(data, "activity", "home_id", "event_id")
+    data.unpersist()
+    cut_sum = F.aggregate(F.map_values("cuts"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return folds.select("fold", "home_id", "n_train", "n_val", "n_test", cut_sum.alias("cut_sum"))
+
+
+@query("logo_homes_train")
+def q_logo_homes_train(spark, sf_dir):
+    """Every home of ``events`` left out in turn (forest of the default trees and depth): sizes and scores of each fold."""
+    data = homes_rows(spark, sf_dir)
+    folds, _, _ = T.leave_one_group_out(data, "activity", "home_id", "event_id", FEATURES, learner="rf", max_fit_rows=FIT_ROWS,
+                                        parallelism=THREADS)
+    data.unpersist()
+    return folds
+
+
+def sampled_sql(n_trials):
+    """CTE ``trials``: the candidates that ``sample_params`` draws from ``SPARK_SEARCH_SPACE``."""
+    sizes = {k: len(v) for k, v in T.SPARK_SEARCH_SPACE.items()}
+    total, step, columns = 1, 1, []
+    for k in sizes:
+        total *= sizes[k]
+    for k in reversed(sizes):
+        kind = "DOUBLE" if isinstance(T.SPARK_SEARCH_SPACE[k][0], float) else "INTEGER"
+        columns.append(f"CAST({list(T.SPARK_SEARCH_SPACE[k])}[(id // {step}) % {sizes[k]} + 1] AS {kind}) AS {k}")
+        step *= sizes[k]
+    return f"""
+trials AS (SELECT CAST(row_number() OVER (ORDER BY md5('42|' || id), id) AS INTEGER) AS trial, {", ".join(columns)}
+  FROM range({total}) t(id) QUALIFY trial <= {n_trials})"""
+
+
+def trial_columns(trials, scored, skip=()):
+    """(trial, parameters, n_folds, n_scored, valid_scores) of a search, ``scored`` rows in all folds together."""
+    values = [F.col("params")[k].cast("double" if isinstance(v[0], float) else "int").alias(k)
+              for k, v in T.SPARK_SEARCH_SPACE.items() if k not in skip]
+    return trials.select("trial", *values, "n_folds", F.lit(scored).cast("bigint").alias("n_scored"),
+                         F.col("score").between(0, 1).alias("valid_scores"))
+
+
+@query("random_search_trials", with_(EV_CLEAN, sampled_sql(N_TRIALS), f"""
+n AS (SELECT count(*) AS n FROM ev_clean)
+SELECT t.*, {N_FOLDS} AS n_folds, n.n AS n_scored, TRUE AS valid_scores FROM trials t, n"""))
+def q_random_search_trials(spark, sf_dir):
+    """Random search with trial records: 12 candidates x 3 grouped folds of forests; every trial's parameters, the
+    rows its folds scored, and whether its score is a share, as read back from the registry's checkpoint table."""
+    data, fp = training_rows(spark, sf_dir)
+    found = S.random_search(data, T.sample_params(spark, T.SPARK_SEARCH_SPACE, N_TRIALS), id_col="event_id", max_fit_rows=FIT_ROWS,
+                            parallelism=THREADS)
+    scored = data.count()
+    data.unpersist()
+    kept = R.trials_table(S.search_checkpoint(spark, found, "sklearn", 0, 0).withColumn("checkpoint_file", F.lit("search")))
+    trials = kept.select(F.col("trial").cast("int").alias("trial"), F.col("macro_f1").alias("score"), "params", F.lit(N_FOLDS).alias("n_folds"))
+    return trial_columns(trials, scored)
+
+
+@query("round_search_trials", with_(EV_CLEAN, sampled_sql(ROUND_TRIALS), f"""
+n AS (SELECT count(*) AS n FROM ev_clean)
+SELECT t.* EXCLUDE (n_estimators), {ROUND_FOLDS} AS n_folds, n.n AS n_scored, TRUE AS valid_scores,
+  CAST({T.DEFAULT_PARAMS["n_estimators"]} AS BIGINT) AS n_rounds, TRUE AS valid_rounds FROM trials t, n"""))
+def q_round_search_trials(spark, sf_dir):
+    """Search over trials, folds and boosting rounds: the parameters of each trial, the rounds of its mean curve, and
+    whether its best round and score lie within them."""
+    data, _ = training_rows(spark, sf_dir, n_folds=ROUND_FOLDS)
+    rounds = T.DEFAULT_PARAMS["n_estimators"]
+    found = S.round_search(data, T.sample_params(spark, T.SPARK_SEARCH_SPACE, ROUND_TRIALS), rounds, patience=20, id_col="event_id",
+                           max_fit_rows=FIT_ROWS, parallelism=THREADS)
+    scored = data.count()
+    data.unpersist()
+    n_rounds = found.curve.groupBy("trial").agg(F.countDistinct("round").alias("n_rounds"))
+    best = found.trials.select("trial", F.col("best_rounds").between(1, rounds).alias("valid_rounds"))
+    return trial_columns(found.trials, scored, ["n_estimators"]).join(n_rounds, "trial").join(best, "trial")
+
+
+@query("kfold_weighted_f1")
+def q_kfold_weighted_f1(spark, sf_dir):
+    """Weighted F1 of the default forest over 5 stratified folds."""
+    ev = splits.stratified_folds(labelled_rows(spark, sf_dir), "activity", "event_id", 5, seed=42)
+    data, _ = T.prepare(ev, FEATURES, "activity", keep=["event_id", "fold"])
+    data = T.persist(data)
+    out = S.kfold_scores(data, id_col="event_id", max_fit_rows=FIT_ROWS, parallelism=THREADS)
+    data.unpersist()
+    return out.drop("seconds")
