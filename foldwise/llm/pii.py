@@ -1,14 +1,16 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs,
-digits, URL schemes and identifier cues.  Each anchor is handed to a small
+digits, URL schemes, identifier cues and cues of secrets.  Each anchor is handed to a small
 deterministic parser that expands it to its boundaries and validates what it
 finds; nothing else of the text is looked at.
 
 Kinds: ``email``, ``ip``, ``card`` and ``phone`` follow fixed grammars (leftmost,
 not overlapping within a kind, no retry after a failed validation); ``url_user``
 (credentials in a URL), ``iban`` and ``account`` (an identifier after a cue such
-as ``ssn:``) are added by the method.  Positions are code points, the end
+as ``ssn:``) and ``secret`` (the value assigned to a name such as ``token`` or
+``api_key``, to its quotes or boundary, if its length and characters are those
+of a credential) are added by the method.  Positions are code points, the end
 exclusive.
 
 Defined cases: null and empty texts have no spans; texts are searched whole;
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 from foldwise.llm.common import require
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url_user", "iban", "account")
+KINDS = (*BASE_KINDS, "url_user", "iban", "account", "secret")
 CUES = ("ssn", "iban", "account", "acct", "passport", "konto", "cuenta", "compte")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key",
+               "access-key", "private key", "private_key", "private-key", "credential", "bearer")
 SLICE_ROWS = 512
 
 # the parsers' grammars, applied at one place each
@@ -40,6 +44,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _USER = re.compile(r"://[^\s/@:?#]+:[^\s/@?#]+@[^\s/?#@]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _AFTER_CUE = re.compile(r"(?:\x20?(?:no|number|nr|num|code))?\.?\x20?[:#=]?\x20?([A-Z]{0,3}[0-9][0-9-]{5,}[0-9])(?![A-Za-z0-9])", re.I)
+_VALUE = re.compile(r"""["']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer\x20+)?(?:(["'`])([^\s"'`]+)\1|([^\s"'`,;()<>\[\]{}]+))""", re.I)
+_BEARER = re.compile(r"\x20+()()([A-Za-z0-9._~+/=-]+)")
+
+
+def looks_secret(value: str, quoted: bool) -> bool:
+    """Whether a value is as long and as varied as a credential: letters and digits among at least 12 characters
+    (8 in quotes), six different ones."""
+    if len(value) < (8 if quoted else 12) or len(set(value)) < 6:
+        return False
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
 def luhn(digits: str) -> bool:
@@ -71,6 +85,9 @@ def automaton():
     for cue in CUES:
         for form in (cue, cue.upper(), cue.capitalize()):
             a.add_word(form, ("cue", len(form)))
+    for cue in SECRET_CUES:
+        for form in (cue, cue.upper(), cue.capitalize(), cue.title()):
+            a.add_word(form, ("bearer" if cue == "bearer" else "secret", len(form)))
     a.make_automaton()
     return a
 
@@ -78,7 +95,7 @@ def automaton():
 def find(text: str, anchors) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of a text by start, then kind as listed in ``KINDS``."""
     spans: list[tuple[str, int, int]] = []
-    email_end = phone_end = dotted_end = digits_end = user_end = account_end = 0
+    email_end = phone_end = dotted_end = digits_end = user_end = account_end = secret_end = 0
     for last, (what, n) in anchors.iter(text):
         at = last - n + 1
         if what == "digit":
@@ -116,6 +133,15 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
             if at >= user_end and (m := _USER.match(text, at)):
                 user_end = m.end()
                 spans.append(("url_user", at + 3, text.index("@", at)))
+        elif what in ("secret", "bearer"):
+            if at >= secret_end and not (at and text[at - 1].isalnum()):
+                m = (_BEARER if what == "bearer" else _VALUE).match(text, last + 1)
+                if m:
+                    group = 2 if m[2] else 3
+                    value = m[group] if group == 2 else m[group].rstrip(".:!?")
+                    if looks_secret(value, group == 2):
+                        spans.append(("secret", m.start(group), m.start(group) + len(value)))
+                        secret_end = m.end()
         elif at >= account_end and not (at and text[at - 1].isalnum()):
             after = last + 1
             m = _IBAN.match(text, after + len(text[after:after + 2]) - len(text[after:after + 2].lstrip(" :")))
