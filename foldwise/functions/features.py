@@ -121,7 +121,7 @@ def numeric_feature_columns(df: DataFrame, exclude: Sequence[str] = (), required
     excl = set(exclude)
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in excl]
     if required and not cols:
-        raise ValueError("No numeric feature columns found.")
+        raise ValueError(f"none of the {len(df.columns)} columns is a numeric feature")
     return cols
 
 

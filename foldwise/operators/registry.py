@@ -6,18 +6,22 @@ files; every report is a DataFrame query over them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, MapType, StringType,
                                StructField, StructType)
 
 from foldwise.functions import formatting as FM
 
-MAX_TABLE_ROWS = 5
+MAX_TABLE_ROWS = 5      # Fixed value: rows of the report's leaderboard
+# Where a 32-bit uniform number reaches the next value of a Poisson(1) variable.
+POISSON_STEPS = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2 ** 32) for k in range(9)]
 
 PARAMS = MapType(StringType(), StringType())
+# Fields of the reference's run records and checkpoints.
 RUN_RECORD_SCHEMA = StructType([
     StructField("timestamp", StringType()),
     StructField("api", StringType()),
@@ -73,7 +77,7 @@ def read_json_records(spark: SparkSession, path: str, schema: StructType) -> Dat
     bare ``NaN`` parses, missing keys are NULL.  Adds ``source_file``."""
     df = (spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED")
           .option("allowNonNumericNumbers", True).json(path))
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    return df.withColumns({"source_file": F.col("_metadata.file_name"), "source_path": F.col("_metadata.file_path")})
 
 
 def read_run_records(spark: SparkSession, path: str) -> DataFrame:
@@ -81,8 +85,9 @@ def read_run_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_records(spark, path, CHECKPOINT_SCHEMA).withColumn(
-        "checkpoint_file", F.col("source_file"))
+    """Checkpoint files, with their name and whole path."""
+    return read_json_records(spark, path, CHECKPOINT_SCHEMA).withColumns(
+        {"checkpoint_file": F.col("source_file"), "checkpoint_source": F.url_decode(F.replace("source_path", F.lit("+"), F.lit("%2B")))})
 
 
 def trials_table(checkpoints: DataFrame) -> DataFrame:
@@ -91,8 +96,8 @@ def trials_table(checkpoints: DataFrame) -> DataFrame:
 
 
 def runs_table(records: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
-    """Flatten run records; fold count falls back to the run's checkpoint
-    (looked up by file name, only when the run does not record it)."""
+    """Flatten run records; fold count falls back to the run's checkpoint (looked up by
+    path, only when the run does not record it): one row a run."""
     runs = records.select(
         "source_file", "timestamp", FM.parse_run_timestamp("timestamp").alias("ts"), "api",
         F.col("target_column").alias("target"), "sample_fraction", F.col("train_threads").alias("threads"),
@@ -109,11 +114,29 @@ def runs_table(records: DataFrame, checkpoints: DataFrame | None = None) -> Data
         F.col("details.early_stopping_rounds").alias("early_stopping_rounds"))
     if checkpoints is None:
         return runs.withColumn("cv_folds", F.col("n_folds_run")).drop("n_folds_run")
-    ck = checkpoints.select(F.col("checkpoint_file").alias("__ck"), F.col("n_folds").alias("__ck_folds"))
-    j = runs.join(ck, F.element_at(F.split("checkpoint_path", "/"), -1) == F.col("__ck"), "left")
-    return (j.withColumn("cv_folds", F.coalesce("n_folds_run", F.when(F.col("n_folds_run").isNull(),
-                                                                        F.col("__ck_folds"))))
-             .drop("__ck", "__ck_folds", "n_folds_run"))
+    folds = checkpoint_folds(runs.select("checkpoint_path"), checkpoints)
+    j = runs.join(folds.withColumnRenamed("checkpoint_path", "__ck"), F.col("checkpoint_path") == F.col("__ck"), "left")
+    return j.withColumn("cv_folds", F.coalesce("n_folds_run", "__ck_folds")).drop("__ck", "__ck_folds", "n_folds_run")
+
+
+def path_ends(path: Column) -> Column:
+    """All ends of a path, shortest (the file name) first, without store, empty and ``.`` segments."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    parts = F.filter(F.split(bare, r"[/\\]+"), lambda x: (x != "") & (x != "."))
+    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)),
+                                                 lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "/")))
+
+
+def checkpoint_folds(paths: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """(checkpoint_path, __ck_folds): fold count of the checkpoint that each recorded path names.  A path names the
+    checkpoint that shares its longest end, if only one does; files of one name in several folders are told apart."""
+    source = "checkpoint_source" if "checkpoint_source" in checkpoints.columns else "checkpoint_file"
+    ends = checkpoints.select(F.col(source).alias("__source"), "n_folds", F.explode(path_ends(F.col(source))).alias("__end"))
+    ends = ends.groupBy("__end").agg(F.countDistinct("__source").alias("__files"), F.max("n_folds").alias("__ck_folds"))
+    asked = paths.distinct().select("checkpoint_path", F.posexplode(path_ends(F.col("checkpoint_path"))).alias("__length", "__asked"))
+    met = asked.join(ends, F.col("__asked") == F.col("__end"))
+    best = met.groupBy("checkpoint_path").agg(F.max_by(F.struct("__files", "__ck_folds"), "__length").alias("b"))
+    return best.filter("b.__files = 1").select("checkpoint_path", "b.__ck_folds")
 
 
 def comparable_runs(runs: DataFrame, score: str = "cv_primary") -> DataFrame:
@@ -196,6 +219,30 @@ def fold_interval(folds: DataFrame, score: str = "accuracy", z: float = 1.96, gr
     return agg.select(*group_cols, "n_folds", *[F.round(c, digits).alias(c) for c in ("mean", "variance", "std_error", "low", "high")])
 
 
+def poisson_weight(seed: int, replicate: Column, group: Column) -> Column:
+    """Poisson(1) weight of a group in a bootstrap replicate, from md5(seed|replicate|group): the same in every run."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), group.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return sum(((u >= F.lit(t)).cast("bigint") for t in POISSON_STEPS[1:]), (u >= F.lit(POISSON_STEPS[0])).cast("bigint"))
+
+
+def bootstrap_sums(per_group: DataFrame, score: str, group_col: str, n_boot: int = 200, seed: int = 42) -> DataFrame:
+    """(replicate, weight, weighted): sums over the groups of their Poisson weights and weighted scores; one pass."""
+    rows = per_group.filter(F.col(score).isNotNull()).select(
+        F.col(score).cast("double").alias("__s"), F.col(group_col).alias("__g"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    rows = rows.withColumn("__w", poisson_weight(seed, F.col("replicate"), F.coalesce(F.col("__g").cast("string"), F.lit(""))))
+    return rows.groupBy("replicate").agg(F.sum("__w").alias("weight"), F.sum(F.col("__w") * F.col("__s")).alias("weighted"))
+
+
+def bootstrap_interval(per_group: DataFrame, score: str, group_col: str, n_boot: int = 200, seed: int = 42, level: float = 0.95,
+                       digits: int = 6) -> DataFrame:
+    """Percentile interval of a mean over groups: (n_boot, mean, low, high), over replicates with any weight."""
+    means = bootstrap_sums(per_group, score, group_col, n_boot, seed).filter("weight > 0").select((F.col("weighted") / F.col("weight")).alias("m"))
+    tail = (1 - level) / 2
+    return means.agg(F.count("m").alias("n_boot"), F.round(F.avg("m"), digits).alias("mean"),
+                     F.round(F.percentile("m", tail), digits).alias("low"), F.round(F.percentile("m", 1 - tail), digits).alias("high"))
+
+
 def importance_summary(imp: DataFrame, feature: str = "feature", value: str = "importance",
                        top: int | None = None, digits: int = 6) -> DataFrame:
     """Per feature mean / population std / min / max over folds, sorted by mean."""

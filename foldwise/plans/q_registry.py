@@ -159,3 +159,18 @@ def q_group_leaderboard(spark, sf_dir):
         F.lit(2).cast("bigint").alias("expected_n_classes")))
     lb = R.leaderboard(runs, 5)
     return lb.select("rank", "source_file", "timestamp", "cv_macro_f1", "train_macro_f1", "train_accuracy")
+
+
+N_BOOT = 200
+
+
+@query("bootstrap_home_sums", with_(EV_CLEAN, LOGO_CTES, f"""
+a AS (SELECT home_id, accuracy FROM logo),
+w AS (SELECT a.accuracy, b.replicate, ('0x' || substr(md5('42|' || b.replicate || '|' || a.home_id), 1, 8))::BIGINT AS u
+  FROM a, (SELECT CAST(range AS INTEGER) AS replicate FROM range({N_BOOT})) b),
+p AS (SELECT replicate, accuracy, {" + ".join(f"(u >= {t})::INTEGER" for t in R.POISSON_STEPS)} AS n FROM w)
+SELECT replicate, CAST(sum(n) AS BIGINT) AS weight, round(sum(n * accuracy), 6) AS weighted FROM p GROUP BY replicate"""))
+def q_bootstrap_home_sums(spark, sf_dir):
+    """Poisson bootstrap over homes of the leave-one-home-out accuracy: weights and weighted scores of every replicate."""
+    per = q_logo_majority_eval(spark, sf_dir)
+    return R.bootstrap_sums(per, "accuracy", "home_id", N_BOOT).withColumn("weighted", F.round("weighted", 6))

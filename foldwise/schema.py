@@ -12,6 +12,7 @@ from pyspark.sql.types import DataType, DoubleType, IntegerType, StringType, Str
 LOCATIONS: list[str] = ["Bathroom", "Bedroom", "Chair", "DiningRoom", "Hall", "Ignore",
                         "Kitchen", "LivingRoom", "Office", "OutsideDoor", "WorkArea"]
 
+# The integer columns.
 INT_COLUMNS: list[str] = [
     "lastSensorEventHours", "lastSensorEventSeconds", "lastSensorDayOfWeek",
     "prevDominantSensor1", "prevDominantSensor2", "lastSensorID", "lastSensorLocation",
@@ -19,6 +20,7 @@ INT_COLUMNS: list[str] = [
 ]
 
 # file order (as recorded in saved runs); the label column is read by name
+# The order of the columns.
 FEATURE_ORDER: list[str] = (
     ["lastSensorEventHours", "lastSensorEventSeconds", "lastSensorDayOfWeek",
      "windowDuration", "timeSinceLastSensorEvent",

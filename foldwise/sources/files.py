@@ -11,7 +11,10 @@ CSV traps handled here:
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,13 +63,42 @@ def cast_by_name(df: DataFrame, types: dict[str, DataType]) -> DataFrame:
     return df.select(*cols)
 
 
+def _bare(path: str) -> str:
+    """A path without its store."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+
+
+def read_headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[tuple[str, ...], bool], list[str]]:
+    """(columns, whether a quoted line break splits the header) -> the files with that header.
+
+    One job for all files: the first line of each comes from a text scan, and only distinct headers with
+    the names of their files reach the driver.  A file without any line has no columns."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value",
+        F.monotonically_increasing_id().alias("nth"))
+    first = lines.filter("at = 0").groupBy("path").agg(F.min_by("value", "nth").alias("header"))
+    found: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for row in first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
+        files, line = [unquote(p) for p in row["paths"]], row["header"].removeprefix("\ufeff").rstrip("\r")
+        if line.count('"') % 2:
+            for path in files:      # the header goes on in the next line
+                whole = spark.read.option("multiLine", True).option("escape", "\"").csv(path).first()
+                found.setdefault((tuple(whole or ()), True), []).append(path)
+        else:
+            found.setdefault((tuple(next(csv.reader([line]), ())), False), []).extend(files)
+    seen = {_bare(p) for files in found.values() for p in files}
+    if empty := [p for p in paths if _bare(p) not in seen]:
+        found[(), False] = empty
+    return found
+
+
 def read_group_csvs(spark: SparkSession, paths: Sequence[str], types: dict[str, DataType] | None = None,
                     group_from_path: bool = True, label_col: str = "activity") -> DataFrame:
     """Read feature CSVs that may have different headers, one distributed
     scan per header, binding every value to its own file's header by name.
 
-    The header of each file is read from its first line.  Files of one header
-    are read together by Spark's CSV reader, which parses quotes, checks every
+    The headers of all files come from one job (``read_headers``).  Files of one
+    header are read together by Spark's CSV reader, which parses quotes, checks every
     file's header against the schema and fails on a line with too few or too
     many fields.  The parts are cast and joined by column name; files without
     some column give NULL there (the diagonal union).  A file without the label
@@ -75,20 +107,15 @@ def read_group_csvs(spark: SparkSession, paths: Sequence[str], types: dict[str,
     if not paths:
         raise FileNotFoundError("no feature files to read")
     types = feature_types() if types is None else types
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        first = spark.read.option("escape", "\"").csv(path).first()   # the first line only
-        header = tuple(first or ())
+    out = None
+    for (header, broken), files in sorted(read_headers(spark, paths).items()):
         if label_col not in header:
-            raise ValueError(f"{path}: no column {label_col} in the header")
+            raise ValueError(f"{files[0]}: no column {label_col} in the header")
         if len(set(header)) < len(header):
-            raise ValueError(f"{path}: a column comes twice in the header")
-        by_header.setdefault(header, []).append(path)
-    out = None
-    for header, files in by_header.items():
+            raise ValueError(f"{files[0]}: a column comes twice in the header")
         schema = StructType([StructField(c, StringType()) for c in header])
         part = spark.read.schema(schema).option("header", True).option("enforceSchema", False) \
-            .option("mode", "FAILFAST").option("escape", "\"").csv(files)
+            .option("mode", "FAILFAST").option("escape", "\"").option("multiLine", broken).csv(files)
         if group_from_path:
             part = part.withColumn(GROUP_COLUMN, F.regexp_extract("_metadata.file_path", GROUP_FROM_PATH, 1))
         part = cast_by_name(part, types)

@@ -14,11 +14,17 @@ from foldwise.operators.registry import importance_summary
 
 
 def write_confusion_matrices(conf_long: DataFrame, classes: Sequence[str], path: str,
-                             group_col: str = "home_id") -> None:
-    """One CSV per group (``actual, pred_<class>...``, full class list) plus
-    the aggregate over groups under ``<path>/aggregate``."""
+                             group_col: str = "home_id", per_group_files: bool = False) -> None:
+    """The matrices of all groups (``<group>, actual, pred_<class>...``, full class list) under
+    ``<path>/per_group``, and the aggregate over groups under ``<path>/aggregate``.
+
+    The groups lie in a few files in order of group; ``per_group_files`` writes a folder for each instead."""
     per = confusion_wide(conf_long, classes, [group_col])
-    per.write.mode("overwrite").option("header", True).partitionBy(group_col).csv(f"{path}/per_group")
+    if per_group_files:
+        per.write.mode("overwrite").option("header", True).partitionBy(group_col).csv(f"{path}/per_group")
+    else:
+        per.repartitionByRange(group_col).sortWithinPartitions(group_col, "actual") \
+           .write.mode("overwrite").option("header", True).csv(f"{path}/per_group")
     agg = confusion_wide(sum_confusions(conf_long.drop(group_col)), classes)
     agg.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/aggregate")
 

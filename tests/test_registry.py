@@ -3,7 +3,7 @@ import os
 
 from foldwise.operators import registry as R
 
-# F4 run records: (timestamp, api, sample, score, train macro-F1, train accuracy, classes)
+# Fixed values of the reference, F4 run records: (timestamp, api, sample, score, train macro-F1, train accuracy, classes)
 RUNS = [
     ("20260409_214833", "native", 0.4, 0.777179, 0.808790, 0.830370, 11),
     ("20260408_221358", "sklearn", 0.01, 0.622095, 0.760742, 0.863762, 11),
@@ -74,3 +74,34 @@ def test_run_record_round_trip(spark, tmpdir_path):
     assert back.count() == 2
     runs = R.runs_table(back.withColumn("source_file", back["timestamp"]))
     assert R.comparable_runs(runs).count() == 2
+
+
+def test_a_checkpoint_is_found_by_its_path(spark, tmpdir_path):
+    import json
+    import os
+    for folder, n in (("a", 2), ("b", 5)):
+        os.makedirs(f"{tmpdir_path}/ck/{folder}", exist_ok=True)
+        with open(f"{tmpdir_path}/ck/{folder}/run one+x.json", "w") as f:      # one name in two folders
+            json.dump({"api": "native", "n_folds": n}, f)
+    with open(f"{tmpdir_path}/ck/a/only.json", "w") as f:
+        json.dump({"api": "native", "n_folds": 7}, f)
+    checks = R.read_checkpoints(spark, f"{tmpdir_path}/ck/*/*.json")
+    asked = {"ck/a/run one+x.json": 2, "./b//run one+x.json": 5, "run one+x.json": None, "/old/place/only.json": 7, "none.json": None, None: None}
+    rows = [(str(i), (p,)) for i, p in enumerate(asked)]
+    records = spark.createDataFrame(rows, "timestamp string, details struct<checkpoint_path:string>")
+    records = spark.read.schema(R.RUN_RECORD_SCHEMA).json(records.toJSON())
+    table = R.runs_table(records.withColumn("source_file", records["timestamp"]), checks).collect()
+    assert {r["checkpoint_path"]: r["cv_folds"] for r in table} == asked and len(table) == len(asked)
+
+
+def test_bootstrap_interval_is_close_to_the_normal_one(spark):
+    import random
+    r = random.Random(4)
+    per = spark.createDataFrame([(f"h{i}", r.gauss(0.6, 0.1)) for i in range(150)], "home_id string, accuracy double")
+    a, b = (R.bootstrap_interval(per, "accuracy", "home_id", 400).first() for _ in range(2))
+    want = R.fold_interval(per).first()
+    assert a == b and a["n_boot"] == 400
+    assert abs(a["mean"] - want["mean"]) < 0.003 and abs(a["low"] - want["low"]) < 0.006 and abs(a["high"] - want["high"]) < 0.006
+    sums = R.bootstrap_sums(per, "accuracy", "home_id", 400).collect()
+    assert abs(sum(s["weight"] for s in sums) / 400 / 150 - 1) < 0.02
+    assert R.bootstrap_interval(per.limit(0), "accuracy", "home_id").first()["low"] is None

@@ -18,6 +18,9 @@ def test_sinks_round_trip(spark, tmpdir_path):
     assert agg.count() == 3 and set(agg.columns) == {"actual", "pred_A", "pred_B", "pred_C"}
     per = spark.read.option("header", True).csv(f"{tmpdir_path}/cm/per_group")
     assert sorted(r.home_id for r in per.select("home_id").distinct().collect()) == ["h1", "h2"]
+    sinks.write_confusion_matrices(conf, ["A", "B", "C"], f"{tmpdir_path}/cm2", per_group_files=True)
+    apart = spark.read.option("header", True).csv(f"{tmpdir_path}/cm2/per_group").select(per.columns)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, per.collect()))
 
     prob = F.array(F.lit(0.7), F.lit(0.2), F.lit(0.1))
     table = sinks.prediction_table(pred, ["A", "B", "C"], prob, "y", "p", keep=["home_id"])

@@ -105,3 +105,23 @@ def test_a_damaged_line_fails(spark, tmpdir_path, line):
 def test_a_missing_label_or_repeated_column_fails(spark, tmpdir_path, header):
     with pytest.raises(ValueError):
         files.read_group_csvs(spark, [_write(tmpdir_path, "h1", header + "\n1,2,3\n")], TYPES)
+
+
+def test_headers_of_all_files_come_from_one_job(spark, tmpdir_path):
+    paths = [_write(f"{tmpdir_path}/with space%", f"h{i}", ("x,activity\n" if i % 2 else "activity,x\n") + "1,1\n" * 3) for i in range(40)]
+    tracker, group = spark.sparkContext.statusTracker(), "headers-test"
+    spark.sparkContext.setJobGroup(group, group)
+    found = files.read_headers(spark, paths)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    assert {h: len(f) for (h, _), f in found.items()} == {("x", "activity"): 20, ("activity", "x"): 20}
+    assert jobs <= 6        # whatever the files: listing, the scan and the groups
+    assert files.read_group_csvs(spark, paths, TYPES).count() == 120
+
+
+def test_headers_that_a_line_break_splits_and_empty_files(spark, tmpdir_path):
+    path = _write(tmpdir_path, "h1", '"x\ny",activity\n1,a\n')
+    got = files.read_group_csvs(spark, [path], {"activity": T.StringType()})
+    assert sorted(map(tuple, got.select("x\ny", "activity").collect())) == [("1", "a")]
+    with pytest.raises(ValueError):
+        files.read_group_csvs(spark, [path, _write(tmpdir_path, "h2", "")], TYPES)
