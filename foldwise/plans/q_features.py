@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions import features as FE
+from foldwise.functions.labels import map_labels
 from foldwise.operators.windows import event_window_features
 from foldwise.plans.catalog import query
-from foldwise.plans.views import EVENT_TYPES, labelled_events
+from foldwise.plans.views import EVENT_TYPES, EVENTS_GENERAL_MAP, labelled_events
 from foldwise.session import read_table
 
 # Roles of event types in the interaction block (location -> event type).
@@ -32,10 +33,10 @@ def q_cyclic_time(spark, sf_dir):
 
 
 def window_features(spark, sf_dir, chunk_rows: int = 4096):
-    ev = read_table(spark, sf_dir, "events")
+    ev = read_table(spark, sf_dir, "events").withColumn("general", map_labels("event_type", EVENTS_GENERAL_MAP))
     return event_window_features(ev.withColumnRenamed("user_id", "home_id"), "home_id", "ts", "event_id",
                                  "event_type", EVENT_TYPES, window_rows=30, chunk_rows=chunk_rows,
-                                 motion_type=MOTION_TYPE)
+                                 motion_type=MOTION_TYPE, activity_col="general")
 
 
 def window_features_sql(types=EVENT_TYPES, W=30, motion=MOTION_TYPE) -> str:
@@ -43,6 +44,7 @@ def window_features_sql(types=EVENT_TYPES, W=30, motion=MOTION_TYPE) -> str:
                         for i, x in enumerate(types))
     lasts = ",\n".join(f"    max(CASE WHEN event_type = '{x}' THEN ts END) OVER up AS l_{i}"
                        for i, x in enumerate(types))
+    cs = ", ".join(f"c_{i}" for i in range(len(types)))
     nsum = " + ".join(f"c_{i}" for i in range(len(types)))
     ent = " + ".join(f"CASE WHEN c_{i} > 0 THEN -(c_{i} / ({nsum})) * ln(c_{i} / ({nsum})) ELSE 0.0 END"
                      for i in range(len(types)))
@@ -53,20 +55,25 @@ def window_features_sql(types=EVENT_TYPES, W=30, motion=MOTION_TYPE) -> str:
         + [f'  coalesce(least((epoch_us(ts) - epoch_us(l_{i})) / 1e6, 86400.0), 86400.0) AS "sensorElTime-{x}"'
            for i, x in enumerate(types)])
     return rf"""
-e AS (SELECT user_id AS home_id, event_id, ts, event_type FROM events),
+e AS (SELECT user_id AS home_id, event_id, ts, event_type, CASE event_type WHEN 'click' THEN 'browse' WHEN 'view' THEN 'browse'
+  WHEN 'purchase' THEN 'convert' WHEN 'signup' THEN 'convert' ELSE event_type END AS general FROM events),
 w1 AS (
   SELECT *,
 {counts},
 {lasts},
     min(ts) OVER fr AS first_ts,
     lag(ts) OVER o AS prev_ts,
-    CASE WHEN lag(event_type) OVER o IS NOT NULL AND lag(event_type) OVER o <> event_type THEN 1 ELSE 0 END AS changed
+    CASE WHEN lag(event_type) OVER o IS NOT NULL AND lag(event_type) OVER o <> event_type THEN 1 ELSE 0 END AS changed,
+    CASE WHEN lag(general) OVER o IS NOT NULL AND lag(general) OVER o <> general THEN 1 ELSE 0 END AS switched
   FROM e
   WINDOW o AS (PARTITION BY home_id ORDER BY ts, event_id),
          fr AS (PARTITION BY home_id ORDER BY ts, event_id ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW),
          up AS (PARTITION BY home_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-w2 AS (SELECT *, sum(changed) OVER (PARTITION BY home_id ORDER BY ts, event_id
-                                     ROWS BETWEEN {W - 2} PRECEDING AND CURRENT ROW) AS transitions FROM w1),
+wd AS (SELECT *, list_position([{cs}], greatest({cs})) - 1 AS dominant FROM w1),
+w2 AS (SELECT *, sum(changed) OVER s AS transitions, sum(switched) OVER s AS switches,
+    lag(dominant) OVER o AS d1, lag(dominant, 2) OVER o AS d2 FROM wd
+  WINDOW o AS (PARTITION BY home_id ORDER BY ts, event_id),
+         s AS (PARTITION BY home_id ORDER BY ts, event_id ROWS BETWEEN {W - 2} PRECEDING AND CURRENT ROW)),
 wf AS (
 SELECT home_id, event_id, ts, event_type,
   hour(ts) AS "lastSensorEventHours",
@@ -78,6 +85,8 @@ SELECT home_id, event_id, ts, event_type,
   {ent} AS complexity,
   CAST(transitions AS DOUBLE) AS "areaTransitions",
   CAST(CASE WHEN c_{mi} > 0 THEN {mi} ELSE -1 END AS INTEGER) AS "lastMotionLocation",
+  CAST(coalesce(d1, -1) AS INTEGER) AS "prevDominantSensor1", CAST(coalesce(d2, -1) AS INTEGER) AS "prevDominantSensor2",
+  event_type AS "lastSensorID", CAST(switches > 0 AS INTEGER) AS "activityChange",
 {cols}
 FROM w2)"""
 
@@ -95,7 +104,8 @@ def _round_sql_cols(names_double, names_other):
 _WF_DOUBLE = (["windowDuration", "timeSinceLastSensorEvent", "complexity", "areaTransitions"]
               + [f"sensorCount-{x}" for x in EVENT_TYPES] + [f"sensorElTime-{x}" for x in EVENT_TYPES])
 _WF_OTHER = ["home_id", "event_id", "event_type", "lastSensorEventHours", "lastSensorEventSeconds",
-             "lastSensorDayOfWeek", "lastSensorLocation", "lastMotionLocation"]
+             "lastSensorDayOfWeek", "lastSensorLocation", "lastMotionLocation", "prevDominantSensor1", "prevDominantSensor2",
+             "lastSensorID", "activityChange"]
 
 
 @query("window_features", "WITH " + window_features_sql().strip() + "\nSELECT "

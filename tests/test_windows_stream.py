@@ -83,3 +83,29 @@ def test_auto_bucket_matches_minute_bucket(spark):
                               window_rows=5, chunk_rows=6, motion_type="click", bucket_format=None)
     b = _feat(spark, 100000)
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_all_events_within_seconds_and_null_groups(spark):
+    import datetime as dt
+    import random
+    r = random.Random(1)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=i % 4), r.choice(["hot", "hot", "hot", None, "cold"]), r.choice("abc"), r.choice("xy")) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, home_id string, event_type string, activity string")
+    W, types = 6, ["a", "b", "c"]
+    got = {x["event_id"]: x for x in event_window_features(df, "home_id", "ts", "event_id", "event_type", types, window_rows=W, chunk_rows=7,
+                                                           activity_col="activity", sensor_col="activity").collect()}
+    assert len(got) == len(rows)
+    for home in ("hot", "cold", None):
+        seq = sorted((x for x in rows if x[2] == home), key=lambda x: (x[1], x[0]))
+        dominant = []
+        for i, x in enumerate(seq):
+            window, out = seq[max(0, i - W + 1):i + 1], got[x[0]]
+            n = [sum(y[3] == t for y in window) for t in types]
+            assert [out[f"sensorCount-{t}"] for t in types] == n
+            assert out["prevDominantSensor1"] == (dominant[-1] if i else -1) and out["prevDominantSensor2"] == (dominant[-2] if i > 1 else -1)
+            assert out["activityChange"] == int(any(a[4] != b[4] for a, b in zip(window, window[1:]))) and out["lastSensorID"] == x[4]
+            for t in types:
+                seen = [y[1] for y in seq[:i + 1] if y[3] == t]
+                assert out[f"sensorElTime-{t}"] == ((x[1] - seen[-1]).total_seconds() if seen else 86400.0)
+            dominant.append(n.index(max(n)))

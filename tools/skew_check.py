@@ -79,6 +79,9 @@ def main() -> None:
         "stratified_folds": lambda: stratified_folds(df, "event_type", "event_id", 5),
         "event_window_features": lambda: event_window_features(df, "user_id", "ts", "event_id", "event_type",
                                                                EVENT_TYPES, chunk_rows=4096),
+        "event_window_features_hot_minute": lambda: event_window_features(     # all rows of one group within four seconds
+            df.withColumns({"user_id": F.lit(0), "ts": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") % 4)}),
+            "user_id", "ts", "event_id", "event_type", EVENT_TYPES, chunk_rows=10_000),
         "baseline_plain_group_window": lambda: df.withColumn(
             "rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))),
     }
