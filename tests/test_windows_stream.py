@@ -109,3 +109,38 @@ def test_all_events_within_seconds_and_null_groups(spark):
                 seen = [y[1] for y in seq[:i + 1] if y[3] == t]
                 assert out[f"sensorElTime-{t}"] == ((x[1] - seen[-1]).total_seconds() if seen else 86400.0)
             dominant.append(n.index(max(n)))
+
+
+def test_late_events_string_homes_and_idle_homes(spark, tmpdir_path):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    at = lambda m: base + dt.timedelta(minutes=m)
+    kinds = ["a", "b", "c"]
+    row = lambda i, m, home: (f"e{i:03d}", at(m), home, kinds[i % 3])
+    batches = [[row(i, i, "h1") for i in range(0, 10)] + [row(20, 1, "idle")],
+               [row(10, 12, "h1"), row(11, 7, "h1"), row(12, 6.5, "h1")],           # two come late, within the delay
+               [row(13, 40, "h1"), row(21, 41, "h2")],                              # moves the watermark on
+               [row(14, 15, "h1"), row(15, 300, "h1")],                             # the first is too late and is dropped
+               [row(16, 600, "h1")]]
+    schema = "event_id string, ts timestamp, home_id string, event_type string"
+    src, q = f"{tmpdir_path}/in", None
+    os.makedirs(src)
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = stream_window_features(sdf, "home_id", "ts", "event_id", "event_type", kinds, window_rows=4, watermark="10 minutes", expire_seconds=3600)
+    q = out.writeStream.format("memory").queryName("wf_late").outputMode("append").option("checkpointLocation", f"{tmpdir_path}/ckpt").start()
+    held = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmpdir_path}/b{i}")
+        name = next(f for f in os.listdir(f"{tmpdir_path}/b{i}") if f.endswith(".parquet"))
+        shutil.copy(f"{tmpdir_path}/b{i}/{name}", f"{src}/b{i}.parquet")
+        q.processAllAvailable()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    q.stop()
+    assert held[0] == 2 and held[-1] == 1       # idle homes are forgotten
+    seen = [r for b in batches for r in b if r[0] not in ("e014", "e016")]       # dropped; not passed by the watermark yet
+    got = spark.table("wf_late")
+    df = spark.createDataFrame(seen, schema)
+    batch = event_window_features(df, "home_id", "ts", "event_id", "event_type", kinds, window_rows=4).select(*got.columns)
+    cols = [F.round(c, 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in got.dtypes]
+    g, b = (sorted(map(tuple, x.select(*cols).collect())) for x in (got, batch))
+    assert [r[:3] for r in g] == [r[:3] for r in b] and g == b
