@@ -35,9 +35,10 @@ from foldwise.llm.common import require
 
 LEAF = 128          # bytes in a leaf of the tree; pieces up to this size are encoded directly
 CACHE_BYTES = 144 << 20   # of pieces and their ids in a worker; results do not depend on it
+TREE_CACHE_BYTES = 56 << 20     # the same beside the tables of the tree encoder
 PIECE_BYTES = 190   # of a piece and its ids as Python objects, beside their characters and bytes
 SLICE_ROWS = 1024   # texts of a batch that are held as Python objects at once,
-SLICE_BYTES = 4 << 20   # of so many bytes together, unless one has more
+SLICE_BYTES = 2 << 20   # of so many bytes together, unless one has more
 # Letters whose class no Unicode version changes; between them (or digits) and these marks, and around
 # line ends that touch them, the tokenizer's pattern always cuts.  Of several white-space characters before
 # a letter the pattern leaves the last one out (\s+(?!\S)), so a line end there is cut on both sides.
@@ -255,7 +256,7 @@ _WORKER: dict = {}   # per Python worker: encoder and cache by (kind, path)
 def tree_encoder(path: str) -> tuple[TreeBpe, PieceCache]:
     if ("tree", path) not in _WORKER:
         bpe = TreeBpe(path)
-        _WORKER["tree", path] = (bpe, PieceCache(bpe.pieces))
+        _WORKER["tree", path] = (bpe, PieceCache(bpe.pieces, TREE_CACHE_BYTES))
     return _WORKER["tree", path]
 
 
@@ -285,6 +286,7 @@ def map_column(df: DataFrame, col: str, outs: dict[str, T.DataType], fn) -> Data
                 values = fn(part.column(part.schema.get_field_index(at)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, t) for v, t in zip(values, arrow, strict=True)]],
                                                  [*part.schema.names, *new])
+                pa.default_memory_pool().release_unused()
 
     schema = T.StructType([*src.schema.fields, *[T.StructField(n, t) for n, t in zip(new, outs.values(), strict=True)]])
     done = src.mapInArrow(run, schema)
