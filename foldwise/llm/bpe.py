@@ -260,12 +260,12 @@ def tree_encoder(path: str) -> tuple[TreeBpe, PieceCache]:
     return _WORKER["tree", path]
 
 
-def slices(batch, column: str):
+def slices(batch, column: str, most_bytes: int = SLICE_BYTES):
     """Slices of an Arrow batch of bounded rows and bytes of ``column``."""
     i = 0
     while i < batch.num_rows:
         n = min(SLICE_ROWS, batch.num_rows - i)
-        while n > 1 and batch.column(batch.schema.get_field_index(column)).slice(i, n).nbytes > SLICE_BYTES:
+        while n > 1 and batch.column(batch.schema.get_field_index(column)).slice(i, n).nbytes > most_bytes:
             n = (n + 1) // 2
         yield batch.slice(i, n)
         i += n

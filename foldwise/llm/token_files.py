@@ -35,6 +35,7 @@ from foldwise.llm.bpe import SLICE_ROWS, WORD, PieceCache, byte_alphabet, pack_i
 from foldwise.llm.common import require
 
 MAGIC = b"FWPLANE1"
+TEXT_BYTES = 4 << 20        # of texts encoded together
 FILE_BYTES = 128 << 20      # text of a file, where the shuffle's partitions alone would hold more
 BLOCK_IDS = 65_536
 LEVEL = 3
@@ -187,7 +188,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_
         cache, out, doc_no = library_cache(tokenizer_path), None, 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 out = out or PlaneWriter(folder, shard_name(shard), planes, block_ids)
                 found = [b + end for b in cache([t or "" for t in part.column(1).to_pylist()])]
                 sizes = np.array([len(b) // 4 for b in found], np.int64)
