@@ -11,6 +11,7 @@ returns counts.
 from __future__ import annotations
 
 import math
+import threading
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -56,6 +57,25 @@ def _split(data: DataFrame, fold_col: str, fold: int, sizes: dict[int, int], max
     return fit, data.filter(F.col(fold_col) == fold)
 
 
+class _Splits:
+    """The split of each fold, made once for all trials: the rows to fit are kept, so no trial scans the table for them."""
+
+    def __init__(self, *args):
+        self.args, self.made, self.lock = args, {}, threading.Lock()
+
+    def of(self, fold: int):
+        data, fold_col, *rest = self.args
+        with self.lock:
+            if fold not in self.made:
+                fit, test = _split(data, fold_col, fold, *rest)
+                self.made[fold] = T.persist(fit), T.spread(test)
+            return self.made[fold]
+
+    def unpersist(self) -> None:
+        for fit, _ in self.made.values():
+            fit.unpersist()
+
+
 def _sizes(data: DataFrame, fold_col: str) -> dict[int, int]:
     """Rows of each fold."""
     return {r[0]: r[1] for r in data.groupBy(fold_col).agg(F.count(F.lit(1))).orderBy(fold_col).collect()}
@@ -97,11 +117,11 @@ def random_search(data: DataFrame, candidates: Sequence[dict[str, Any]], learner
     ``halving``: after each of the first folds only the best 1 / ``halving`` of the candidates go on (at least one);
     the best is chosen among those that saw all folds.  Without it, the full search."""
     sizes, spark = _sizes(data, fold_col), data.sparkSession
-    folds = list(sizes)
+    folds, splits = list(sizes), _Splits(data, fold_col, sizes, max_fit_rows, id_col, seed)
 
     def one(unit: str) -> dict:
         began, (trial, fold) = time.time(), (int(x) for x in unit.removeprefix("trial:").split("/fold:"))
-        fit, test = _split(data, fold_col, fold, sizes, max_fit_rows, id_col, seed)
+        fit, test = splits.of(fold)
         model = T.make_classifier(learner, candidates[trial - 1], seed + trial + fold).fit(fit)
         row = T.fold_metrics(model.transform(test))
         return {"score": float(row[metric]), "seconds": time.time() - began}
@@ -116,6 +136,7 @@ def random_search(data: DataFrame, candidates: Sequence[dict[str, Any]], learner
             scores[t] |= {k: found[f"trial:{t}/fold:{k}"]["score"] for k in step}
         if halving is not None and i + 1 < len(steps):
             alive = sorted(sorted(alive, key=lambda t: (-mean(t), t))[:max(1, math.ceil(len(alive) / halving))])
+    splits.unpersist()
     best = min(alive, key=lambda t: (-mean(t), t))
     model, train = _refit(data, learner, candidates[best - 1], seed, sum(sizes.values()), max_fit_rows, id_col)
     rows = [{"trial": t, "params": _text(candidates[t - 1]), "n_folds": len(scores[t]), "score": mean(t), "best_rounds": None,
@@ -174,11 +195,11 @@ def round_search(data: DataFrame, candidates: Sequence[dict[str, Any]], n_rounds
     ``learning_rate`` overrides the candidates'.  With a ledger, each finished trial adds a row ``checkpoint:<trial>``."""
     candidates = [dict(c, **({} if learning_rate is None else {"learning_rate": learning_rate})) for c in candidates]
     sizes, spark = _sizes(data, fold_col), data.sparkSession
-    left = {t: set(sizes) for t in range(1, len(candidates) + 1)}
+    left, splits = {t: set(sizes) for t in range(1, len(candidates) + 1)}, _Splits(data, fold_col, sizes, max_fit_rows, id_col, seed)
 
     def one(unit: str) -> dict:
         trial, fold = (int(x) for x in unit.removeprefix("trial:").split("/fold:"))
-        fit, test = _split(data, fold_col, fold, sizes, max_fit_rows, id_col, seed)
+        fit, test = splits.of(fold)
         model = T.make_classifier("ovr_gbt", dict(candidates[trial - 1], n_estimators=n_rounds), seed + trial).fit(fit)
         scores = summary_metrics(round_confusions(model, test, n_rounds), ["round"], digits=None)
         return {"curve": [float(r[metric]) for r in scores.select("round", metric).orderBy("round").collect()]}    # one row a round
@@ -191,6 +212,7 @@ def round_search(data: DataFrame, candidates: Sequence[dict[str, Any]], n_rounds
 
     units = [f"trial:{t}/fold:{k}" for t in left for k in sizes]
     found = run_units(units, one, ledger, parallelism, done)
+    splits.unpersist()
     rows = [(t, k, r, s) for t in left for k in sizes for r, s in enumerate(found[f"trial:{t}/fold:{k}"]["curve"], 1)]
     curve = spark.createDataFrame(rows, "trial int, fold int, round int, score double")
     mean = curve.groupBy("trial", "round").agg(F.avg("score").alias("score"))

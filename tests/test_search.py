@@ -175,3 +175,16 @@ def test_round_search(spark, data, tmpdir_path):
     assert forced.best_params["learning_rate"] == 0.5 and forced.trials.first()["params"]["learning_rate"] == "0.5"
     row = S.search_checkpoint(spark, again, "native", 4, 2, None, True).first()
     assert row["trials_completed"] == 2 and row["best_so_far"]["trial"] == again.best_trial and row["force_final_rounds"]
+
+
+@pytest.mark.parametrize("search", ["random"])
+def test_rows_of_a_fold_are_picked_once_for_all_trials(data, monkeypatch, search):
+    made, split = [], S._split
+
+    def note(frame, fold_col, fold, *args):
+        made.append(fold)
+        return split(frame, fold_col, fold, *args)
+    monkeypatch.setattr(S, "_split", note)
+    cands = [{"max_depth": 1, "n_estimators": 2}, {"max_depth": 2, "n_estimators": 2}, {"max_depth": 3, "n_estimators": 2}]
+    found = S.random_search(data, cands) if search == "random" else S.round_search(data, cands[:2], n_rounds=2)
+    assert sorted(made) == [0, 1] and found.trials.count() == (3 if search == "random" else 2)
