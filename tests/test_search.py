@@ -177,7 +177,7 @@ def test_round_search(spark, data, tmpdir_path):
     assert row["trials_completed"] == 2 and row["best_so_far"]["trial"] == again.best_trial and row["force_final_rounds"]
 
 
-@pytest.mark.parametrize("search", ["random"])
+@pytest.mark.parametrize("search", ["random", "rounds"])
 def test_rows_of_a_fold_are_picked_once_for_all_trials(data, monkeypatch, search):
     made, split = [], S._split
 
