@@ -95,3 +95,17 @@ def test_exact_quantiles_with_outliers_and_infinities(spark):
     got = {(r.column, r.p): r.value for r in exact_quantiles(df, ["a", "e"], [0.0, 0.3, 0.5, 1.0]).collect()}
     assert got["a", 0.0] == 0 and got["a", 0.3] == 300 and got["a", 0.5] == 500 and got["a", 1.0] == float("inf")
     assert got["e", 0.5] is None
+
+
+def test_scores_read_their_counts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (0.0, 0.0), (None, 0.0)], "a double, b double").mapInArrow(note, "a double, b double")
+    scores = M.summary_metrics(M.confusion_long(rows, "a", "b"), digits=None)
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = scores.first()
+    assert seen.value == 4 and (got["n"], got["accuracy"]) == (4, 0.5)
